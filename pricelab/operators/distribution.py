@@ -1,7 +1,9 @@
 """Distribution of a numeric column: equal-width histogram and Gaussian KDE curve.
 
-No ``collect()``: the min/max/count/stddev of the column are one aggregate used
-as a scalar subquery, so each operator is a single distributed plan.
+Rows are first reduced to (value, multiplicity[, weight sum]) by one partial
+aggregate.  Range, count and standard deviation come from that table as
+uncorrelated scalar subqueries (the shared shuffle is reused, no ``collect()``),
+and the histogram and the density curve are aggregates over it.
 """
 
 from __future__ import annotations
@@ -12,19 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _stats(values: DataFrame, col: str) -> Column:
-    """Scalar struct(lo, hi, n, sd) of the column, as an uncorrelated subquery."""
-    return values.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"),
-                                  F.count(col).alias("n"),
-                                  F.stddev_samp(col).alias("sd")).alias("s")).scalar()
+def value_weights(df: DataFrame, col: str = "unit_price", weight: str | None = None) -> DataFrame:
+    """Distinct values with their row count ``w`` (and ``q`` = Σ weight)."""
+    aggs = [F.count(F.lit(1)).alias("w")]
+    if weight:
+        aggs.append(F.sum(weight).alias("q"))
+    return (df.where(F.col(col).isNotNull() & ~F.isnan(col))
+              .groupBy(F.col(col).alias("x")).agg(*aggs))
 
 
-def _outer_edges(stats: Column) -> tuple[Column, Column]:
-    # A constant column gets the range [x - 0.5, x + 0.5].
-    lo, hi = stats.getField("lo"), stats.getField("hi")
-    same = lo == hi
-    return (F.when(same, lo - F.lit(0.5)).otherwise(lo),
-            F.when(same, hi + F.lit(0.5)).otherwise(hi))
+def _stats(weighted: DataFrame) -> Column:
+    """Scalar struct(lo, hi, n, sd); sd is the sample deviation, computed in two passes."""
+    mean = weighted.select(F.sum(F.col("w") * F.col("x")) / F.sum("w")).scalar()
+    dev = F.col("x") - mean
+    return weighted.select(F.struct(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("n"),
+        F.sqrt(F.sum(F.col("w") * dev * dev) / (F.sum("w") - F.lit(1))).alias("sd"),
+    ).alias("s")).scalar()
+
+
+def _with_stats(df: DataFrame, stats: Column) -> DataFrame:
+    """Attach the scalar stats struct as column ``s`` (one subquery reference per plan)."""
+    return df.select("*", stats.alias("s"))
 
 
 def _edge(k: Column, lo: Column, hi: Column, step: Column, bins: int) -> Column:
@@ -32,6 +43,44 @@ def _edge(k: Column, lo: Column, hi: Column, step: Column, bins: int) -> Column:
     return F.when(k >= F.lit(bins), hi).otherwise(k.cast("double") * step + lo)
 
 
+def _range_cols(bins: int) -> list[Column]:
+    # On a frame with column ``s``: a constant column gets the range [x - 0.5, x + 0.5].
+    lo, hi = F.col("s.lo"), F.col("s.hi")
+    same = lo == hi
+    lo2 = F.when(same, lo - F.lit(0.5)).otherwise(lo)
+    hi2 = F.when(same, hi + F.lit(0.5)).otherwise(hi)
+    return [lo2.alias("lo"), hi2.alias("hi"), ((hi2 - lo2) / F.lit(float(bins))).alias("step")]
+
+
+def histogram_from_weights(weighted: DataFrame, bins: int = 50, weight: str | None = None) -> DataFrame:
+    """Histogram of a ``value_weights`` table (see :func:`histogram`)."""
+    stats = _stats(weighted)
+    wcols = ["q"] if weight else []
+    staged = _with_stats(weighted, stats).select("x", "w", *wcols, *_range_cols(bins))
+    x, lo, hi, step = F.col("x"), F.col("lo"), F.col("hi"), F.col("step")
+    staged = staged.withColumn("k0", F.least(F.greatest(F.floor((x - lo) / step).cast("int"), F.lit(0)),
+                                             F.lit(bins - 1)))
+    k0 = F.col("k0")
+    staged = staged.withColumns({"e0": _edge(k0, lo, hi, step, bins), "e1": _edge(k0 + 1, lo, hi, step, bins)})
+    # floor() can be one bin off next to an edge: settle it against the exact edges.
+    k = (F.when(x < F.col("e0"), k0 - 1)
+          .when((k0 < bins - 1) & (x >= F.col("e1")), k0 + 1)
+          .otherwise(k0))
+    aggs = [F.sum("w").alias("count")] + ([F.sum("q").alias(f"total_{weight}")] if weight else [])
+    counts = staged.groupBy((k + 1).alias("bin")).agg(*aggs)
+    spark = weighted.sparkSession
+    # every bin with its edges: a fixed list of `bins` rows
+    edges = (_with_stats(spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")), stats)
+                  .select("bin", *_range_cols(bins)))
+    kk = F.col("bin") - 1
+    edges = edges.select("bin", _edge(kk, lo, hi, step, bins).alias("bin_lo"),
+                         _edge(kk + 1, lo, hi, step, bins).alias("bin_hi"))
+    return (F.broadcast(edges).join(counts, "bin", "left")
+            .select("bin", "bin_lo", "bin_hi",
+                    F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+                    *([F.coalesce(f"total_{weight}", F.lit(0.0)).alias(f"total_{weight}")] if weight else [])))
+
+
 def histogram(df: DataFrame, col: str = "unit_price", bins: int = 50,
               weight: str | None = "qty") -> DataFrame:
     """``bins`` equal-width bins over [min, max]; bins are [lo, hi), the last [lo, hi].
@@ -39,31 +88,7 @@ def histogram(df: DataFrame, col: str = "unit_price", bins: int = 50,
     Returns every bin (empty ones with count 0): ``bin`` (1-based), ``bin_lo``,
     ``bin_hi``, ``count`` and, when ``weight`` is given, ``total_<weight>``.
     """
-    values = df.where(F.col(col).isNotNull() & ~F.isnan(col))
-    stats = _stats(values, col)
-    lo, hi = _outer_edges(stats)
-    step = (hi - lo) / F.lit(float(bins))
-    x = F.col(col)
-    k0 = F.least(F.greatest(F.floor((x - lo) / step).cast("int"), F.lit(0)), F.lit(bins - 1))
-    # floor() can be one bin off around an edge: compare with the exact edges.
-    k = (F.when(x < _edge(k0, lo, hi, step, bins), k0 - 1)
-          .when((k0 < bins - 1) & (x >= _edge(k0 + 1, lo, hi, step, bins)), k0 + 1)
-          .otherwise(k0))
-    aggs = [F.count(F.lit(1)).alias("count")]
-    if weight:
-        aggs.append(F.sum(weight).alias(f"total_{weight}"))
-    counts = values.select((k + 1).alias("bin"), *([F.col(weight)] if weight else [])) \
-                   .groupBy("bin").agg(*aggs)
-    spark = df.sparkSession
-    all_bins = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    kk = F.col("bin") - 1
-    out = (F.broadcast(all_bins).join(counts, "bin", "left")
-           .select("bin",
-                   _edge(kk, lo, hi, step, bins).alias("bin_lo"),
-                   _edge(kk + 1, lo, hi, step, bins).alias("bin_hi"),
-                   F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                   *([F.coalesce(f"total_{weight}", F.lit(0.0)).alias(f"total_{weight}")] if weight else [])))
-    return out
+    return histogram_from_weights(value_weights(df, col, weight), bins, weight)
 
 
 def modal_bin(hist: DataFrame) -> DataFrame:
@@ -72,27 +97,40 @@ def modal_bin(hist: DataFrame) -> DataFrame:
 
 
 def density(df: DataFrame, col: str = "unit_price", gridsize: int = 200, bins: int = 50) -> DataFrame:
-    """Gaussian KDE (Scott bandwidth) on ``gridsize`` points spanning [min, max].
+    """Gaussian KDE (Scott bandwidth sd·n^-1/5) on ``gridsize`` points spanning [min, max].
 
-    ``density`` integrates to 1; ``count_density`` is scaled to the histogram of
-    ``bins`` bins (Σ count·width), the curve drawn over a count histogram.
-    Raw rows are first reduced to (value, multiplicity); each distinct value then
-    contributes to a fixed number of grid points (bounded fan-out).
+    ``density`` integrates to 1; ``count_density`` is scaled by Σ count·width of
+    the ``bins``-bin histogram, i.e. the curve drawn over a count histogram.
+    Each distinct value contributes to a fixed number of grid points (bounded fan-out).
     """
-    values = df.where(F.col(col).isNotNull() & ~F.isnan(col))
-    stats = _stats(values, col)
-    lo, hi, n = stats.getField("lo"), stats.getField("hi"), stats.getField("n")
-    bw = stats.getField("sd") * F.pow(n.cast("double"), F.lit(-0.2))
-    gstep = (hi - lo) / F.lit(float(gridsize - 1))
-    weighted = values.groupBy(F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("w"))
+    weighted = value_weights(df, col)
+    stats = _stats(weighted)
+    staged = _with_stats(weighted, stats).select(
+        "x", "w", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"),
+        F.col("s.n").cast("double").alias("n"),
+        (F.col("s.sd") * F.pow(F.col("s.n").cast("double"), F.lit(-0.2))).alias("bw"))
     j = F.col("grid_index")
-    grid_x = F.when(j == gridsize - 1, hi).otherwise(j.cast("double") * gstep + lo)
-    z = (grid_x - F.col("x")) / bw
-    contrib = F.col("w") * F.exp(F.lit(-0.5) * z * z)
-    dens = (weighted.select("x", "w", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index"))
-                    .groupBy("grid_index").agg(F.sum(contrib).alias("kernel_sum")))
-    hist = histogram(df, col, bins, weight=None)
+    gstep = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
+    grid_x = F.when(j == gridsize - 1, F.col("hi")).otherwise(j.cast("double") * gstep + F.col("lo"))
+    points = staged.select("x", "w", "n", "bw",
+                           F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index")) \
+                   .select("x", "w", "n", "bw", "grid_index") \
+                   .join(F.broadcast(_grid(weighted, stats, gridsize)), "grid_index")
+    z = (F.col("gx") - F.col("x")) / F.col("bw")
+    dens = points.groupBy("grid_index", "gx", "n", "bw").agg(
+        F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("kernel_sum"))
+    hist = histogram_from_weights(weighted, bins)
     hist_norm = hist.select(F.sum(F.col("count") * (F.col("bin_hi") - F.col("bin_lo")))).scalar()
-    pdf = F.col("kernel_sum") / (n.cast("double") * bw * F.lit(math.sqrt(2 * math.pi)))
-    return dens.select(F.col("grid_index").cast("int").alias("grid_index"), grid_x.alias(col),
-                       pdf.alias("density"), (pdf * hist_norm).alias("count_density"))
+    pdf = F.col("kernel_sum") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
+    return (dens.select("grid_index", F.col("gx").alias(col), pdf.alias("density"))
+                .select("*", (F.col("density") * hist_norm).alias("count_density")))
+
+
+def _grid(weighted: DataFrame, stats: Column, gridsize: int) -> DataFrame:
+    """The ``gridsize`` evaluation points linspace(min, max, gridsize)."""
+    spark = weighted.sparkSession
+    g = _with_stats(spark.range(gridsize).select(F.col("id").cast("int").alias("grid_index")), stats)
+    j = F.col("grid_index")
+    lo, hi = F.col("s.lo"), F.col("s.hi")
+    gstep = (hi - lo) / F.lit(float(gridsize - 1))
+    return g.select("grid_index", F.when(j == gridsize - 1, hi).otherwise(j.cast("double") * gstep + lo).alias("gx"))
