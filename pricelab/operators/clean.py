@@ -25,9 +25,17 @@ from pricelab.functions import (
 
 
 def drop_raw_columns(df: DataFrame, names: Sequence[str] = DROPPED_RAW_COLUMNS) -> DataFrame:
-    """Drop columns by their raw (pre-normalisation) names; absent names are ignored."""
-    present = [c for c in names if c in df.columns]
-    return df.drop(*present) if present else df
+    """Drop columns by their exact raw (pre-normalisation) names; absent names are ignored.
+
+    Matching is exact and case-sensitive, and columns are picked by position, so
+    headers that differ only in case from a dropped name are kept.
+    """
+    drop = set(names)
+    keep = [i for i, c in enumerate(df.columns) if c not in drop]
+    if len(keep) == len(df.columns):
+        return df
+    tmp = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*tmp).select(*[F.col(tmp[i]).alias(df.columns[i]) for i in keep])
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
