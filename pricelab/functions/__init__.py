@@ -8,6 +8,7 @@ from pricelab.functions.expressions import (  # noqa: F401
     ELASTICITY_LABELS,
     bin_label,
     calendar_columns,
+    exact_sum,
     lenient_double,
     lenient_timestamp,
     nan_to_null,

@@ -117,6 +117,19 @@ def pct_change(new: str | Column, base: str | Column) -> Column:
     return F.try_divide(_col(new) - _col(base), _col(base)) * F.lit(100)
 
 
+def _micro_units(x: Column, scale: float) -> Column:
+    return F.floor(x * F.lit(float(scale)) + F.lit(0.5)).cast("decimal(38,0)")
+
+
+def exact_sum(c: str | Column, scale: float = 1e6) -> Column:
+    """Sum of values rounded to 1/scale (micro-units for money), added exactly as DECIMAL.
+
+    Unlike a floating-point sum, the result does not depend on the order rows
+    arrive in, so it is identical across partitionings, retries and engines.
+    """
+    return F.sum(_micro_units(_col(c), scale)).cast("double") / F.lit(float(scale))
+
+
 def scaled_mean(c: str | Column, scale: float = 1e6) -> Column:
     """Mean computed on values rounded to 1/scale, summed exactly as DECIMAL.
 
@@ -124,5 +137,4 @@ def scaled_mean(c: str | Column, scale: float = 1e6) -> Column:
     is reproducible across runs, cluster shapes and engines.
     """
     x = _col(c)
-    scaled = F.floor(x * F.lit(float(scale)) + F.lit(0.5)).cast("decimal(38,0)")
-    return F.sum(scaled).cast("double") / F.count(x) / F.lit(float(scale))
+    return F.sum(_micro_units(x, scale)).cast("double") / F.count(x) / F.lit(float(scale))

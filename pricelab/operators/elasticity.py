@@ -25,11 +25,20 @@ def price_demand(fact: DataFrame, key: str, positive_only: bool = False) -> Data
     ``positive_only`` keeps rows with price > 0 and quantity > 0 after grouping
     (the category variant); rows of a missing key are dropped.
     """
-    pd_ = (fact.where(F.col(key).isNotNull() & F.col("unit_price").isNotNull())
-               .groupBy(key, "unit_price").agg(F.sum("qty").alias("qty")))
+    pd_ = quantity_by_price(fact, key)
     if positive_only:
         pd_ = pd_.where((F.col("unit_price") > 0) & (F.col("qty") > 0))
-    return pd_.withColumns({"log_price": F.ln("unit_price"), "log_qty": F.ln("qty")})
+    return with_logs(pd_)
+
+
+def quantity_by_price(fact: DataFrame, key: str) -> DataFrame:
+    """Σ qty per (key, unit price), missing keys dropped (map-side combined)."""
+    return (fact.where(F.col(key).isNotNull() & F.col("unit_price").isNotNull())
+                .groupBy(key, "unit_price").agg(F.sum("qty").alias("qty")))
+
+
+def with_logs(price_demand_df: DataFrame) -> DataFrame:
+    return price_demand_df.withColumns({"log_price": F.ln("unit_price"), "log_qty": F.ln("qty")})
 
 
 def fit_elasticity(price_demand_df: DataFrame, key: str, min_points: int = 3,

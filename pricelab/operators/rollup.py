@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.functions import scaled_mean
+from pricelab.functions import exact_sum, scaled_mean
 
 
 def _first_non_null(value: str, order: Column) -> Column:
@@ -25,7 +25,7 @@ def key_rollup(fact: DataFrame, key: str = "sku", order: Column | None = None,
     return (fact.where(F.col(key).isNotNull())
                 .groupBy(key).agg(mean.alias("avg_price"),
                                   F.sum("qty").alias("total_qty"),
-                                  F.sum("revenue").alias("total_revenue"),
+                                  exact_sum("revenue").alias("total_revenue"),
                                   _first_non_null("style", order).alias("style"),
                                   _first_non_null("category", order).alias("category")))
 
@@ -62,7 +62,7 @@ def demand_curve(fact: DataFrame, key_value: str | DataFrame, key: str = "sku")
 def top_by_revenue(fact: DataFrame, key: str, n: int = 10) -> DataFrame:
     """Top-n keys by total revenue (a top-k report: the limit is the feature)."""
     return (fact.where(F.col(key).isNotNull())
-                .groupBy(key).agg(F.sum("revenue").alias("total_revenue"),
+                .groupBy(key).agg(exact_sum("revenue").alias("total_revenue"),
                                   F.sum("qty").alias("total_qty"))
                 .orderBy(F.desc("total_revenue"), key).limit(n))
 
@@ -70,7 +70,7 @@ def top_by_revenue(fact: DataFrame, key: str, n: int = 10) -> DataFrame:
 def revenue_by_month(fact: DataFrame) -> DataFrame:
     """Revenue, quantity and lines per calendar (year, month)."""
     return (fact.groupBy("year", "month")
-                .agg(F.sum("revenue").alias("total_revenue"), F.sum("qty").alias("total_qty"),
+                .agg(exact_sum("revenue").alias("total_revenue"), F.sum("qty").alias("total_qty"),
                      F.count(F.lit(1)).alias("n_lines"))
                 .orderBy("year", "month"))
 
@@ -78,7 +78,7 @@ def revenue_by_month(fact: DataFrame) -> DataFrame:
 def revenue_by_weekday(fact: DataFrame) -> DataFrame:
     """Revenue, quantity and lines per day of week."""
     return (fact.groupBy("weekday")
-                .agg(F.sum("revenue").alias("total_revenue"), F.sum("qty").alias("total_qty"),
+                .agg(exact_sum("revenue").alias("total_revenue"), F.sum("qty").alias("total_qty"),
                      F.count(F.lit(1)).alias("n_lines")))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.functions import pct_change
+from pricelab.functions import exact_sum, pct_change
 
 # Scenario parameters of the analysis being reproduced.
 PRICE_GRID = tuple(float(m) for m in np.linspace(0.90, 1.10, 5))  # 0.90 .. 1.10, 5 points
@@ -22,10 +22,21 @@ DEMAND_UPLIFTS = (1.10, 1.20)  # demand multipliers of the peak-demand scenarios
 
 
 def baseline(fact: DataFrame, key: str = "category") -> DataFrame:
-    """Quantity and revenue per key, revenue recomputed as Σ unit_price·qty."""
+    """Quantity and revenue per key, revenue recomputed as Σ unit_price·qty (exact sum)."""
     return (fact.where(F.col(key).isNotNull())
                 .groupBy(key).agg(F.sum("qty").alias("baseline_qty"),
-                                  F.sum(F.col("unit_price") * F.col("qty")).alias("baseline_rev")))
+                                  exact_sum(F.col("unit_price") * F.col("qty")).alias("baseline_rev")))
+
+
+def baseline_from_price_demand(price_demand_df: DataFrame, key: str = "category") -> DataFrame:
+    """The same baseline from a (key, unit_price) -> Σqty table: Σ qty and Σ price·Σqty.
+
+    Lets the baseline and the elasticity fit share one pre-aggregation (and its
+    shuffle) instead of scanning the fact table twice.
+    """
+    return price_demand_df.groupBy(key).agg(
+        F.sum("qty").alias("baseline_qty"),
+        exact_sum(F.col("unit_price") * F.col("qty")).alias("baseline_rev"))
 
 
 def with_elasticity(base: DataFrame, elasticity_df: DataFrame, key: str = "category") -> DataFrame:

@@ -28,9 +28,14 @@ def segment_table(elasticity_df: DataFrame, meta: DataFrame, key: str = "sku",
 
 
 def _stats(seg: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
-    basic = seg.groupBy(*group_cols).agg(F.count(value).alias("n_skus"),
-                                         F.avg(value).alias("avg_elasticity"))
-    med = grouped_median(seg, group_cols, value, out_col="med_elasticity")
+    # Materialise the (group, value) pairs once in the shared checkpoint folder:
+    # the mean and the median rounds all re-read them.
+    vals = (seg.select(*group_cols, value)
+               .where(F.col(value).isNotNull() & ~F.isnan(value))
+               .checkpoint(eager=True))
+    basic = vals.groupBy(*group_cols).agg(F.count(value).alias("n_skus"),
+                                          F.avg(value).alias("avg_elasticity"))
+    med = grouped_median(vals, group_cols, value, out_col="med_elasticity", checkpoint_input=False)
     return basic.join(med, list(group_cols), "left")
 
 

@@ -27,69 +27,81 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                   out_col: str = "median", buckets: int = 1024, gather_limit: int = 20_000,
-                   max_rounds: int = 200) -> DataFrame:
+                   out_col: str = "median", buckets: int = 1024, gather_limit: int = 100_000,
+                   max_rounds: int = 200, checkpoint_input: bool = True) -> DataFrame:
     """Exact median of ``value_col`` per group (mean of the two middle values for even n).
 
-    NULL and NaN values are ignored; groups with no value are absent.
+    NULL and NaN values are ignored; groups with no value are absent.  Pass
+    ``checkpoint_input=False`` when ``df`` is already materialised.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     g = list(group_cols)
     vals = (df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
-              .select(*g, F.col(value_col).cast("double").alias("v"))
-              .checkpoint(eager=True))  # re-read every round: cut lineage once, reliably
+              .select(*g, F.col(value_col).cast("double").alias("v")))
+    if checkpoint_input:
+        vals = vals.checkpoint(eager=True)  # re-read every round: cut lineage once, reliably
 
+    # One target per middle rank (two when n is even).  State per target: the
+    # value range [lo, hi] still holding the rank, how many values lie below it,
+    # and how many are inside it (cnt).
     summary = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                    F.max("v").alias("hi"))
-    targets = (summary.select(*g, "lo", "hi", F.explode(F.array_distinct(F.array(
+    state = (summary.select(*g, "lo", "hi", F.col("n").alias("cnt"), F.explode(F.array_distinct(F.array(
                     F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank"))
-                      .select(*g, F.col("rank").cast("long").alias("rank"), "lo", "hi",
-                              F.lit(0).cast("long").alias("below"),
-                              F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("answer"))
-                      .checkpoint(eager=True))
-    done = targets.where(F.col("answer").isNotNull()).select(*g, "rank", "answer")
-    active = targets.where(F.col("answer").isNull()).drop("answer")
+                    .select(*g, F.col("rank").cast("long").alias("rank"), "lo", "hi",
+                            F.lit(0).cast("long").alias("below"), "cnt",
+                            F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("answer"))
+                    .checkpoint(eager=True))
+    done = state.where(F.col("answer").isNotNull()).select(*g, "rank", "answer")
+    state = state.where(F.col("answer").isNull()).drop("answer")
 
     for _ in range(max_rounds):
-        n_active = active.count()
-        if n_active == 0:
-            break
-        keys = g + ["rank", "below"]
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
-        bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width),
-                                           F.lit(buckets - 1)))\
-                  .otherwise(F.when(F.col("v") >= F.col("hi"), 1).otherwise(0))
-        in_play = (vals.join(_small(active, n_active), g)
-                       .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
-        hist = (in_play.groupBy(*keys, bucket.cast("int").alias("b"))
-                       .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"),
-                            F.max("v").alias("bmax")))
-        # At most `buckets` rows per (group, rank): a bounded window.
-        w = Window.partitionBy(*g, "rank").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        cum = F.sum("cnt").over(w)
-        chosen = (hist.withColumn("cum", cum)
-                      .where((F.col("below") + F.col("cum") - F.col("cnt") <= F.col("rank"))
-                             & (F.col("rank") < F.col("below") + F.col("cum")))
-                      .select(*g, "rank",
-                              (F.col("below") + F.col("cum") - F.col("cnt")).alias("below"),
-                              F.col("bmin").alias("lo"), F.col("bmax").alias("hi"), "cnt",
-                              F.when(F.col("bmin") == F.col("bmax"), F.col("bmin")).alias("answer"))
-                      .checkpoint(eager=True))
-        small = chosen.where(F.col("answer").isNull() & (F.col("cnt") <= gather_limit))
+        # Targets whose range holds few values are settled by sorting those values.
+        small = state.where(F.col("cnt") <= gather_limit)
         n_small = small.count()
-        gathered = (vals.join(_small(small.drop("answer"), n_small), g)
-                        .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-                        .groupBy(*g, "rank", "below")
-                        .agg(F.sort_array(F.collect_list("v")).alias("vs"))  # <= gather_limit values
-                        .select(*g, "rank", F.element_at("vs", (F.col("rank") - F.col("below") + 1)
-                                                         .cast("int")).alias("answer")))
-        done = done.unionByName(chosen.where(F.col("answer").isNotNull()).select(*g, "rank", "answer")) \
-                   .unionByName(gathered)
-        active = chosen.where(F.col("answer").isNull() & (F.col("cnt") > gather_limit)) \
-                       .select(*g, "rank", "lo", "hi", "below")
-        done = done.checkpoint(eager=True)
+        if n_small:
+            done = done.unionByName(_gather(vals, small, g, n_small))
+        big = state.where(F.col("cnt") > gather_limit)
+        n_big = big.count()
+        if n_big == 0:
+            break
+        state = _narrow(vals, big, g, n_big, buckets).checkpoint(eager=True)
+        done = done.unionByName(state.where(F.col("answer").isNotNull()).select(*g, "rank", "answer"))
+        state = state.where(F.col("answer").isNull()).drop("answer")
     else:
         raise RuntimeError(f"median search did not converge in {max_rounds} rounds")
 
     return done.groupBy(*g).agg(((F.min("answer") + F.max("answer")) / F.lit(2.0)).alias(out_col))
+
+
+def _in_range(vals: DataFrame, targets: DataFrame, g: list[str], n_targets: int) -> DataFrame:
+    return (vals.join(_small(targets, n_targets), g)
+                .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
+
+
+def _gather(vals: DataFrame, small: DataFrame, g: list[str], n_small: int) -> DataFrame:
+    """Sort the (at most ``gather_limit``) values in range and pick the rank."""
+    return (_in_range(vals, small, g, n_small)
+            .groupBy(*g, "rank", "below")
+            .agg(F.sort_array(F.collect_list("v")).alias("vs"))
+            .select(*g, "rank", F.element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int"))
+                    .alias("answer")))
+
+
+def _narrow(vals: DataFrame, big: DataFrame, g: list[str], n_big: int, buckets: int) -> DataFrame:
+    """One round: equal-width histogram of each range; keep the bucket holding the rank."""
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
+    bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))) \
+              .otherwise(F.when(F.col("v") >= F.col("hi"), 1).otherwise(0))
+    hist = (_in_range(vals, big, g, n_big)
+            .groupBy(*g, "rank", "below", bucket.cast("int").alias("b"))
+            .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
+    # At most `buckets` rows per (group, rank): a bounded window.
+    w = Window.partitionBy(*g, "rank").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("below") + F.col("cum") - F.col("cnt")   # values below this bucket
+    return (hist.withColumn("cum", F.sum("cnt").over(w))
+                .where((first <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("cum")))
+                .select(*g, "rank", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
+                        first.alias("below"), "cnt",
+                        F.when(F.col("bmin") == F.col("bmax"), F.col("bmin")).alias("answer")))

@@ -24,6 +24,12 @@ def _list(values) -> str:
     return "[" + ", ".join(_d(float(v)) for v in values) + "]"
 
 
+def _exact_sum(expr: str) -> str:
+    """Σ of values rounded to micro-units, added exactly (mirrors ``functions.exact_sum``)."""
+    return (f"CAST(SUM(CAST(floor(({expr}) * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS DECIMAL(38,0))) "
+            f"AS DOUBLE) / CAST(1000000 AS DOUBLE)")
+
+
 _STATUSES = ", ".join(f"'{s}'" for s in COMPLETED_STATUSES)
 _EDGE_WS = r"'^\s+|\s+$'"
 
@@ -109,9 +115,13 @@ labels AS (
   SELECT * FROM (VALUES ('{ELASTICITY_LABELS[0]}'), ('{ELASTICITY_LABELS[1]}'), ('{ELASTICITY_LABELS[2]}'))
     t(elasticity_range)
 ),
+cqty AS (
+  SELECT category, unit_price, SUM(qty) AS qty FROM fact
+  WHERE category IS NOT NULL GROUP BY category, unit_price
+),
 base AS (
-  SELECT category, SUM(qty) AS baseline_qty, SUM(unit_price * qty) AS baseline_rev
-  FROM fact WHERE category IS NOT NULL GROUP BY category
+  SELECT category, SUM(qty) AS baseline_qty, {_exact_sum('unit_price * qty')} AS baseline_rev
+  FROM cqty GROUP BY category
 ),
 be AS (
   SELECT b.category, b.baseline_qty, b.baseline_rev, c.elasticity
@@ -276,7 +286,7 @@ BODIES = {
                        "GROUP BY sales_channel, fulfilled_by",
     "sku_rollup": "SELECT sku, CAST(SUM(CAST(floor(unit_price * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) "
                   "AS DECIMAL(38,0))) AS DOUBLE) / count(unit_price) / CAST(1000000 AS DOUBLE) AS avg_price, "
-                  "SUM(qty) AS total_qty, round(SUM(revenue), 2) AS total_revenue, "
+                  "SUM(qty) AS total_qty, round(" + _exact_sum('revenue') + ", 2) AS total_revenue, "
                   "arg_min(style, order_id * 1000 + line_no) FILTER (WHERE style IS NOT NULL) AS style, "
                   "arg_min(category, order_id * 1000 + line_no) FILTER (WHERE category IS NOT NULL) AS category "
                   "FROM fact GROUP BY sku",
@@ -331,14 +341,15 @@ BODIES = {
                      f"{_r(f'ks / (CAST(n AS DOUBLE) * h * {_SQRT_2PI})', 12, 'density')}, "
                      f"{_r(f'ks / (CAST(n AS DOUBLE) * h * {_SQRT_2PI}) * (SELECT SUM(CAST(count AS DOUBLE) * (bin_hi - bin_lo)) FROM hist)', 6, 'count_density')} "
                      f"FROM kdens",
-    "top_skus_by_revenue": "SELECT sku, round(SUM(revenue), 2) AS total_revenue, SUM(qty) AS total_qty FROM fact "
-                           "GROUP BY sku ORDER BY SUM(revenue) DESC, sku LIMIT 10",
-    "top_categories_by_revenue": "SELECT category, round(SUM(revenue), 2) AS total_revenue, SUM(qty) AS total_qty "
-                                 "FROM fact WHERE category IS NOT NULL GROUP BY category "
-                                 "ORDER BY SUM(revenue) DESC, category LIMIT 10",
-    "revenue_by_month": "SELECT year, month, round(SUM(revenue), 2) AS total_revenue, SUM(qty) AS total_qty, "
+    "top_skus_by_revenue": "SELECT sku, round(rev, 2) AS total_revenue, total_qty FROM (SELECT sku, "
+                           + _exact_sum("revenue") + " AS rev, SUM(qty) AS total_qty FROM fact GROUP BY sku) "
+                           "ORDER BY rev DESC, sku LIMIT 10",
+    "top_categories_by_revenue": "SELECT category, round(rev, 2) AS total_revenue, total_qty FROM (SELECT category, "
+                                 + _exact_sum("revenue") + " AS rev, SUM(qty) AS total_qty FROM fact "
+                                 "WHERE category IS NOT NULL GROUP BY category) ORDER BY rev DESC, category LIMIT 10",
+    "revenue_by_month": "SELECT year, month, round(" + _exact_sum("revenue") + ", 2) AS total_revenue, SUM(qty) AS total_qty, "
                         "count(*) AS n_lines FROM fact GROUP BY year, month",
-    "revenue_by_weekday": "SELECT weekday, round(SUM(revenue), 2) AS total_revenue, SUM(qty) AS total_qty, "
+    "revenue_by_weekday": "SELECT weekday, round(" + _exact_sum("revenue") + ", 2) AS total_revenue, SUM(qty) AS total_qty, "
                           "count(*) AS n_lines FROM fact GROUP BY weekday",
 }
 

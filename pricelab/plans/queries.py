@@ -136,13 +136,11 @@ def q_sku_peak_price(spark, base):
 # --- flow C: baseline and scenarios -----------------------------------------
 
 def _base_el(spark, base):
-    f = fact(spark, base)
-    return scenarios.with_elasticity(scenarios.baseline(f, "category"), _category_elasticity_from(f))
-
-
-def _category_elasticity_from(f):
-    pdm = elasticity.price_demand(f, "category", positive_only=True)
-    return elasticity.fit_elasticity(pdm, "category", r2_name="r_squared", with_points=True)
+    # Baseline and elasticity share one (category, price) pre-aggregate: one scan, one shuffle.
+    qbp = elasticity.quantity_by_price(fact(spark, base), "category")
+    pdm = elasticity.with_logs(qbp.where((F.col("unit_price") > 0) & (F.col("qty") > 0)))
+    el = elasticity.fit_elasticity(pdm, "category", r2_name="r_squared", with_points=True)
+    return scenarios.with_elasticity(scenarios.baseline_from_price_demand(qbp, "category"), el)
 
 
 def q_baseline_elasticity(spark, base):

@@ -35,7 +35,7 @@ def raw_sales_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
     # Large-large equi-join on the order key (sort-merge or shuffle-hash at scale);
     # the dimension joins are left to the planner: AQE broadcasts them at run time
     # only when their measured size is under the broadcast threshold.
-    lines = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+    lines = (li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey)
                .join(part, li.l_partkey == part.p_partkey)
                .join(cust, orders.o_custkey == cust.c_custkey))
 
