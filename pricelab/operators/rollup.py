@@ -20,7 +20,10 @@ def key_rollup(fact: DataFrame, key: str = "sku", order: Column | None = None,
     ``order`` defines "first" (file order); ``mean_scale`` switches the mean to the
     order-independent scaled-integer form of :func:`scaled_mean`.
     """
-    order = order if order is not None else F.monotonically_increasing_id()
+    if order is None:
+        # scan order of the rows; projected first (not allowed inside an aggregate)
+        fact = fact.withColumn("_row_order", F.monotonically_increasing_id())
+        order = F.col("_row_order")
     mean = scaled_mean("unit_price", mean_scale) if mean_scale else F.avg("unit_price")
     return (fact.where(F.col(key).isNotNull())
                 .groupBy(key).agg(mean.alias("avg_price"),
