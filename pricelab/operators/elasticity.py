@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelab.functions import ELASTICITY_EDGES, ELASTICITY_LABELS, bin_label, snap_zero
@@ -75,9 +75,10 @@ def range_counts(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LA
 def range_share(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LABELS) -> DataFrame:
     """Class counts with their share of all fitted keys."""
     counts = range_counts(elasticity_df, labels)
-    total = counts.select(F.sum("count")).scalar()
+    # one row per label: a window over the whole (len(labels)-row) table is bounded
+    total = F.sum("count").over(Window.partitionBy())
     return counts.select("elasticity_range", "count",
-                         F.try_divide(F.col("count").cast("double"), total).alias("share"),
+                         F.try_divide(F.col("count").cast("double"), total.cast("double")).alias("share"),
                          "label_order")
 
 

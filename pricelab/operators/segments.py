@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelab.operators.stats import grouped_median
+from pricelab.plans.session import reliable_checkpoint
 
 # Modal attribute name -> fact column.
 SEGMENT_SOURCES = {"sales_channel": "sales_channel", "fulfilled_by": "fulfilled_by", "b2b_flag": "b2b"}
@@ -30,9 +31,8 @@ def segment_table(elasticity_df: DataFrame, meta: DataFrame, key: str = "sku",
 def _stats(seg: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
     # Materialise the (group, value) pairs once in the shared checkpoint folder:
     # the mean and the median rounds all re-read them.
-    vals = (seg.select(*group_cols, value)
-               .where(F.col(value).isNotNull() & ~F.isnan(value))
-               .checkpoint(eager=True))
+    vals = reliable_checkpoint(seg.select(*group_cols, value)
+                                  .where(F.col(value).isNotNull() & ~F.isnan(value)))
     basic = vals.groupBy(*group_cols).agg(F.count(value).alias("n_skus"),
                                           F.avg(value).alias("avg_elasticity"))
     med = grouped_median(vals, group_cols, value, out_col="med_elasticity", checkpoint_input=False)

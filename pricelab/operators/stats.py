@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelab.plans.session import ensure_checkpoint_dir
+from pricelab.plans.session import ensure_checkpoint_dir, reliable_checkpoint
 
 # Small side of a join is broadcast only below this many rows (checked by count).
 BROADCAST_ROW_LIMIT = 100_000
@@ -40,7 +40,7 @@ def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
     vals = (df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
               .select(*g, F.col(value_col).cast("double").alias("v")))
     if checkpoint_input:
-        vals = vals.checkpoint(eager=True)  # re-read every round: cut lineage once, reliably
+        vals = reliable_checkpoint(vals)  # re-read every round: cut lineage once, reliably
 
     # One target per middle rank (two when n is even).  State per target: the
     # value range [lo, hi] still holding the rank, how many values lie below it,
@@ -51,8 +51,8 @@ def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank"))
                     .select(*g, F.col("rank").cast("long").alias("rank"), "lo", "hi",
                             F.lit(0).cast("long").alias("below"), "cnt",
-                            F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("answer"))
-                    .checkpoint(eager=True))
+                            F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("answer")))
+    state = reliable_checkpoint(state)
     done = state.where(F.col("answer").isNotNull()).select(*g, "rank", "answer")
     state = state.where(F.col("answer").isNull()).drop("answer")
 
@@ -66,7 +66,7 @@ def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
         n_big = big.count()
         if n_big == 0:
             break
-        state = _narrow(vals, big, g, n_big, buckets).checkpoint(eager=True)
+        state = reliable_checkpoint(_narrow(vals, big, g, n_big, buckets))
         done = done.unionByName(state.where(F.col("answer").isNotNull()).select(*g, "rank", "answer"))
         state = state.where(F.col("answer").isNull()).drop("answer")
     else:
