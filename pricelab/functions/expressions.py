@@ -31,7 +31,7 @@ ELASTICITY_LABELS = ("Elastic", "Inelastic", "Positive Elasticity")
 # ---------------------------------------------------------------------------
 
 # Date formats tried in order for text dates (month first, then day first).
-DATE_FORMATS = ("MM-dd-yy", "dd-MM-yy", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss")
+DATE_FORMATS = ("MM-dd-yy", "dd-MM-yy", "MM-dd-yyyy", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss")
 
 # Java regex: leading or trailing white space, Unicode aware (like Python's str.strip()).
 _EDGE_BLANKS = r"(?U)^\s+|\s+$"

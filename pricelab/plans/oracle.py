@@ -279,6 +279,8 @@ _SCEN_COLS = (f"category, scenario, {_r('baseline_rev', 2, 'baseline_rev')}, {_r
 BODIES = {
     "clean_sales": "SELECT order_id, line_no, date, status, sales_channel, style, sku, category, qty, amount, "
                    "b2b, fulfilled_by, unit_price, revenue, year, month, day, weekday, weekofyear FROM fact",
+    "csv_clean_sales": "SELECT order_id, line_no, date, status, sales_channel, style, sku, category, qty, amount, "
+                       "b2b, fulfilled_by, unit_price, revenue, year, month, day, weekday, weekofyear FROM fact",
     "completed_sales": "SELECT order_id, line_no, status, sku, qty, amount FROM completed",
     "distinct_skus": "SELECT DISTINCT sku FROM completed",
     "calendar_parts": "SELECT DISTINCT date, year, month, day, weekday, weekofyear FROM fact",

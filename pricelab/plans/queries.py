@@ -9,12 +9,16 @@ scaled form (see ``functions.scaled_mean``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelab.operators import clean, distribution, elasticity, rollup, scenarios, segments
+from pricelab.plans.session import scratch_path
+from pricelab.sources.csv import read_sales_csv, write_sales_csv
 from pricelab.sources.fixtures import raw_sales_from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +45,25 @@ def _row_order() -> F.Column:
 
 # --- flow A: cleaning -------------------------------------------------------
 
+CLEAN_COLUMNS = ("order_id", "line_no", "date", "status", "sales_channel", "style", "sku", "category",
+                 "qty", "amount", "b2b", "fulfilled_by", "unit_price", "revenue",
+                 "year", "month", "day", "weekday", "weekofyear")
+
+
 def q_clean_sales(spark, base):
-    return fact(spark, base).select(
-        "order_id", "line_no", "date", "status", "sales_channel", "style", "sku", "category",
-        "qty", "amount", "b2b", "fulfilled_by", "unit_price", "revenue",
-        "year", "month", "day", "weekday", "weekofyear")
+    return fact(spark, base).select(*CLEAN_COLUMNS)
+
+
+def q_csv_clean_sales(spark, base):
+    """The same fact, read through the CSV source: the raw rows are exported as CSV
+    (raw header spelling, text dates) into the shared checkpoint folder and scanned back."""
+    raw = raw_sales(spark, base)
+    path = scratch_path(spark, f"raw_sales_csv/{uuid.uuid4().hex}")
+    write_sales_csv(raw, path)
+    header_types = {"Order ID": T.LongType(), "Line No": T.IntegerType()}
+    schema = T.StructType([T.StructField(c, header_types.get(c, T.StringType()), True) for c in raw.columns])
+    f = clean.sales_fact(read_sales_csv(spark, path, schema=schema))
+    return f.select(*CLEAN_COLUMNS)
 
 
 def q_completed_sales(spark, base):
@@ -262,6 +280,7 @@ def q_revenue_by_weekday(spark, base):
 
 QUERIES: dict[str, Query] = {
     "clean_sales": q_clean_sales,
+    "csv_clean_sales": q_csv_clean_sales,
     "completed_sales": q_completed_sales,
     "distinct_skus": q_distinct_skus,
     "calendar_parts": q_calendar_parts,

@@ -9,6 +9,7 @@ coercions turn unparsable values into NULL instead of failing the job.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Header row of the raw export, as spelled in the file.
@@ -37,3 +38,12 @@ def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType | None =
         schema = T.StructType([T.StructField(c, T.StringType(), True) for c in first.columns])
     # enforceSchema=True: the schema is positional; header names are taken from ``schema``.
     return reader.schema(schema).option("enforceSchema", True).csv(path)
+
+
+def write_sales_csv(raw: DataFrame, path: str, date_format: str = "MM-dd-yyyy") -> None:
+    """Write raw sales rows as an export-style CSV: header row, text dates, empty = missing."""
+    out = raw
+    for f in raw.schema.fields:
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            out = out.withColumn(f.name, F.date_format(F.col(f"`{f.name}`"), date_format))
+    out.write.mode("overwrite").option("header", True).csv(path)

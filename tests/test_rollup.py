@@ -1,0 +1,58 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricelab.operators import rollup
+
+COLS = "ord int, sku string, unit_price double, qty double, revenue double, style string, category string"
+
+
+def _fact(spark, rows):
+    return spark.createDataFrame(rows, COLS)
+
+
+def test_rollup_first_non_missing_in_order(spark):
+    rows = [(3, "a", 10.0, 1.0, 10.0, "late", "Set"), (1, "a", 20.0, 2.0, 40.0, None, None),
+            (2, "a", 30.0, 1.0, 30.0, "mid", "Top"), (1, "b", 5.0, 1.0, 5.0, None, None),
+            (2, None, 1.0, 1.0, 1.0, "x", "y")]
+    out = {r.sku: r for r in rollup.key_rollup(_fact(spark, rows).repartition(3), "sku",
+                                               order=F.col("ord")).collect()}
+    assert set(out) == {"a", "b"}  # missing key dropped
+    a = out["a"]
+    assert a.style == "mid" and a.category == "Top"
+    assert a.avg_price == pytest.approx(20.0) and a.total_qty == 4.0 and a.total_revenue == 80.0
+    assert out["b"].style is None and out["b"].category is None
+
+
+def test_value_counts_order_and_busiest(spark):
+    rows = [(i, k, 1.0, 1.0, 1.0, "s", "c") for i, k in enumerate(["b", "a", "b", "a", "c", None, None, None])]
+    f = _fact(spark, rows)
+    got = [(r.sku, r["count"]) for r in rollup.value_counts(f, "sku").collect()]
+    assert got == [("a", 2), ("b", 2), ("c", 1)]
+    assert rollup.busiest_key(f, "sku").first().sku == "a"
+    assert sorted(rollup.distinct_values(f, "sku").collect(), key=lambda r: str(r.sku))[0].sku is None
+    assert rollup.distinct_values(f, "sku").count() == 4  # missing counts as one value
+
+
+def test_demand_curve_sums_per_price(spark):
+    rows = [(1, "a", 735.0, 2.0, 0.0, "s", "c"), (2, "a", 735.0, 3.0, 0.0, "s", "c"),
+            (3, "a", 720.0, 1.0, 0.0, "s", "c"), (4, "b", 1.0, 9.0, 0.0, "s", "c")]
+    f = _fact(spark, rows)
+    assert [(r.unit_price, r.qty) for r in rollup.demand_curve(f, "a").collect()] == [(720.0, 1.0), (735.0, 5.0)]
+    one = rollup.busiest_key(f, "sku")
+    assert [(r.unit_price, r.qty) for r in rollup.demand_curve(f, one).collect()] == [(720.0, 1.0), (735.0, 5.0)]
+
+
+def test_top_by_revenue_and_calendar(spark):
+    rows = [(i, f"s{i % 4}", 1.0, 1.0, float(i), "s", "c") for i in range(20)]
+    top = rollup.top_by_revenue(_fact(spark, rows), "sku", 2).collect()
+    assert [r.sku for r in top] == ["s3", "s2"]
+    cal = spark.createDataFrame([(dt.datetime(2022, 4, 30), 2022, 4, "Saturday", 10.0, 1.0),
+                                 (dt.datetime(2022, 4, 1), 2022, 4, "Friday", 5.0, 2.0),
+                                 (dt.datetime(2022, 5, 7), 2022, 5, "Saturday", 1.0, 1.0)],
+                                "date timestamp_ntz, year int, month int, weekday string, revenue double, qty double")
+    by_m = [(r.year, r.month, r.total_revenue, r.n_lines) for r in rollup.revenue_by_month(cal).collect()]
+    assert by_m == [(2022, 4, 15.0, 2), (2022, 5, 1.0, 1)]
+    by_d = {r.weekday: r.total_revenue for r in rollup.revenue_by_weekday(cal).collect()}
+    assert by_d == {"Saturday": 11.0, "Friday": 5.0}
