@@ -20,10 +20,34 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "pricelab",
-                  extra: dict[str, str] | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
-    conf = {**DEFAULT_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions), **(extra or {})}
+# Settings for a large cluster (hundreds of executors, tens of TB per job).  Shuffles
+# start wide and AQE coalesces them to ~256 MB partitions; a partition 5x the median
+# and above 512 MB counts as skewed and is split; scans cut files into 256 MB splits;
+# dimension tables are broadcast only when measured below 64 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+}
+
+
+def build_session(master: str | None = "local[8]", shuffle_partitions: int | None = 8, app: str = "pricelab",
+                  extra: dict[str, str] | None = None, cluster: bool = False) -> SparkSession:
+    """Session with this package's defaults; ``cluster=True`` adds :data:`CLUSTER_CONF`
+    (pass ``master=None`` to keep the cluster manager's master)."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    conf = {**DEFAULT_CONF, **(CLUSTER_CONF if cluster else {})}
+    if shuffle_partitions and not cluster:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
