@@ -25,11 +25,12 @@ def value_weights(df: DataFrame, col: str = "unit_price", weight: str | None = N
 
 def _stats(weighted: DataFrame) -> Column:
     """Scalar struct(lo, hi, n, sd); sd is the sample deviation, computed in two passes."""
-    mean = weighted.select(F.sum(F.col("w") * F.col("x")) / F.sum("w")).scalar()
+    mean = weighted.select(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w"))).scalar()
     dev = F.col("x") - mean
     return weighted.select(F.struct(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("n"),
-        F.sqrt(F.sum(F.col("w") * dev * dev) / (F.sum("w") - F.lit(1))).alias("sd"),
+        # NULL for a single value: the sample deviation (and the KDE) is undefined there
+        F.sqrt(F.try_divide(F.sum(F.col("w") * dev * dev), F.sum("w") - F.lit(1))).alias("sd"),
     ).alias("s")).scalar()
 
 
