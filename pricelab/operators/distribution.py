@@ -117,12 +117,12 @@ def density(df: DataFrame, col: str = "unit_price", gridsize: int = 200, bins: i
                            F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index")) \
                    .select("x", "w", "n", "bw", "grid_index") \
                    .join(F.broadcast(_grid(weighted, stats, gridsize)), "grid_index")
-    z = (F.col("gx") - F.col("x")) / F.col("bw")
+    z = F.try_divide(F.col("gx") - F.col("x"), F.col("bw"))  # NULL when the values are all equal
     dens = points.groupBy("grid_index", "gx", "n", "bw").agg(
         F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("kernel_sum"))
     hist = histogram_from_weights(weighted, bins)
     hist_norm = hist.select(F.sum(F.col("count") * (F.col("bin_hi") - F.col("bin_lo")))).scalar()
-    pdf = F.col("kernel_sum") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
+    pdf = F.try_divide(F.col("kernel_sum"), F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
     return (dens.select("grid_index", F.col("gx").alias(col), pdf.alias("density"))
                 .select("*", (F.col("density") * hist_norm).alias("count_density")))
 

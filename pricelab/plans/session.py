@@ -61,11 +61,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster setting always wins.  Only when nothing is configured (local
     tests) a private scratch folder is created and registered.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions have no SparkContext
+        return configured or ""
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    configured = configured or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = tempfile.mkdtemp(prefix="pricelab-ckpt-")
     sc.setCheckpointDir(configured)

@@ -51,3 +51,9 @@ def test_modal_bin(spark):
     xs = [1.0, 1.1, 5.0, 5.1, 9.0]
     r = distribution.modal_bin(distribution.histogram(_df(spark, xs), bins=4)).first()
     assert r.bin == 1 and r["count"] == 2
+
+
+def test_density_of_constant_or_single_value_is_null_not_an_error(spark):
+    for xs in ([7.0, 7.0, 7.0], [3.0]):
+        out = distribution.density(_df(spark, xs), gridsize=5, bins=4).collect()
+        assert len(out) == 5 and all(r.density is None for r in out)
