@@ -44,11 +44,13 @@ def with_logs(price_demand_df: DataFrame) -> DataFrame:
 def fit_elasticity(price_demand_df: DataFrame, key: str, min_points: int = 3,
                    r2_name: str = "r2", with_points: bool = False,
                    edges: Sequence[float] = ELASTICITY_EDGES,
-                   labels: Sequence[str] = ELASTICITY_LABELS) -> DataFrame:
+                   labels: Sequence[str] = ELASTICITY_LABELS, sort: bool = False) -> DataFrame:
     """OLS slope (= elasticity) and R² of ``log_qty`` on ``log_price`` per key.
 
     Keys with fewer than ``min_points`` price points are skipped.  The input has
     one row per (key, price), so the row count equals the number of distinct prices.
+    ``sort`` orders the result by ascending elasticity (ties by key) for reports;
+    leave it off when the table feeds a join.
     """
     fitted = (price_demand_df.groupBy(key).agg(
                   F.regr_slope("log_qty", "log_price").alias("elasticity"),
@@ -57,7 +59,8 @@ def fit_elasticity(price_demand_df: DataFrame, key: str, min_points: int = 3,
               .where(F.col("n_price_points") >= min_points)
               .withColumn("elasticity", snap_zero("elasticity")))
     cols = [key, "elasticity", r2_name] + (["n_price_points"] if with_points else [])
-    return fitted.select(*cols, bin_label("elasticity", edges, labels).alias("elasticity_range"))
+    out = fitted.select(*cols, bin_label("elasticity", edges, labels).alias("elasticity_range"))
+    return out.orderBy("elasticity", key) if sort else out
 
 
 def range_counts(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LABELS) -> DataFrame:

@@ -118,7 +118,7 @@ def _round1(c: Column) -> Column:
 
 def pivot_evaluation(ev: DataFrame, labels: Sequence[str], key: str = "category") -> DataFrame:
     """key × scenario -> mean % revenue change, rounded to 1 decimal."""
-    return ev.groupBy(key).pivot("scenario", list(labels)).agg(_round1(F.avg("rev_change_pct")))
+    return ev.groupBy(key).pivot("scenario", list(labels)).agg(_round1(F.avg("rev_change_pct"))).orderBy(key)
 
 
 def price_step_name(m: float) -> str:
@@ -136,4 +136,4 @@ def pivot_price_grid(scen: DataFrame, multipliers: Sequence[float] = PRICE_GRID,
     steps = [int(round((m - 1) * 100)) for m in multipliers]
     piv = (scen.withColumn("step", F.round(F.col("price_change_pct")).cast("int"))
                .groupBy(key).pivot("step", steps).agg(_round1(F.avg("rev_delta_pct"))))
-    return piv.withColumnsRenamed({str(s): price_step_name(m) for s, m in zip(steps, multipliers)})
+    return piv.withColumnsRenamed({str(s): price_step_name(m) for s, m in zip(steps, multipliers)}).orderBy(key)

@@ -126,11 +126,14 @@ def q_category_price_demand(spark, base):
 
 
 def q_sku_elasticity(spark, base):
-    return _sku_elasticity(spark, base).select("sku", _r("elasticity", 6), _r("r2", 6), "elasticity_range")
+    el = elasticity.fit_elasticity(elasticity.price_demand(fact(spark, base), "sku"), "sku", sort=True)
+    return el.select("sku", _r("elasticity", 6), _r("r2", 6), "elasticity_range")
 
 
 def q_category_elasticity(spark, base):
-    return _category_elasticity(spark, base).select(
+    pdm = elasticity.price_demand(fact(spark, base), "category", positive_only=True)
+    el = elasticity.fit_elasticity(pdm, "category", r2_name="r_squared", with_points=True, sort=True)
+    return el.select(
         "category", _r("elasticity", 6), _r("r_squared", 6), "n_price_points", "elasticity_range")
 
 
