@@ -31,7 +31,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = list(Q.QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app="pricelab-bench",
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=shuffle, app="pricelab-bench",
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
                                  "spark.sql.files.maxPartitionBytes": str(64 << 20)})
     # Steady state: warm the JVM and the generated-code cache on the smallest tables.
