@@ -6,6 +6,7 @@ so they stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -33,8 +34,8 @@ ELASTICITY_LABELS = ("Elastic", "Inelastic", "Positive Elasticity")
 # Date formats tried in order for text dates (month first, then day first).
 DATE_FORMATS = ("MM-dd-yy", "dd-MM-yy", "MM-dd-yyyy", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss")
 
-# Java regex: leading or trailing white space, Unicode aware (like Python's str.strip()).
-_EDGE_BLANKS = r"(?U)^\s+|\s+$"
+# Every character Python's str.strip() removes (derived from str.isspace, not listed by hand).
+WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
 
 def _col(c: str | Column) -> Column:
@@ -79,7 +80,7 @@ def lenient_timestamp(c: str | Column, dtype: T.DataType | None = None,
 
 def strip_lower(c: str | Column) -> Column:
     """``str.strip().str.lower()``: trims every kind of edge white space, not only blanks."""
-    return F.lower(F.regexp_replace(_col(c), _EDGE_BLANKS, ""))
+    return F.lower(F.btrim(_col(c), F.lit(WHITESPACE)))
 
 
 def calendar_columns(date: str | Column) -> dict[str, Column]:

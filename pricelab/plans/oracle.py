@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 from pricelab.functions import COMPLETED_STATUSES, ELASTICITY_LABELS
+from pricelab.functions.expressions import WHITESPACE
 from pricelab.operators.scenarios import DEMAND_UPLIFTS, DISCOUNTS, PRICE_GRID, price_step_name, scenario_labels
 from pricelab.sources import fixtures as fx
 
@@ -31,7 +32,7 @@ def _exact_sum(expr: str) -> str:
 
 
 _STATUSES = ", ".join(f"'{s}'" for s in COMPLETED_STATUSES)
-_EDGE_WS = r"'^\s+|\s+$'"
+_WS = "'" + WHITESPACE + "'"
 
 BASE = f"""
 WITH raw AS (
@@ -62,9 +63,9 @@ completed AS (
 ),
 fact AS (
   SELECT order_id, line_no, date, status,
-         lower(regexp_replace(sales_channel, {_EDGE_WS}, '', 'g')) AS sales_channel,
+         lower(trim(sales_channel, {_WS})) AS sales_channel,
          style, sku, category, qty, amount, b2b,
-         lower(regexp_replace(fulfilled_by, {_EDGE_WS}, '', 'g')) AS fulfilled_by,
+         lower(trim(fulfilled_by, {_WS})) AS fulfilled_by,
          amount / qty AS unit_price,
          amount AS revenue,
          CAST(year(date) AS INTEGER) AS year,

@@ -27,8 +27,10 @@ def test_bin_label_right_closed_edges(spark):
 
 
 def test_strip_lower_removes_tabs_and_newlines(spark):
-    df = spark.createDataFrame([(" Amazon.in \t",), ("\nEasy Ship  ",), (None,), ("a b",)], "s string")
-    assert [r[0] for r in df.select(strip_lower("s")).collect()] == ["amazon.in", "easy ship", None, "a b"]
+    vals = [" Amazon.in \t", "\nEasy Ship  ", None, "a b", "\x1c\u00a0x\u3000\x85", "\u2003 Y \x0b"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    assert [r[0] for r in df.select(strip_lower("s")).collect()] == [
+        None if v is None else v.strip().lower() for v in vals]
 
 
 def test_lenient_double_and_nan(spark):
