@@ -57,3 +57,18 @@ def test_density_of_constant_or_single_value_is_null_not_an_error(spark):
     for xs in ([7.0, 7.0, 7.0], [3.0]):
         out = distribution.density(_df(spark, xs), gridsize=5, bins=4).collect()
         assert len(out) == 5 and all(r.density is None for r in out)
+
+
+def test_density_far_gap_keeps_every_grid_point(spark):
+    # a dense cluster and one far outlier: the bandwidth is tiny next to the range, so
+    # most grid points are out of every kernel's reach (exact 0) but stay in the output
+    xs = [float(i % 50) for i in range(5000)] + [1e6]
+    out = distribution.density(_df(spark, xs), gridsize=200, bins=50).orderBy("grid_index").collect()
+    x = np.array(xs)
+    h = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min(), x.max(), 200)
+    dens = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
+    assert 40 * h < (x.max() - x.min()) / 10  # truncation really applies here
+    assert len(out) == 200
+    assert (dens == 0).sum() > 100
+    assert [r.density for r in out] == pytest.approx(dens.tolist(), rel=1e-9, abs=1e-300)
