@@ -72,7 +72,8 @@ def range_counts(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LA
     # The label side is a fixed list of len(labels) rows: a proven broadcast bound.
     return (F.broadcast(label_df).join(counts, "elasticity_range", "left")
             .select("elasticity_range", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                    "label_order"))
+                    "label_order")
+            .orderBy(F.desc("count"), "label_order"))  # most frequent first, like value_counts()
 
 
 def range_share(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LABELS) -> DataFrame:
