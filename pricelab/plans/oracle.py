@@ -316,6 +316,7 @@ BODIES = {
                        "AS DOUBLE), 9) AS share FROM (SELECT l.elasticity_range, CAST(coalesce(c.n, 0) AS BIGINT) "
                        "AS count FROM labels l LEFT JOIN (SELECT elasticity_range, count(*) AS n FROM sku_el "
                        "GROUP BY 1) c ON l.elasticity_range = c.elasticity_range)",
+    "stream_sku_price_demand": "SELECT sku, unit_price, qty FROM spd",
     "sku_peak_price": "SELECT sku, unit_price AS peak_price, qty AS peak_qty FROM (SELECT sku, unit_price, qty, "
                       "row_number() OVER (PARTITION BY sku ORDER BY qty DESC, unit_price ASC) AS rn FROM spd) "
                       "WHERE rn = 1",

@@ -2,9 +2,9 @@
 
 Each query reads the test tables, maps them onto the raw sales shape and runs
 the operators.  Outputs meant for engine-to-engine comparison round floating
-results where summation order can change the last bits: money to 2 decimals,
-elasticity / R² / statistics to 6, and price means use the order-independent
-scaled form (see ``functions.scaled_mean``).
+results where summation order can change the last bits: money sums are exact
+(``functions.exact_sum``) and shown to 2 decimals, elasticity / R² / statistics
+to 6, and price means use the order-independent scaled form (``scaled_mean``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelab import streaming
 from pricelab.operators import clean, distribution, elasticity, rollup, scenarios, segments
 from pricelab.plans.session import scratch_path
 from pricelab.sources.csv import read_sales_csv, write_sales_csv
@@ -150,6 +151,18 @@ def q_sku_range_share(spark, base):
         "elasticity_range", "count", _r("share", 9))
 
 
+def q_stream_sku_price_demand(spark, base):
+    """Σ qty per (sku, price) kept by the Structured Streaming query: the raw rows arrive
+    as files in the shared checkpoint folder and are consumed in several micro-batches."""
+    raw = raw_sales(spark, base)
+    root = scratch_path(spark, f"stream_price_demand/{uuid.uuid4().hex}")
+    raw.write.parquet(f"{root}/arrivals")
+    stream = streaming.read_raw_stream(spark, f"{root}/arrivals", raw.schema, max_files_per_trigger=1)
+    q = streaming.run_price_demand(stream, f"{root}/table", "sku", checkpoint_location=f"{root}/state")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/table")
+
+
 def q_sku_peak_price(spark, base):
     return elasticity.peak_price(elasticity.price_demand(fact(spark, base), "sku"), "sku")
 
@@ -300,6 +313,7 @@ QUERIES: dict[str, Query] = {
     "category_range_counts": q_category_range_counts,
     "sku_range_share": q_sku_range_share,
     "sku_peak_price": q_sku_peak_price,
+    "stream_sku_price_demand": q_stream_sku_price_demand,
     "baseline_elasticity": q_baseline_elasticity,
     "price_scenarios": q_price_scenarios,
     "price_pivot": q_price_pivot,
