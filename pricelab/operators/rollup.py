@@ -17,12 +17,15 @@ def key_rollup(fact: DataFrame, key: str = "sku", order: Column | None = None,
                mean_scale: float | None = None) -> DataFrame:
     """Per key: mean unit price, total qty, total revenue, first style and category.
 
-    ``order`` defines "first" (file order); ``mean_scale`` switches the mean to the
+    ``order`` defines "first" (default: the CSV reader's ``_row_order``, i.e. file
+    order); ``mean_scale`` switches the mean to the
     order-independent scaled-integer form of :func:`scaled_mean`.
     """
     if order is None:
-        # scan order of the rows; projected first (not allowed inside an aggregate)
-        fact = fact.withColumn("_row_order", F.monotonically_increasing_id())
+        # the reader's row position when present, else the scan order of these rows
+        # (projected first: not allowed inside an aggregate)
+        if "_row_order" not in fact.columns:
+            fact = fact.withColumn("_row_order", F.monotonically_increasing_id())
         order = F.col("_row_order")
     mean = scaled_mean("unit_price", mean_scale) if mean_scale else F.avg("unit_price")
     return (fact.where(F.col(key).isNotNull())

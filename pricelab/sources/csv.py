@@ -23,13 +23,18 @@ RAW_SALES_HEADER = (
 RAW_SALES_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_SALES_HEADER])
 
 
+ROW_ORDER = "_row_order"
+
+
 def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                   header: bool = True) -> DataFrame:
+                   header: bool = True, with_row_order: bool = True) -> DataFrame:
     """Scan one file, a directory or a glob of raw sales CSV files.
 
     ``schema`` names the columns in file order (all text by default).  With
     ``schema=None`` the header row is used and every column is read as text,
     which costs one small read of the first line only, not an inference pass.
+    ``with_row_order`` tags each row with its scan position (``_row_order``:
+    increasing in file order), which "first value" roll-ups use.
     """
     reader = spark.read.option("header", header).option("mode", "PERMISSIVE") \
         .option("multiLine", False).option("escape", '"')
@@ -37,7 +42,8 @@ def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType | None =
         first = reader.option("inferSchema", False).csv(path)
         schema = T.StructType([T.StructField(c, T.StringType(), True) for c in first.columns])
     # enforceSchema=True: the schema is positional; header names are taken from ``schema``.
-    return reader.schema(schema).option("enforceSchema", True).csv(path)
+    df = reader.schema(schema).option("enforceSchema", True).csv(path)
+    return df.withColumn(ROW_ORDER, F.monotonically_increasing_id()) if with_row_order else df
 
 
 def write_sales_csv(raw: DataFrame, path: str, date_format: str = "MM-dd-yyyy") -> None:

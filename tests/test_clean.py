@@ -78,3 +78,18 @@ def test_csv_reader_normalises_headers(spark):
                  for r in fact.collect())
     assert got == [("o1", 2.0, 100.5, 50.25, False, "amazon.in", "easy ship"),
                    ("o5", 3.0, 30.0, 10.0, True, "non-amazon", None)]
+
+
+def test_csv_row_order_drives_first_value(spark):
+    from pricelab.operators import rollup
+    d = tempfile.mkdtemp(prefix="pricelab-csv-")
+    path = os.path.join(d, "sales.csv")
+    with open(path, "w", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(["Date", "Status", "SKU", "Style", "Category", "Qty", "Amount"])
+        w.writerow(["04-30-22", "Shipped", "A-1", "", "Set", "1", "10"])
+        w.writerow(["04-30-22", "Shipped", "A-1", "zeta", "Top", "1", "10"])
+        w.writerow(["04-30-22", "Shipped", "A-1", "alpha", "Kurta", "1", "10"])
+    fact = clean.sales_fact(read_sales_csv(spark, path))
+    r = rollup.key_rollup(fact, "sku").first()
+    assert (r.style, r.category) == ("zeta", "Set")  # first non-missing in file order, per column
