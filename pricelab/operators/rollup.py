@@ -65,6 +65,20 @@ def demand_curve(fact: DataFrame, key_value: str | DataFrame, key: str = "sku")
     return rows.groupBy("unit_price").agg(F.sum("qty").alias("qty")).orderBy("unit_price")
 
 
+def busiest_demand_curve(fact: DataFrame, key: str = "sku") -> DataFrame:
+    """Demand curve of the key with the most rows (ties: smallest key), in one pass.
+
+    Both the pick and the curve come from one (key, price) pre-aggregate that also
+    counts rows, so the fact is scanned and shuffled once (the exchange is reused).
+    """
+    per_price = (fact.where(F.col(key).isNotNull())
+                     .groupBy(key, "unit_price").agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows")))
+    one = (per_price.groupBy(key).agg(F.sum("rows").alias("rows"))
+                    .orderBy(F.desc("rows"), key).limit(1).select(key))
+    return (per_price.join(F.broadcast(one), key, "left_semi")  # one row: proven bound
+                     .select("unit_price", "qty").orderBy("unit_price"))
+
+
 def top_by_revenue(fact: DataFrame, key: str, n: int = 10) -> DataFrame:
     """Top-n keys by total revenue (a top-k report: the limit is the feature)."""
     return (fact.where(F.col(key).isNotNull())

@@ -40,8 +40,8 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str, curve_sku: s
     save("category_counts", rollup.value_counts(fact, "category"))
     save("price_histogram", distribution.histogram(fact, "unit_price", 50, weight="qty"))
     save("price_density", distribution.density(fact, "unit_price", 200, 50))
-    key = curve_sku if curve_sku is not None else rollup.busiest_key(fact, "sku")
-    save("demand_curve", rollup.demand_curve(fact, key, "sku"))
+    save("demand_curve", rollup.demand_curve(fact, curve_sku, "sku") if curve_sku is not None
+         else rollup.busiest_demand_curve(fact, "sku"))
     save("top_skus_by_revenue", rollup.top_by_revenue(fact, "sku", 10))
     save("top_categories_by_revenue", rollup.top_by_revenue(fact, "category", 10))
     save("revenue_by_month", rollup.revenue_by_month(fact))
@@ -52,9 +52,8 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str, curve_sku: s
     sku_el = save("sku_elasticity", elasticity.fit_elasticity(sku_pd, "sku"))
     save("sku_range_share", elasticity.range_share(sku_el))
     save("sku_peak_price", elasticity.peak_price(sku_pd, "sku"))
-    qbp = elasticity.quantity_by_price(fact, "category")
-    cat_pd = save("category_price_demand", elasticity.with_logs(
-        qbp.where((qbp.unit_price > 0) & (qbp.qty > 0))))
+    qbp = elasticity.quantity_by_price(fact.where(fact.unit_price > 0), "category")  # implied by cleaning
+    cat_pd = save("category_price_demand", elasticity.with_logs(qbp.where(qbp.qty > 0)))
     cat_el = save("category_elasticity", elasticity.fit_elasticity(cat_pd, "category", r2_name="r_squared",
                                                                    with_points=True))
     save("category_range_counts", elasticity.range_counts(cat_el))

@@ -101,8 +101,7 @@ def q_category_counts(spark, base):
 
 
 def q_sku_demand_curve(spark, base):
-    f = fact(spark, base)
-    return rollup.demand_curve(f, rollup.busiest_key(f, "sku"), "sku")
+    return rollup.busiest_demand_curve(fact(spark, base), "sku")
 
 
 # --- flow B: elasticity -----------------------------------------------------
@@ -171,8 +170,10 @@ def q_sku_peak_price(spark, base):
 
 def _base_el(spark, base):
     # Baseline and elasticity share one (category, price) pre-aggregate: one scan, one shuffle.
-    qbp = elasticity.quantity_by_price(fact(spark, base), "category")
-    pdm = elasticity.with_logs(qbp.where((F.col("unit_price") > 0) & (F.col("qty") > 0)))
+    # price > 0 is implied by the fact's cleaning (amount > 0, qty > 0); stating it before the
+    # split keeps both branches' plans identical after pushdown, so the exchange is reused.
+    qbp = elasticity.quantity_by_price(fact(spark, base).where(F.col("unit_price") > 0), "category")
+    pdm = elasticity.with_logs(qbp.where(F.col("qty") > 0))
     el = elasticity.fit_elasticity(pdm, "category", r2_name="r_squared", with_points=True)
     return scenarios.with_elasticity(scenarios.baseline_from_price_demand(qbp, "category"), el)
 

@@ -32,3 +32,15 @@ def test_scan_reads_only_needed_columns(spark):
     for s in scans:
         for unused in ("l_tax", "l_discount", "l_shipdate", "l_linenumber"):
             assert unused not in s.split("ReadSchema")[-1]
+
+
+def _final_plan(df) -> str:
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["evaluation_pivot", "price_pivot", "sku_demand_curve"])
+def test_shared_pre_aggregate_scans_the_fact_once(spark, name):
+    plan = _final_plan(E.queries()[name](spark, SF_SMALL))
+    assert plan.count("lineitem.parquet") == 1, name

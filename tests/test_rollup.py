@@ -42,6 +42,7 @@ def test_demand_curve_sums_per_price(spark):
     assert [(r.unit_price, r.qty) for r in rollup.demand_curve(f, "a").collect()] == [(720.0, 1.0), (735.0, 5.0)]
     one = rollup.busiest_key(f, "sku")
     assert [(r.unit_price, r.qty) for r in rollup.demand_curve(f, one).collect()] == [(720.0, 1.0), (735.0, 5.0)]
+    assert [(r.unit_price, r.qty) for r in rollup.busiest_demand_curve(f).collect()] == [(720.0, 1.0), (735.0, 5.0)]
 
 
 def test_top_by_revenue_and_calendar(spark):
