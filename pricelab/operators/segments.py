@@ -22,6 +22,32 @@ def modal_attributes(fact: DataFrame, key: str = "sku",
                 .groupBy(key).agg(*[F.mode(src, True).alias(name) for name, src in sources.items()]))
 
 
+def price_demand_and_attributes(fact: DataFrame, key: str = "sku",
+                                sources: Mapping[str, str] = SEGMENT_SOURCES) -> tuple[DataFrame, DataFrame]:
+    """Σ qty per (key, price) and the modal attributes per key, from one scan of the fact.
+
+    One pre-aggregate by (key, price, attributes) carries Σ qty and the row count;
+    the price-demand table and the attribute counts are both derived from it, so
+    the fact is scanned and shuffled once (the exchange is reused).  The mode of an
+    attribute is the value with the most rows, ties to the smallest value; NULL
+    when the key has none (same result as :func:`modal_attributes`).
+    """
+    names, cols = list(sources), list(sources.values())
+    base = (fact.where(F.col(key).isNotNull() & F.col("unit_price").isNotNull())
+                .groupBy(key, "unit_price", *cols)
+                .agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows")))
+    price_demand = base.groupBy(key, "unit_price").agg(F.sum("qty").alias("qty"))
+    long = base.select(key, "rows", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("a"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)
+    ])).alias("e")).select(key, "rows", "e.a", "e.v")
+    counts = long.groupBy(key, "a", "v").agg(F.sum("rows").alias("c"))
+    picks = []
+    for i, (name, col) in enumerate(zip(names, cols)):
+        pick = F.min_by("v", F.when((F.col("a") == i) & F.col("v").isNotNull(), F.struct(-F.col("c"), F.col("v"))))
+        picks.append(pick.cast(fact.schema[col].dataType).alias(name))
+    return price_demand, counts.groupBy(key).agg(*picks)
+
+
 def segment_table(elasticity_df: DataFrame, meta: DataFrame, key: str = "sku",
                   dims: Sequence[str] = tuple(SEGMENT_SOURCES)) -> DataFrame:
     """Elasticity rows with their key's segment attributes; keys missing any attribute drop out."""

@@ -227,9 +227,10 @@ def _meta(spark, base):
 
 
 def _seg(spark, base):
-    f = fact(spark, base)
-    el = elasticity.fit_elasticity(elasticity.price_demand(f, "sku"), "sku")
-    return segments.segment_table(el, segments.modal_attributes(f, "sku"))
+    # elasticity and modal attributes from one pre-aggregate: one scan of the fact
+    qbp, meta = segments.price_demand_and_attributes(fact(spark, base), "sku")
+    el = elasticity.fit_elasticity(elasticity.with_logs(qbp), "sku")
+    return segments.segment_table(el, meta)
 
 
 def q_sku_meta(spark, base):

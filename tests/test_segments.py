@@ -58,3 +58,31 @@ def test_segment_stats_long_and_per_dimension(spark):
     assert long[("b2b_flag", "false")].n_skus == 3
     assert long[("b2b_flag", "false")].med_elasticity == 0.5
     assert long[("fulfilled_by", "p")].med_elasticity == -1.0
+
+
+def test_one_pass_attributes_equal_modes(spark):
+    from pricelab.operators import elasticity
+    from pricelab.plans import queries as Q
+    from tests.conftest import SF_SMALL
+    f = Q.fact(spark, SF_SMALL)
+    qbp, meta = segments.price_demand_and_attributes(f)
+    a = {tuple(r) for r in segments.modal_attributes(f).collect()}
+    b = {tuple(r) for r in meta.select("sku", "sales_channel", "fulfilled_by", "b2b_flag").collect()}
+    assert a == b and len(a) > 0
+    assert meta.schema["b2b_flag"].dataType.typeName() == "boolean"
+    want = {tuple(r) for r in elasticity.quantity_by_price(f, "sku").collect()}
+    assert {tuple(r) for r in qbp.collect()} == want
+
+
+def test_one_pass_attribute_ties_and_nulls(spark):
+    rows = [("tie", 1.0, "b", "x", True), ("tie", 2.0, "a", "x", False),
+            ("allnull", 1.0, None, None, None),
+            ("nullmaj", 1.0, None, "y", None), ("nullmaj", 2.0, None, "y", True), ("nullmaj", 3.0, "c", None, None)]
+    fact = spark.createDataFrame(rows, "sku string, unit_price double, sales_channel string, fulfilled_by string, "
+                                       "b2b boolean").withColumn("qty", __import__("pyspark.sql.functions",
+                                                                                   fromlist=["lit"]).lit(1.0))
+    _, meta = segments.price_demand_and_attributes(fact)
+    got = {r.sku: r for r in meta.collect()}
+    assert got["tie"].sales_channel == "a" and got["tie"].b2b_flag is False
+    assert got["allnull"].sales_channel is None and got["allnull"].b2b_flag is None
+    assert got["nullmaj"].sales_channel == "c" and got["nullmaj"].fulfilled_by == "y" and got["nullmaj"].b2b_flag is True
