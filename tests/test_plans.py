@@ -40,7 +40,7 @@ def _final_plan(df) -> str:
     return plan.split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", ["evaluation_pivot", "price_pivot", "sku_demand_curve"])
+@pytest.mark.parametrize("name", ["evaluation_pivot", "price_pivot", "sku_demand_curve", "sku_segments"])
 def test_shared_pre_aggregate_scans_the_fact_once(spark, name):
     plan = _final_plan(E.queries()[name](spark, SF_SMALL))
     assert plan.count("lineitem.parquet") == 1, name
