@@ -26,18 +26,21 @@ def price_demand_and_attributes(fact: DataFrame, key: str = "sku",
                                 sources: Mapping[str, str] = SEGMENT_SOURCES) -> tuple[DataFrame, DataFrame]:
     """Σ qty per (key, price) and the modal attributes per key, from one scan of the fact.
 
-    One pre-aggregate by (key, price, attributes) carries Σ qty and the row count;
-    the price-demand table and the attribute counts are both derived from it, so
-    the fact is scanned and shuffled once (the exchange is reused).  The mode of an
-    attribute is the value with the most rows, ties to the smallest value; NULL
-    when the key has none (same result as :func:`modal_attributes`).
+    One GROUPING SETS aggregate computes Σ qty per (key, price) and the row count per
+    (key, attribute values) in a single pass and shuffle (the attribute set collapses
+    map-side to a few rows per key).  The mode of an attribute is the value with the
+    most rows, ties to the smallest value; NULL when the key has none (the same result
+    as :func:`modal_attributes`).
     """
     names, cols = list(sources), list(sources.values())
-    base = (fact.where(F.col(key).isNotNull() & F.col("unit_price").isNotNull())
-                .groupBy(key, "unit_price", *cols)
-                .agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows")))
-    price_demand = base.groupBy(key, "unit_price").agg(F.sum("qty").alias("qty"))
-    long = base.select(key, "rows", F.explode(F.array(*[
+    both = (fact.where(F.col(key).isNotNull() & F.col("unit_price").isNotNull())
+                .groupingSets([[key, "unit_price"], [key, *cols]], key, "unit_price", *cols)
+                .agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("gid")))
+    # grouping_id has one bit per column left out of the set: (key, price) leaves out the
+    # attributes (low bits), (key, attributes) leaves out the price (the next bit)
+    price_demand = both.where(F.col("gid") == (1 << len(cols)) - 1).select(key, "unit_price", "qty")
+    attrs = both.where(F.col("gid") == (1 << len(cols))).select(key, "rows", *cols)
+    long = attrs.select(key, "rows", F.explode(F.array(*[
         F.struct(F.lit(i).alias("a"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)
     ])).alias("e")).select(key, "rows", "e.a", "e.v")
     counts = long.groupBy(key, "a", "v").agg(F.sum("rows").alias("c"))
