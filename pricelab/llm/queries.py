@@ -4,20 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelab.llm import divergence_rules, language_id, quality_gam, toxicity
+from pricelab.llm import bin_packing, divergence_rules, language_id, ngram_join, quality_gam, toxicity
 from pricelab.llm.common import table
 
 
+#: Vocabulary file of the packing query.
+PACKING_TOKENIZER = "word_bpe_49k.json"
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups_of(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+
+
 def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -28,7 +41,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
+    "op4_ngram_join": op4_ngram_join,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op7_divergence_rules": op7_divergence_rules,
     "op9_language": op9_language,
 }
