@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelab.llm import bin_packing, divergence_rules, language_id, ngram_join, quality_gam, toxicity
+from pricelab.llm import bin_packing, divergence_rules, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, toxicity, vector_dedup
 from pricelab.llm.common import table
 
 
@@ -15,6 +15,14 @@ from pricelab.llm.common import table
 PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
+#: Vocabulary file of the sampling query.
+SAMPLING_MODEL = "piece_bpe_32k.model"
+
+
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,17 +43,28 @@ def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(SAMPLING_MODEL))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_threads.conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op3_quality": op3_quality,
     "op4_ngram_join": op4_ngram_join,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_divergence_rules": op7_divergence_rules,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_language": op9_language,
+    "op10_quote_threads": op10_quote_threads,
 }
 
 ORACLE_SQL: dict[str, str] = {}
