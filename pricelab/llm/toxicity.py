@@ -5,8 +5,9 @@ of the vectors of its character n-grams (3 to 5 bytes, the word being framed by
 buckets, so that an unseen misspelling shares most n-grams with the word it stands for.  A window of
 ``WINDOW`` words is the mean of its word vectors and goes through a two-class softmax; embeddings and softmax
 are trained together in numpy by full-batch Adam.  A document is as toxic as its most toxic window: toxic
-documents are mostly harmless words, so in later rounds only those windows of a toxic document keep the
-label that the model of the round before finds suspicious (its highest one always).  The result of the
+documents are mostly harmless words, so the first round learns from all windows and each later one from the
+windows that the model so far finds suspicious, of toxic and of clean documents (each document's highest one
+always), with a share of the harmless ones.  The result of the
 highest window is turned into a probability by a logistic curve fitted on sampled documents that took no part
 in the training of the embeddings.
 
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from pricelab.llm.common import hash_share, id_bucket, text_chunks
 
 #: Bound of the fit: expected numbers of sampled documents of each class.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 900
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1200
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
-WINDOW = 8
+WINDOW = 3
 DIMENSIONS = 4
 #: An n-gram of fewer sampled documents has no vector of its own (the margin of its bucket is 0).
 MIN_DOCS = 6
 DECAY = 3e-5
+#: Share of the harmless windows of clean documents that stay in the later rounds.
+EASY_SHARE = 0.03
 THRESHOLD = 0.7
 
 _WORD = np.zeros(256, dtype=bool)
@@ -123,7 +126,7 @@ def summed(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return np.stack([np.bincount(group, weights=rows[:, k], minlength=groups) for k in range(rows.shape[1])])
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, steps: int = 20, seed: int = 7) -> SubwordModel:
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int = 20, seed: int = 7) -> SubwordModel:
     """Fit embeddings and softmax on lower-cased texts with labels 0 and 1 (both must occur)."""
     labels = np.asarray(labels, dtype=np.int64)
     order = np.random.default_rng(seed).permutation(len(texts))
@@ -167,33 +170,45 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, steps: int =
     window = np.concatenate([[0], np.cumsum((np.diff(doc) != 0) | ((np.arange(1, len(starts)) - first[doc[1:]]) % WINDOW == 0))]) if len(starts) else np.zeros(0, int)
     window_at = np.flatnonzero(np.concatenate([[True], np.diff(window) != 0]))
     window_doc = doc[window_at]
-    target = labels[fitted][window_doc].astype(np.float32)
-    use = np.ones(len(window_at), dtype=np.float32)
+    doc_label = labels[fitted][window_doc]
 
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(gram), DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, 2)), np.zeros(2)]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for cycle in range(rounds):
+    used, target = np.arange(len(window_at)), doc_label.astype(np.float64)
+    for cycle in range(rounds + 1):
+        # the windows of this round, their words and the n-grams of those
+        renumber = np.full(len(window_at), -1)
+        renumber[used] = np.arange(len(used))
+        inside = np.flatnonzero(renumber[window] >= 0)
+        own_window = renumber[window[inside]]
+        some, own_word = np.unique(distinct[inside], return_inverse=True)
+        place = np.full(len(sample), -1)
+        place[some] = np.arange(len(some))
+        listed = np.flatnonzero(place[word] >= 0)
+        own_gram, of_word, own_size = row[listed], place[word[listed]], size[some]
+        share = np.where(target > 0, 0.5 / max(1.0, target.sum()), 0.5 / max(1.0, (1 - target).sum()))
         for _ in range(steps):
             e, w, b = params
-            words = summed(e[row], word, len(sample)) / size
-            h = summed(words.T[distinct], window, len(window_at)) / WINDOW
-            margin = (w[:, 1] - w[:, 0]) @ h + b[1] - b[0]
-            p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            weight = use * np.where(target > 0, 0.5 / max(1.0, float((use * target).sum())), 0.5 / max(1.0, float((use * (1 - target)).sum())))
-            g = np.stack([target - p, p - target]) * weight
-            dwords = summed(((w @ g) / WINDOW).T[window], distinct, len(sample)) / size
-            grads = [summed(dwords.T[word], row, len(gram)).T + DECAY * e, h @ g.T, g.sum(axis=1)]
+            words = summed(e[own_gram], of_word, len(some)) / own_size
+            h = summed(words.T[own_word], own_window, len(used)) / WINDOW
+            p = 1 / (1 + np.exp(-np.clip((w[:, 1] - w[:, 0]) @ h + b[1] - b[0], -30, 30)))
+            g = np.stack([target - p, p - target]) * share
+            dwords = summed(((w @ g) / WINDOW).T[own_window], own_word, len(some)) / own_size
+            grads = [summed(dwords.T[of_word], own_gram, len(gram)).T + DECAY * e, h @ g.T, g.sum(axis=1)]
             step += 1
             for i, (x, d) in enumerate(zip(params, grads, strict=True)):
                 m[i] = 0.9 * m[i] + 0.1 * d
                 v[i] = 0.99 * v[i] + 0.01 * d * d
                 x -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
+        e, w, b = params
+        each = np.bincount(word, weights=(e @ (w[:, 1] - w[:, 0]))[row], minlength=len(sample)) / size
+        margin = np.bincount(window, weights=each[distinct], minlength=len(window_at)) / WINDOW + b[1] - b[0]
         top = np.full(len(fitted), -np.inf)
         np.maximum.at(top, window_doc, margin)
-        target = (labels[fitted][window_doc] * ((margin >= top[window_doc]) | (margin > 0))).astype(np.float32)
-        use = np.where((labels[fitted][window_doc] == 1) & (target == 0), 0.0, 1.0).astype(np.float32) if cycle == 0 else np.ones_like(use)
-    e, w, b = params
+        suspicious = (margin >= top[window_doc]) | (margin > 0)
+        used = np.flatnonzero(suspicious | (rng.random(len(margin)) < EASY_SHARE) & (doc_label == 0))
+        target = doc_label[used].astype(np.float64)
     margins = np.zeros(1 << BUCKET_BITS, np.float32)
     margins[gram] = e @ (w[:, 1] - w[:, 0])
     model = SubwordModel(margins, float(b[1] - b[0]), 1.0, 0.0)
