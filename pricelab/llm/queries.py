@@ -7,10 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelab.llm import bin_packing, divergence_rules, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, toxicity, vector_dedup
+from pricelab.llm import bin_packing, divergence_rules, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, suffix_dedup, toxicity, vector_dedup
 from pricelab.llm.common import table
 
-
 #: Vocabulary file of the packing query.
 PACKING_TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +22,10 @@ def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +60,7 @@ def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_dedup": op1_vector_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_ngram_join": op4_ngram_join,
     "op5_toxicity": op5_toxicity,

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import mix, powers, stored, text_chunks
+from pricelab.llm.common import CHUNK_BYTES, mix, powers, stored, text_chunks
 from pricelab.llm.induced_sorting import MEMORY, SHORT, suffix_order
 
 WINDOW = 400
@@ -141,14 +141,22 @@ def _cut_out(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """(anchor, doc_id, first, n, bytes) of the given runs (doc_id, anchor, first, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "doc_id", "first", "n", "bytes"]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 4 else pa.int64()) for k in range(5)], names=names)
+
+        rows, held = [], 0
         for batch in batches:
-            for k in range(len(batch)):
-                text = batch.column("text")[k].as_py().encode()
-                own = batch.column("runs")[k].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["anchor"] for x in own], pa.int64()), pa.array([batch.column("doc_id")[k].as_py()] * len(own), pa.int64()), pa.array([x["first"] for x in own], pa.int64()),
-                     pa.array([x["n"] for x in own], pa.int64()), pa.array([text[x["first"] : x["first"] + x["n"] + window - 1] for x in own], pa.binary())],
-                    names=["anchor", "doc_id", "first", "n", "bytes"])
+            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
+                data = text.as_py().encode()
+                rows += [(x["anchor"], doc_id, x["first"], x["n"], data[x["first"] : x["first"] + x["n"] + window - 1]) for x in own.as_py()]
+                held += sum(x["n"].as_py() + window for x in own)
+                if held > CHUNK_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+        if rows:
+            yield out(rows)
 
     own = runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("runs"))  # bounded by the document
     return docs.join(own, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "anchor long, doc_id long, first long, n long, bytes binary")
