@@ -63,7 +63,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = SHINGLE_WORDS)
     factor = powers(words + 1, 0x2545F4914F6CDD1D)
     rolled = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(words):
-        rolled[: len(hashes) - k] += hashes[k:] * factor[k + 1]
+        rolled[: max(0, len(hashes) - k)] += hashes[k:] * factor[k + 1]
     rolled = mix(rolled)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):

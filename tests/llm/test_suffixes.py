@@ -1,0 +1,89 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+
+from pricelab.llm import suffix_dedup
+from pricelab.llm.common import table
+from pricelab.llm.induced_sorting import suffix_order
+
+
+def brute_order(text, limit):
+    suffixes = [tuple(text[i:]) for i in range(len(text))]
+    order = sorted(range(len(text)), key=suffixes.__getitem__)
+    common = [0]
+    for a, b in zip(order, order[1:], strict=False):
+        k = 0
+        while k < limit and max(a, b) + k < len(text) and text[a + k] == text[b + k]:
+            k += 1
+        common.append(k)
+    return order, common
+
+
+def test_suffix_order_with_recursion_and_queues_on_disk(rng):
+    written = 0
+    for it in range(400):
+        text = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(0, 50)))
+        if it % 3 == 0:
+            text = np.tile(text, 3)
+        want = brute_order(text.tolist(), 7) if len(text) else ([], [])
+        for memory, short in ((1 << 20, 1 << 20), (3, 2)):
+            order, common, spilled = suffix_order(text, 7, memory, short)
+            assert (order.tolist(), common.tolist()) == want
+            written += spilled
+    assert written > 1000
+
+
+def brute(rows, window):
+    counts, texts = Counter(), [(k, (t or "").encode()) for k, t in rows]
+    for _, b in texts:
+        counts.update(b[i : i + window] for i in range(len(b) - window + 1))
+    out = []
+    for k, b in texts:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - window + 1):
+            if counts[b[i : i + window]] > 1:
+                gone[i : i + window] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) > 0).sum())
+        out.append((k, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return sorted(out, key=str)
+
+
+def check(docs, window=suffix_dedup.WINDOW, **options):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((tuple(r) for r in suffix_dedup.removed_spans(docs, window, **options).collect()), key=str)
+    assert got == brute(rows, window)
+    return sum(r[2] for r in got)
+
+
+def test_documents(spark):
+    assert check(table(spark, "/root/testdata/sf0.001", "documents")) > 0
+
+
+def test_shared_passages_small_shards_and_hot_anchors(spark, rng):
+    base = ["".join(rng.choice(list("abé \n"), 300)) for _ in range(6)]
+    rows = []
+    for i in range(100):
+        text = "".join(rng.choice(list("abé"), int(rng.integers(0, 80))))
+        for _ in range(int(rng.integers(0, 4))):
+            b, x = base[int(rng.integers(0, 6))], int(rng.integers(0, 200))
+            text += b[x : x + int(rng.integers(20, 150))] + "".join(rng.choice(list("abc"), int(rng.integers(0, 30))))
+        rows.append((i, text))
+    rows += [(200, None), (201, ""), (202, "a" * 500), (203, base[0]), (204, base[0]), (203, base[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = check(docs, 40, gram=12)
+    assert check(docs, 40, gram=12, hot_runs=3, shard_bytes=300, memory=100, short=10) == want > 1000
+    cut = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs, 40, gram=12).collect()}
+    assert cut[200] is None and cut[201] == "" and cut[202] == "" and len(cut) == 105
+
+
+def test_no_documents(spark, no_documents):
+    assert suffix_dedup.removed_spans(no_documents).count() == 0
+    assert suffix_dedup.without_repeats(no_documents).columns == no_documents.columns
+
+
+def test_odd_rows(spark, odd_documents):
+    docs = odd_documents.where("doc_id is null or doc_id <> 7")
+    check(docs, 20, gram=8)
+    kept = suffix_dedup.without_repeats(odd_documents, 20, gram=8)
+    assert kept.columns == odd_documents.columns and kept.count() == odd_documents.count()
