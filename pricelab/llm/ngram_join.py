@@ -123,11 +123,11 @@ def shapes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary:
             for i, j, data, off in text_chunks(batch.column("text")):
                 n, one, two, tokens, size = [], [], [], [], []
                 for s in shingle_sets(data, off):
-                    keep = s
+                    at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
+                    weight = np.where(frequent[at] == s, counts[at], 0) if len(frequent) else np.zeros(len(s))
+                    keep = s[np.argsort(weight, kind="stable")]  # one order for all sets: rare first, then by hash
                     if len(s) > boundary:
-                        at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
-                        weight = np.where(frequent[at] == s, counts[at], 0) if len(frequent) else np.zeros(len(s))
-                        keep = s[np.argsort(weight, kind="stable")[: prefix_length(len(s))]]
+                        keep = keep[: prefix_length(len(s))]
                     n.append(len(s))
                     one.append(s.sum(dtype=np.uint64))
                     two.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))

@@ -139,6 +139,8 @@ class PieceLattice:
         weight = self.weight[piece]
         score = np.empty(len(piece))
         for a, b in zip(levels[:-1], levels[1:], strict=True):
+            if a == b:  # every character that ends here has more bytes
+                continue
             at = by_depth[a:b]
             x, node = alpha[source[at]] + weight[at], target[at]
             group = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))

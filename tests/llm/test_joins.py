@@ -82,7 +82,7 @@ def brute_links(rows, threshold=0.95):
     good = {}
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            x = np.array(v, float)
+            x = np.array(v, float) / max(map(abs, v))
             good[i] = x / np.sqrt((x * x).sum())
     ids = sorted(good)
     return good, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(good[a]) == len(good[b]) and float(good[a] @ good[b]) >= threshold]
