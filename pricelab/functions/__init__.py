@@ -2,19 +2,18 @@
 
 from pricelab.functions.expressions import (  # noqa: F401
     COMPLETED_STATUSES,
-    DATE_FORMATS,
     DROPPED_RAW_COLUMNS,
     ELASTICITY_EDGES,
     ELASTICITY_LABELS,
     bin_label,
     calendar_columns,
+    exact_mean,
     exact_sum,
     lenient_double,
     lenient_timestamp,
     nan_to_null,
     normalize_name,
     pct_change,
-    scaled_mean,
     snap_zero,
     strip_lower,
 )

@@ -31,8 +31,17 @@ ELASTICITY_EDGES = (-1.0, 0.0)
 ELASTICITY_LABELS = ("Elastic", "Inelastic", "Positive Elasticity")
 # ---------------------------------------------------------------------------
 
-# Date formats tried in order for text dates (month first, then day first).
-DATE_FORMATS = ("MM-dd-yy", "dd-MM-yy", "MM-dd-yyyy", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss")
+# Text that a numeric coercion accepts (case-insensitive); anything else is missing, whatever a cast would make of it.
+NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+# Dates: month and day (or day and month) before the year, or the year first; an optional time after a blank or T.
+_TIME = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?)?\s*$"
+YEAR_LAST_PATTERN = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + _TIME
+YEAR_FIRST_PATTERN = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME
+# Two-digit years from here on belong to the 20th century.
+TWO_DIGIT_PIVOT = 69
+
+# Exact sums: 29 digits before the point and nine behind it, so that prices from quantities such as 32 keep all their digits.
+EXACT = T.DecimalType(38, 9)
 
 # Every character Python's str.strip() removes (derived from str.isspace, not listed by hand).
 WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
@@ -56,17 +65,39 @@ def nan_to_null(c: str | Column) -> Column:
 def lenient_double(c: str | Column, dtype: T.DataType | None = None) -> Column:
     """Numeric coercion where failures become NULL (never an error under ANSI mode)."""
     x = _col(c)
-    if not isinstance(dtype, T.DoubleType):
-        x = x.try_cast("double")
-    return nan_to_null(x)
+    if isinstance(dtype, T.DoubleType):
+        return nan_to_null(x)
+    if dtype is None or isinstance(dtype, T.StringType):
+        x = F.when(x.cast("string").rlike(NUMBER_PATTERN), F.trim(x.cast("string")))
+    return nan_to_null(x.try_cast("double"))
 
 
-def lenient_timestamp(c: str | Column, dtype: T.DataType | None = None,
-                      formats: Sequence[str] = DATE_FORMATS) -> Column:
+def _part(x: Column, pattern: str, k: int) -> Column:
+    """Group ``k`` of the pattern as a number; NULL where it does not match."""
+    return F.regexp_extract(x, pattern, k).try_cast("double")
+
+
+def _text_timestamp(x: Column) -> Column:
+    def time_parts(pattern: str) -> list[Column]:
+        return [F.coalesce(_part(x, pattern, 4), F.lit(0)).cast("int"), F.coalesce(_part(x, pattern, 5), F.lit(0)).cast("int"),
+                F.coalesce(_part(x, pattern, 6), F.lit(0)).cast("decimal(16,6)")]
+
+    one, two = _part(x, YEAR_LAST_PATTERN, 1).cast("int"), _part(x, YEAR_LAST_PATTERN, 2).cast("int")
+    short = F.length(F.regexp_extract(x, YEAR_LAST_PATTERN, 3)) == 2
+    year = _part(x, YEAR_LAST_PATTERN, 3).cast("int")
+    year = year + F.when(short, F.when(year >= TWO_DIGIT_PIVOT, 1900).otherwise(2000)).otherwise(0)
+    month_first = F.try_make_timestamp_ntz(year, one, two, *time_parts(YEAR_LAST_PATTERN))
+    day_first = F.try_make_timestamp_ntz(year, two, one, *time_parts(YEAR_LAST_PATTERN))
+    iso = F.try_make_timestamp_ntz(*(_part(x, YEAR_FIRST_PATTERN, k).cast("int") for k in (1, 2, 3)), *time_parts(YEAR_FIRST_PATTERN))
+    return F.coalesce(month_first, day_first, iso)
+
+
+def lenient_timestamp(c: str | Column, dtype: T.DataType | None = None, formats: Sequence[str] = ()) -> Column:
     """Date coercion where unparsable text becomes NULL.
 
-    Text is parsed with each format in turn (first success wins) and kept as a
-    wall-clock TIMESTAMP_NTZ, so calendar parts do not depend on the session zone.
+    Text with the year last is read month first, or day first where that is no date; two-digit
+    years are 1969 to 2068; the year may come first; a time may follow.  ``formats`` are tried before.
+    The result is a wall-clock TIMESTAMP_NTZ, so calendar parts do not depend on the session zone.
     Existing timestamp / date columns are only re-typed.
     """
     x = _col(c)
@@ -74,8 +105,8 @@ def lenient_timestamp(c: str | Column, dtype: T.DataType | None = None,
         return x
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return x.cast("timestamp_ntz")
-    parsed = F.coalesce(*[F.try_to_timestamp(x, F.lit(fmt)) for fmt in formats])
-    return parsed.cast("timestamp_ntz")
+    given = [F.try_to_timestamp(x, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
+    return F.coalesce(*given, _text_timestamp(x.cast("string")))
 
 
 def strip_lower(c: str | Column) -> Column:
@@ -118,24 +149,26 @@ def pct_change(new: str | Column, base: str | Column) -> Column:
     return F.try_divide(_col(new) - _col(base), _col(base)) * F.lit(100)
 
 
-def _micro_units(x: Column, scale: float) -> Column:
-    return F.floor(x * F.lit(float(scale)) + F.lit(0.5)).cast("decimal(38,0)")
+def exact_total(c: str | Column) -> Column:
+    """Decimal sum that raises where a value or the total does not fit, in every ANSI setting."""
+    x = _col(c)
+    exact = x.cast(EXACT)
+    total = F.sum(exact)
+    lost = (F.count(exact) != F.count(x)) | (total.isNull() & (F.count(x) > 0))
+    return F.when(lost, F.raise_error(F.lit("a value or a sum is outside DECIMAL(38,9)")).cast(EXACT)).otherwise(total)
 
 
-def exact_sum(c: str | Column, scale: float = 1e6) -> Column:
-    """Sum of values rounded to 1/scale (micro-units for money), added exactly as DECIMAL.
+def exact_sum(c: str | Column) -> Column:
+    """Sum of values rounded to nine decimals, added exactly as DECIMAL(38,9).
 
     Unlike a floating-point sum, the result does not depend on the order rows
     arrive in, so it is identical across partitionings, retries and engines.
+    Values or totals beyond 29 digits before the point raise; nothing is clamped.
     """
-    return F.sum(_micro_units(_col(c), scale)).cast("double") / F.lit(float(scale))
+    return exact_total(_col(c)).cast("double")
 
 
-def scaled_mean(c: str | Column, scale: float = 1e6) -> Column:
-    """Mean computed on values rounded to 1/scale, summed exactly as DECIMAL.
-
-    The result is independent of summation order (hence of partitioning), so it
-    is reproducible across runs, cluster shapes and engines.
-    """
+def exact_mean(c: str | Column) -> Column:
+    """Mean of values rounded to nine decimals, summed exactly (see :func:`exact_sum`)."""
     x = _col(c)
-    return F.sum(_micro_units(x, scale)).cast("double") / F.count(x) / F.lit(float(scale))
+    return F.try_divide(exact_total(x).cast("double"), F.count(x).cast("double"))

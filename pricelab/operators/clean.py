@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from pricelab.functions import (
     COMPLETED_STATUSES,
-    DATE_FORMATS,
     DROPPED_RAW_COLUMNS,
     calendar_columns,
     lenient_double,
@@ -53,7 +52,7 @@ def _dtype(df: DataFrame, name: str) -> T.DataType | None:
 
 
 def sales_fact(raw: DataFrame, statuses: Sequence[str] = COMPLETED_STATUSES,
-               date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+               date_formats: Sequence[str] = ()) -> DataFrame:
     """Clean raw export rows into the sales fact.
 
     drop raw columns -> normalise headers -> completed statuses -> drop rows with a
@@ -61,15 +60,7 @@ def sales_fact(raw: DataFrame, statuses: Sequence[str] = COMPLETED_STATUSES,
     add ``unit_price``, ``revenue``, calendar parts -> normalise channel texts.
     Coercions never fail: bad numbers, dates and flags become NULL.
     """
-    df = completed_sales(normalize_columns(drop_raw_columns(raw)), statuses)
-    coerced = {
-        "qty": lenient_double("qty", _dtype(df, "qty")),
-        "amount": lenient_double("amount", _dtype(df, "amount")),
-        "date": lenient_timestamp("date", _dtype(df, "date"), date_formats),
-    }
-    if "b2b" in df.columns and not isinstance(_dtype(df, "b2b"), T.BooleanType):
-        coerced["b2b"] = F.col("b2b").try_cast("boolean")
-    df = df.withColumns(coerced)
+    df = _coerced(raw, statuses, date_formats)
     df = df.where(F.col("amount").isNotNull() & F.col("qty").isNotNull() & F.col("sku").isNotNull()
                   & (F.col("amount") > 0) & (F.col("qty") > 0)
                   & F.col("date").isNotNull())
@@ -82,3 +73,25 @@ def sales_fact(raw: DataFrame, statuses: Sequence[str] = COMPLETED_STATUSES,
         if text_col in df.columns:
             derived[text_col] = strip_lower(text_col)
     return df.withColumns(derived)
+
+
+def dropped_rows(raw: DataFrame, statuses: Sequence[str] = COMPLETED_STATUSES, date_formats: Sequence[str] = ()) -> DataFrame:
+    """One row of counts of the completed rows that :func:`sales_fact` leaves out, by the first rule that does."""
+    df = _coerced(raw, statuses, date_formats)
+    missing = F.col("amount").isNull() | F.col("qty").isNull() | F.col("sku").isNull()
+    not_positive = ~missing & ((F.col("amount") <= 0) | (F.col("qty") <= 0))
+    bad_date = ~missing & ~not_positive & F.col("date").isNull()
+    return df.agg(F.count(F.lit(1)).alias("completed"), F.count_if(missing).alias("missing"),
+                  F.count_if(not_positive).alias("not_positive"), F.count_if(bad_date).alias("bad_date"))
+
+
+def _coerced(raw: DataFrame, statuses: Sequence[str], date_formats: Sequence[str]) -> DataFrame:
+    df = completed_sales(normalize_columns(drop_raw_columns(raw)), statuses)
+    coerced = {
+        "qty": lenient_double("qty", _dtype(df, "qty")),
+        "amount": lenient_double("amount", _dtype(df, "amount")),
+        "date": lenient_timestamp("date", _dtype(df, "date"), date_formats),
+    }
+    if "b2b" in df.columns and not isinstance(_dtype(df, "b2b"), T.BooleanType):
+        coerced["b2b"] = F.col("b2b").try_cast("boolean")
+    return df.withColumns(coerced)

@@ -1,9 +1,9 @@
 """Distribution of a numeric column: equal-width histogram and Gaussian KDE curve.
 
-Rows are first reduced to (value, multiplicity[, weight sum]) by one partial
-aggregate.  Range, count and standard deviation come from that table as
-uncorrelated scalar subqueries (the shared shuffle is reused, no ``collect()``),
-and the histogram and the density curve are aggregates over it.
+Range, count and standard deviation are one partial aggregate over the rows (an uncorrelated scalar
+subquery, no ``collect()``); the histogram and the curve are a second one that buckets the rows
+directly, so a task ships one row per bin or grid point and the rows themselves are never shuffled by
+value.  Both read the same columns of the same plan, whose exchanges are reused.
 """
 
 from __future__ import annotations
@@ -14,28 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# |z| beyond which the Gaussian kernel underflows to exactly 0.0 (exp(-800) == 0.0).
-KERNEL_REACH = 40.0
+def _values(df: DataFrame, col: str, weight: str | None, rows: str | None) -> DataFrame:
+    """The column as ``x``, its multiplicity as ``w`` and the weight as ``q``, missing values left out."""
+    x = df.where(F.col(col).isNotNull() & ~F.isnan(col))
+    w = F.col(rows) if rows else F.lit(1).cast("long")
+    return x.select(F.col(col).alias("x"), w.alias("w"), *([F.col(weight).alias("q")] if weight else []))
 
 
-def value_weights(df: DataFrame, col: str = "unit_price", weight: str | None = None) -> DataFrame:
-    """Distinct values with their row count ``w`` (and ``q`` = Σ weight)."""
-    aggs = [F.count(F.lit(1)).alias("w")]
-    if weight:
-        aggs.append(F.sum(weight).alias("q"))
-    return (df.where(F.col(col).isNotNull() & ~F.isnan(col))
-              .groupBy(F.col(col).alias("x")).agg(*aggs))
+def _stats(values: DataFrame, rows: str | None) -> Column:
+    """Scalar struct(lo, hi, n, sd); sd is the sample deviation (NULL for a single value, as is the KDE).
 
-
-def _stats(weighted: DataFrame) -> Column:
-    """Scalar struct(lo, hi, n, sd); sd is the sample deviation, computed in two passes."""
-    mean = weighted.select(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w"))).scalar()
-    dev = F.col("x") - mean
-    return weighted.select(F.struct(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("n"),
-        # NULL for a single value: the sample deviation (and the KDE) is undefined there
-        F.sqrt(F.try_divide(F.sum(F.col("w") * dev * dev), F.sum("w") - F.lit(1))).alias("sd"),
-    ).alias("s")).scalar()
+    Plain rows take one pass; values with multiplicities (a small table) take the mean first.
+    """
+    if rows is None:
+        sd = F.stddev_samp("x")
+    else:
+        mean = values.select(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w"))).scalar()
+        dev = F.col("x") - mean
+        sd = F.sqrt(F.try_divide(F.sum(F.col("w") * dev * dev), F.sum("w") - F.lit(1)))
+    return values.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("n"), sd.alias("sd")).alias("s")).scalar()
 
 
 def _with_stats(df: DataFrame, stats: Column) -> DataFrame:
@@ -57,11 +54,10 @@ def _range_cols(bins: int) -> list[Column]:
     return [lo2.alias("lo"), hi2.alias("hi"), ((hi2 - lo2) / F.lit(float(bins))).alias("step")]
 
 
-def histogram_from_weights(weighted: DataFrame, bins: int = 50, weight: str | None = None) -> DataFrame:
-    """Histogram of a ``value_weights`` table (see :func:`histogram`)."""
-    stats = _stats(weighted)
+def _histogram(values: DataFrame, bins: int, weight: str | None, rows: str | None) -> DataFrame:
+    stats = _stats(values, rows)
     wcols = ["q"] if weight else []
-    staged = _with_stats(weighted, stats).select("x", "w", *wcols, *_range_cols(bins))
+    staged = _with_stats(values, stats).select("x", "w", *wcols, *_range_cols(bins))
     x, lo, hi, step = F.col("x"), F.col("lo"), F.col("hi"), F.col("step")
     staged = staged.withColumn("k0", F.least(F.greatest(F.floor((x - lo) / step).cast("int"), F.lit(0)),
                                              F.lit(bins - 1)))
@@ -73,27 +69,29 @@ def histogram_from_weights(weighted: DataFrame, bins: int = 50, weight: str | No
           .otherwise(k0))
     aggs = [F.sum("w").alias("count")] + ([F.sum("q").alias(f"total_{weight}")] if weight else [])
     counts = staged.groupBy((k + 1).alias("bin")).agg(*aggs)
-    spark = weighted.sparkSession
+    spark = values.sparkSession
     # every bin with its edges: a fixed list of `bins` rows
     edges = (_with_stats(spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")), stats)
                   .select("bin", *_range_cols(bins)))
     kk = F.col("bin") - 1
     edges = edges.select("bin", _edge(kk, lo, hi, step, bins).alias("bin_lo"),
                          _edge(kk + 1, lo, hi, step, bins).alias("bin_hi"))
-    return (F.broadcast(edges).join(counts, "bin", "left")
+    # at most `bins` counts: a proven bound, on the side a left join can broadcast
+    return (edges.join(F.broadcast(counts), "bin", "left")
             .select("bin", "bin_lo", "bin_hi",
                     F.coalesce("count", F.lit(0)).cast("long").alias("count"),
                     *([F.coalesce(f"total_{weight}", F.lit(0.0)).alias(f"total_{weight}")] if weight else [])))
 
 
 def histogram(df: DataFrame, col: str = "unit_price", bins: int = 50,
-              weight: str | None = "qty") -> DataFrame:
+              weight: str | None = "qty", rows: str | None = None) -> DataFrame:
     """``bins`` equal-width bins over [min, max]; bins are [lo, hi), the last [lo, hi].
 
     Returns every bin (empty ones with count 0): ``bin`` (1-based), ``bin_lo``,
     ``bin_hi``, ``count`` and, when ``weight`` is given, ``total_<weight>``.
+    ``rows`` names a column of multiplicities, for tables already reduced by value.
     """
-    return histogram_from_weights(value_weights(df, col, weight), bins, weight)
+    return _histogram(_values(df, col, weight, rows), bins, weight, rows)
 
 
 def modal_bin(hist: DataFrame) -> DataFrame:
@@ -101,48 +99,39 @@ def modal_bin(hist: DataFrame) -> DataFrame:
     return hist.orderBy(F.desc("count"), "bin").limit(1)
 
 
-def density(df: DataFrame, col: str = "unit_price", gridsize: int = 200, bins: int = 50) -> DataFrame:
+def density(df: DataFrame, col: str = "unit_price", gridsize: int = 200, bins: int = 50, rows: str | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth sd·n^-1/5) on ``gridsize`` points spanning [min, max].
 
     ``density`` integrates to 1; ``count_density`` is scaled by Σ count·width of
     the ``bins``-bin histogram, i.e. the curve drawn over a count histogram.
-    Each distinct value contributes only to the grid points within reach of its
-    kernel (at most ``gridsize``: bounded fan-out).
+    Every row adds its kernel to every grid point; the sums are combined in each task, which ships
+    ``gridsize`` rows.
     """
-    weighted = value_weights(df, col)
-    stats = _stats(weighted)
-    staged = _with_stats(weighted, stats).select(
+    values = _values(df, col, None, rows)
+    stats = _stats(values, rows)
+    staged = _with_stats(values, stats).select(
         "x", "w", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"),
-        F.col("s.n").cast("double").alias("n"),
         (F.col("s.sd") * F.pow(F.col("s.n").cast("double"), F.lit(-0.2))).alias("bw"))
-    # exp(-z²/2) is exactly 0.0 in double precision once |z| > 40, so a value only
-    # reaches the grid points within 40 bandwidths: the same sums, without the zeros.
-    gstep = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
-    reach = F.lit(KERNEL_REACH) * F.col("bw")
-    first = F.greatest(F.floor(F.try_divide(F.col("x") - reach - F.col("lo"), gstep)) - 1, F.lit(0))
-    last = F.least(F.ceil(F.try_divide(F.col("x") + reach - F.col("lo"), gstep)) + 1, F.lit(gridsize - 1))
-    span = F.sequence(F.coalesce(first.cast("int"), F.lit(0)), F.coalesce(last.cast("int"), F.lit(gridsize - 1)))
-    grid = F.broadcast(_grid(weighted, stats, gridsize))  # gridsize rows: a proven bound
-    points = staged.select("x", "w", "bw", F.explode(span).alias("grid_index")) \
-                   .join(grid.select("grid_index", "gx"), "grid_index")
-    z = F.try_divide(F.col("gx") - F.col("x"), F.col("bw"))  # NULL when the values are all equal
+    points = staged.select("x", "w", "bw", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index"))
+    z = F.try_divide(_grid_point(F.col("grid_index"), F.col("lo"), F.col("hi"), gridsize) - F.col("x"), F.col("bw"))  # NULL when the values are all equal
     sums = points.groupBy("grid_index").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("kernel_sum"))
-    # every grid point, including those no value reaches (sum 0)
-    dens = grid.join(sums, "grid_index", "left") \
-               .withColumn("kernel_sum", F.coalesce("kernel_sum", F.lit(0.0)))
-    hist = histogram_from_weights(weighted, bins)
+    # every grid point; at most `gridsize` sums: a proven bound
+    dens = _grid(values, stats, gridsize).join(F.broadcast(sums), "grid_index", "left") \
+        .withColumn("kernel_sum", F.coalesce("kernel_sum", F.lit(0.0)))
+    hist = _histogram(values, bins, None, rows)
     hist_norm = hist.select(F.sum(F.col("count") * (F.col("bin_hi") - F.col("bin_lo")))).scalar()
     pdf = F.try_divide(F.col("kernel_sum"), F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
     return (dens.select("grid_index", F.col("gx").alias(col), pdf.alias("density"))
                 .select("*", (F.col("density") * hist_norm).alias("count_density")))
 
 
-def _grid(weighted: DataFrame, stats: Column, gridsize: int) -> DataFrame:
+def _grid_point(j: Column, lo: Column, hi: Column, gridsize: int) -> Column:
+    return F.when(j == gridsize - 1, hi).otherwise(j.cast("double") * ((hi - lo) / F.lit(float(gridsize - 1))) + lo)
+
+
+def _grid(values: DataFrame, stats: Column, gridsize: int) -> DataFrame:
     """The ``gridsize`` evaluation points linspace(min, max, gridsize), with n and bandwidth."""
-    spark = weighted.sparkSession
-    g = _with_stats(spark.range(gridsize).select(F.col("id").cast("int").alias("grid_index")), stats)
-    j = F.col("grid_index")
-    lo, hi, n = F.col("s.lo"), F.col("s.hi"), F.col("s.n").cast("double")
-    gstep = (hi - lo) / F.lit(float(gridsize - 1))
-    return g.select("grid_index", F.when(j == gridsize - 1, hi).otherwise(j.cast("double") * gstep + lo).alias("gx"),
+    g = _with_stats(values.sparkSession.range(gridsize).select(F.col("id").cast("int").alias("grid_index")), stats)
+    n = F.col("s.n").cast("double")
+    return g.select("grid_index", _grid_point(F.col("grid_index"), F.col("s.lo"), F.col("s.hi"), gridsize).alias("gx"),
                     n.alias("n"), (F.col("s.sd") * F.pow(n, F.lit(-0.2))).alias("bw"))

@@ -69,8 +69,8 @@ def range_counts(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LA
     label_df = spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)],
                                      "elasticity_range string, label_order int")
     counts = elasticity_df.groupBy("elasticity_range").agg(F.count(F.lit(1)).alias("count"))
-    # The label side is a fixed list of len(labels) rows: a proven broadcast bound.
-    return (F.broadcast(label_df).join(counts, "elasticity_range", "left")
+    # at most one row per label: a proven broadcast bound, on the side a left join can broadcast
+    return (label_df.join(F.broadcast(counts), "elasticity_range", "left")
             .select("elasticity_range", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
                     "label_order")
             .orderBy(F.desc("count"), "label_order"))  # most frequent first, like value_counts()
@@ -88,6 +88,6 @@ def range_share(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LAB
 
 def peak_price(price_demand_df: DataFrame, key: str) -> DataFrame:
     """Unit price with the largest total quantity per key (ties: the lowest price)."""
-    return price_demand_df.groupBy(key).agg(
-        F.max_by("unit_price", F.struct(F.col("qty"), -F.col("unit_price"))).alias("peak_price"),
-        F.max("qty").alias("peak_qty"))
+    peak = price_demand_df.groupBy(key).agg(F.max("qty").alias("peak_qty"))
+    at_peak = price_demand_df.join(peak, key).where(F.col("qty") == F.col("peak_qty"))
+    return at_peak.groupBy(key).agg(F.min("unit_price").alias("peak_price"), F.max("peak_qty").alias("peak_qty"))

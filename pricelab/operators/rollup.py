@@ -5,35 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.functions import exact_sum, scaled_mean
+from pyspark.sql import types as T
 
+from pricelab.functions import exact_sum
+from pricelab.functions.expressions import EXACT, exact_total
 
-def _first_non_null(value: str, order: Column) -> Column:
-    """First non-missing value in ``order`` (order-independent across partitions)."""
-    return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), order))
+#: Row positions: a numeric buffer wide enough for (file, block, row).
+ORDER = T.DecimalType(38, 0)
 
 
-def key_rollup(fact: DataFrame, key: str = "sku", order: Column | None = None,
-               mean_scale: float | None = None) -> DataFrame:
-    """Per key: mean unit price, total qty, total revenue, first style and category.
+def key_rollup(fact: DataFrame, key: str = "sku", order: Column | str = "_row_order", exact: bool = False) -> DataFrame:
+    """Per key: mean unit price, total qty, total revenue, first style and category."""
+    return key_summary(fact, key, order, exact).drop("count")
 
-    ``order`` defines "first" (default: the CSV reader's ``_row_order``, i.e. file
-    order); ``mean_scale`` switches the mean to the
-    order-independent scaled-integer form of :func:`scaled_mean`.
+
+def key_summary(fact: DataFrame, key: str = "sku", order: Column | str = "_row_order", exact: bool = False) -> DataFrame:
+    """:func:`key_rollup` with the number of rows.
+
+    ``order`` is a number that defines "first" (default: the CSV reader's ``_row_order``, i.e. file
+    order); rows without such a column have no first and are refused.  ``exact`` makes the mean independent of
+    the order of summation (:func:`exact_mean`).
+
+    The fact is reduced by (key, style, category) with numeric buffers only, so it is hash-aggregated;
+    the "first" values are picked from those few rows per key.
     """
-    if order is None:
-        # the reader's row position when present, else the scan order of these rows
-        # (projected first: not allowed inside an aggregate)
-        if "_row_order" not in fact.columns:
-            fact = fact.withColumn("_row_order", F.monotonically_increasing_id())
-        order = F.col("_row_order")
-    mean = scaled_mean("unit_price", mean_scale) if mean_scale else F.avg("unit_price")
-    return (fact.where(F.col(key).isNotNull())
-                .groupBy(key).agg(mean.alias("avg_price"),
-                                  F.sum("qty").alias("total_qty"),
-                                  exact_sum("revenue").alias("total_revenue"),
-                                  _first_non_null("style", order).alias("style"),
-                                  _first_non_null("category", order).alias("category")))
+    if isinstance(order, str):
+        if order not in fact.columns:
+            raise ValueError(f"no column {order!r}: say by which number rows are ordered")
+        order = F.col(order)
+    price = F.col("unit_price").cast(EXACT) if exact else F.col("unit_price")
+    few = fact.where(F.col(key).isNotNull()).groupBy(key, "style", "category").agg(
+        F.sum(price).alias("price"), F.count("unit_price").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum("qty").alias("qty"),
+        exact_total("revenue").alias("revenue"), F.min(order.cast(ORDER)).alias("at"))
+
+    def first(value: str) -> Column:
+        return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("at"))).alias(value)
+
+    return few.groupBy(key).agg(
+        F.try_divide(F.sum("price").cast("double"), F.sum("n").cast("double")).alias("avg_price"), F.sum("qty").alias("total_qty"),
+        exact_sum("revenue").alias("total_revenue"), first("style"), first("category"), F.sum("rows").alias("count"))
 
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
@@ -52,16 +62,9 @@ def busiest_key(fact: DataFrame, key: str = "sku") -> DataFrame:
     return value_counts(fact, key).limit(1).select(key)
 
 
-def demand_curve(fact: DataFrame, key_value: str | DataFrame, key: str = "sku") -> DataFrame:
-    """Total quantity per unit price for one key, by ascending price.
-
-    ``key_value`` is a literal, or a one-row DataFrame holding the key to use.
-    """
-    if isinstance(key_value, DataFrame):
-        one = F.broadcast(key_value.select(key).limit(1))  # at most one row: proven bound
-        rows = fact.join(one, key, "left_semi")
-    else:
-        rows = fact.where(F.col(key) == F.lit(key_value))
+def demand_curve(fact: DataFrame, key_value: str, key: str = "sku") -> DataFrame:
+    """Total quantity per unit price for one key, by ascending price."""
+    rows = fact.where(F.col(key) == F.lit(key_value))
     return rows.groupBy("unit_price").agg(F.sum("qty").alias("qty")).orderBy("unit_price")
 
 
@@ -71,8 +74,12 @@ def busiest_demand_curve(fact: DataFrame, key: str = "sku") -> DataFrame:
     Both the pick and the curve come from one (key, price) pre-aggregate that also
     counts rows, so the fact is scanned and shuffled once (the exchange is reused).
     """
-    per_price = (fact.where(F.col(key).isNotNull())
-                     .groupBy(key, "unit_price").agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows")))
+    return busiest_curve_of(fact.where(F.col(key).isNotNull())
+                                .groupBy(key, "unit_price").agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows")), key)
+
+
+def busiest_curve_of(per_price: DataFrame, key: str = "sku") -> DataFrame:
+    """The same from a (key, unit_price) -> Σqty, rows table."""
     one = (per_price.groupBy(key).agg(F.sum("rows").alias("rows"))
                     .orderBy(F.desc("rows"), key).limit(1).select(key))
     return (per_price.join(F.broadcast(one), key, "left_semi")  # one row: proven bound

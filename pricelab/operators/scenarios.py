@@ -53,9 +53,20 @@ def _explode_param(values: Sequence[float], name: str) -> Column:
     return F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name)
 
 
-def _label(mult: Column, suffix: str) -> Column:
-    # (m - 1) * 100 truncated toward zero, as an integer label: 0.9 -> "-9% discount".
-    return F.concat(((mult - F.lit(1.0)) * F.lit(100.0)).cast("int").cast("string"), F.lit(suffix))
+PROMO_SUFFIX, PEAK_SUFFIX = "% discount", "% demand uplift"
+
+
+def label_text(m: float, suffix: str) -> str:
+    """(m - 1) * 100 truncated toward zero, as an integer label: 0.9 -> "-9% discount"."""
+    return f"{int((m - 1) * 100)}{suffix}"
+
+
+def _label(values: Sequence[float], suffix: str) -> Column:
+    """The label of the row's multiplier, from the one rule above."""
+    out = F.lit(None).cast("string")
+    for m in values:
+        out = F.when(F.col("multiplier") == F.lit(float(m)), F.lit(label_text(m, suffix))).otherwise(out)
+    return out
 
 
 def price_scenarios(base_el: DataFrame, multipliers: Sequence[float] = PRICE_GRID,
@@ -82,7 +93,7 @@ def promo_scenarios(base_el: DataFrame, discounts: Sequence[float] = DISCOUNTS,
     r0, q0 = F.col("baseline_rev"), F.col("baseline_qty")
     q1 = q0 * F.pow(m, e)
     r1 = F.try_divide(r0, q0) * m * q1
-    return grid.select(key, _label(m, "% discount").alias("scenario"), r0.alias("baseline_rev"),
+    return grid.select(key, _label(discounts, PROMO_SUFFIX).alias("scenario"), r0.alias("baseline_rev"),
                        r1.alias("sim_rev"), pct_change(r1, r0).alias("rev_change_pct"),
                        m.alias("multiplier"))
 
@@ -93,7 +104,7 @@ def peak_scenarios(base_el: DataFrame, uplifts: Sequence[float] = DEMAND_UPLIFTS
     grid = base_el.select("*", _explode_param(uplifts, "multiplier"))
     u, r0 = F.col("multiplier"), F.col("baseline_rev")
     r1 = r0 * u
-    return grid.select(key, _label(u, "% demand uplift").alias("scenario"), r0.alias("baseline_rev"),
+    return grid.select(key, _label(uplifts, PEAK_SUFFIX).alias("scenario"), r0.alias("baseline_rev"),
                        r1.alias("sim_rev"), pct_change(r1, r0).alias("rev_change_pct"),
                        u.alias("multiplier"))
 
@@ -106,8 +117,7 @@ def evaluation(promo: DataFrame, peak: DataFrame) -> DataFrame:
 def scenario_labels(discounts: Sequence[float] = DISCOUNTS,
                     uplifts: Sequence[float] = DEMAND_UPLIFTS) -> list[str]:
     """Pivot column names, in sorted text order; derived from the parameters, not the data."""
-    labels = [f"{int((m - 1) * 100)}% discount" for m in discounts]
-    labels += [f"{int((u - 1) * 100)}% demand uplift" for u in uplifts]
+    labels = [label_text(m, PROMO_SUFFIX) for m in discounts] + [label_text(u, PEAK_SUFFIX) for u in uplifts]
     return sorted(set(labels))
 
 

@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.operators.stats import grouped_median
-from pricelab.plans.session import reliable_checkpoint
+from pricelab.operators.stats import grouped_stats
 
 # Modal attribute name -> fact column.
 SEGMENT_SOURCES = {"sales_channel": "sales_channel", "fulfilled_by": "fulfilled_by", "b2b_flag": "b2b"}
@@ -26,28 +25,32 @@ def price_demand_and_attributes(fact: DataFrame, key: str = "sku",
                                 sources: Mapping[str, str] = SEGMENT_SOURCES) -> tuple[DataFrame, DataFrame]:
     """Σ qty per (key, price) and the modal attributes per key, from one scan of the fact.
 
-    One GROUPING SETS aggregate computes Σ qty per (key, price) and the row count per
-    (key, attribute values) in a single pass and shuffle (the attribute set collapses
-    map-side to a few rows per key).  The mode of an attribute is the value with the
-    most rows, ties to the smallest value; NULL when the key has none (the same result
-    as :func:`modal_attributes`).
+    The fact is reduced once to (key, price, attribute values) with map-side partial sums; those rows
+    are dealt by key a single time, and both results are aggregates over that partitioning without
+    another exchange.  The mode of an attribute is the value with the most rows, ties to the smallest
+    value; NULL when the key has none (the same result as :func:`modal_attributes`).
     """
+    return split_detail(key_detail(fact, key, sources).repartition(key), key, sources)
+
+
+def key_detail(fact: DataFrame, key: str = "sku", sources: Mapping[str, str] = SEGMENT_SOURCES) -> DataFrame:
+    """Σ qty and rows per (key, price, attribute values)."""
+    return (fact.where(F.col(key).isNotNull()).groupBy(key, "unit_price", *sources.values())
+                .agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows")))
+
+
+def split_detail(detail: DataFrame, key: str = "sku", sources: Mapping[str, str] = SEGMENT_SOURCES) -> tuple[DataFrame, DataFrame]:
+    """Σ qty per (key, price) and the modal attributes per key from a :func:`key_detail` table."""
     names, cols = list(sources), list(sources.values())
-    both = (fact.where(F.col(key).isNotNull() & F.col("unit_price").isNotNull())
-                .groupingSets([[key, "unit_price"], [key, *cols]], key, "unit_price", *cols)
-                .agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("gid")))
-    # grouping_id has one bit per column left out of the set: (key, price) leaves out the
-    # attributes (low bits), (key, attributes) leaves out the price (the next bit)
-    price_demand = both.where(F.col("gid") == (1 << len(cols)) - 1).select(key, "unit_price", "qty")
-    attrs = both.where(F.col("gid") == (1 << len(cols))).select(key, "rows", *cols)
-    long = attrs.select(key, "rows", F.explode(F.array(*[
+    price_demand = detail.where(F.col("unit_price").isNotNull()).groupBy(key, "unit_price").agg(F.sum("qty").alias("qty"))
+    long = detail.select(key, "rows", F.explode(F.array(*[
         F.struct(F.lit(i).alias("a"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)
     ])).alias("e")).select(key, "rows", "e.a", "e.v")
     counts = long.groupBy(key, "a", "v").agg(F.sum("rows").alias("c"))
     picks = []
     for i, (name, col) in enumerate(zip(names, cols)):
         pick = F.min_by("v", F.when((F.col("a") == i) & F.col("v").isNotNull(), F.struct(-F.col("c"), F.col("v"))))
-        picks.append(pick.cast(fact.schema[col].dataType).alias(name))
+        picks.append(pick.cast(detail.schema[col].dataType).alias(name))
     return price_demand, counts.groupBy(key).agg(*picks)
 
 
@@ -58,14 +61,8 @@ def segment_table(elasticity_df: DataFrame, meta: DataFrame, key: str = "sku",
 
 
 def _stats(seg: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
-    # Materialise the (group, value) pairs once in the shared checkpoint folder:
-    # the mean and the median rounds all re-read them.
-    vals = reliable_checkpoint(seg.select(*group_cols, value)
-                                  .where(F.col(value).isNotNull() & ~F.isnan(value)))
-    basic = vals.groupBy(*group_cols).agg(F.count(value).alias("n_skus"),
-                                          F.avg(value).alias("avg_elasticity"))
-    med = grouped_median(vals, group_cols, value, out_col="med_elasticity", checkpoint_input=False)
-    return basic.join(med, list(group_cols), "left")
+    stats = grouped_stats(seg, group_cols, value)
+    return stats.select(*group_cols, F.col("n").alias("n_skus"), F.col("mean").alias("avg_elasticity"), F.col("median").alias("med_elasticity"))
 
 
 def segment_stats_for(seg: DataFrame, dim: str, value: str = "elasticity") -> DataFrame:

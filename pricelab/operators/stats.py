@@ -1,107 +1,64 @@
 """Exact grouped median without gathering a group into one task.
 
-Spark's ``median`` merges all distinct values of a group in one task, which
-does not hold when one group carries a third of the rows.  Here the rank
-search is distributed: each round builds a fixed-size equal-width histogram of
-the values still in play per (group, target rank) with map-side partial
-aggregation, keeps the bucket holding the rank, and repeats until the bucket
-is a single value or small enough (``gather_limit``) to sort.  Per-task state
-is bounded by ``buckets`` and ``gather_limit``, whatever the group size.
+Spark's ``median`` merges all distinct values of a group in one task, which does not hold when one
+group carries a third of the rows.  Here one lazy plan does it with aggregates that combine map-side:
+equal values are counted, a bounded sketch gives cut points per group, the values between neighbouring
+cuts are counted, and the middle rank (two for an even count) is looked up among the distinct values of
+the bracket that holds it.  The sketch only decides how narrow a bracket is; the result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelab.plans.session import ensure_checkpoint_dir, reliable_checkpoint
+#: Cut points per group and accuracy of the sketch that proposes them.
+CUTS = 1000
+ACCURACY = 20_000
 
-# Small side of a join is broadcast only below this many rows (checked by count).
-BROADCAST_ROW_LIMIT = 100_000
 
+def grouped_stats(df: DataFrame, group_cols: Sequence[str], value_col: str, cuts: int = CUTS) -> DataFrame:
+    """Per group: n, mean and exact median of ``value_col`` (mean of the two middle values for even n).
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROW_LIMIT else df
-
-
-def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                   out_col: str = "median", buckets: int = 1024, gather_limit: int = 100_000,
-                   max_rounds: int = 200, checkpoint_input: bool = True) -> DataFrame:
-    """Exact median of ``value_col`` per group (mean of the two middle values for even n).
-
-    NULL and NaN values are ignored; groups with no value are absent.  Pass
-    ``checkpoint_input=False`` when ``df`` is already materialised.
+    NULL and NaN values are ignored; groups with no value are absent; a NULL group is a group.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     g = list(group_cols)
     vals = (df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
-              .select(*g, F.col(value_col).cast("double").alias("v")))
-    if checkpoint_input:
-        vals = reliable_checkpoint(vals)  # re-read every round: cut lineage once, reliably
-
-    # One target per middle rank (two when n is even).  State per target: the
-    # value range [lo, hi] still holding the rank, how many values lie below it,
-    # and how many are inside it (cnt).
-    summary = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                   F.max("v").alias("hi"))
-    state = (summary.select(*g, "lo", "hi", F.col("n").alias("cnt"), F.explode(F.array_distinct(F.array(
-                    F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank"))
-                    .select(*g, F.col("rank").cast("long").alias("rank"), "lo", "hi",
-                            F.lit(0).cast("long").alias("below"), "cnt",
-                            F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("answer")))
-    state = reliable_checkpoint(state)
-    done = state.where(F.col("answer").isNotNull()).select(*g, "rank", "answer")
-    state = state.where(F.col("answer").isNull()).drop("answer")
-
-    for _ in range(max_rounds):
-        # Targets whose range holds few values are settled by sorting those values.
-        small = state.where(F.col("cnt") <= gather_limit)
-        n_small = small.count()
-        if n_small:
-            done = done.unionByName(_gather(vals, small, g, n_small))
-        big = state.where(F.col("cnt") > gather_limit)
-        n_big = big.count()
-        if n_big == 0:
-            break
-        state = reliable_checkpoint(_narrow(vals, big, g, n_big, buckets))
-        done = done.unionByName(state.where(F.col("answer").isNotNull()).select(*g, "rank", "answer"))
-        state = state.where(F.col("answer").isNull()).drop("answer")
-    else:
-        raise RuntimeError(f"median search did not converge in {max_rounds} rounds")
-
-    return done.groupBy(*g).agg(((F.min("answer") + F.max("answer")) / F.lit(2.0)).alias(out_col))
-
-
-def _in_range(vals: DataFrame, targets: DataFrame, g: list[str], n_targets: int) -> DataFrame:
-    return (vals.join(_small(targets, n_targets), g)
-                .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
-
-
-def _gather(vals: DataFrame, small: DataFrame, g: list[str], n_small: int) -> DataFrame:
-    """Sort the (at most ``gather_limit``) values in range and pick the rank."""
-    return (_in_range(vals, small, g, n_small)
-            .groupBy(*g, "rank", "below")
-            .agg(F.sort_array(F.collect_list("v")).alias("vs"))
-            .select(*g, "rank", F.element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int"))
-                    .alias("answer")))
-
-
-def _narrow(vals: DataFrame, big: DataFrame, g: list[str], n_big: int, buckets: int) -> DataFrame:
-    """One round: equal-width histogram of each range; keep the bucket holding the rank."""
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
-    bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))) \
-              .otherwise(F.when(F.col("v") >= F.col("hi"), 1).otherwise(0))
-    hist = (_in_range(vals, big, g, n_big)
-            .groupBy(*g, "rank", "below", bucket.cast("int").alias("b"))
-            .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
-    # At most `buckets` rows per (group, rank): a bounded window.
-    w = Window.partitionBy(*g, "rank").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.col("below") + F.col("cum") - F.col("cnt")   # values below this bucket
-    return (hist.withColumn("cum", F.sum("cnt").over(w))
-                .where((first <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("cum")))
-                .select(*g, "rank", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-                        first.alias("below"), "cnt",
-                        F.when(F.col("bmin") == F.col("bmax"), F.col("bmin")).alias("answer")))
+              .select(F.to_json(F.struct(*g), {"ignoreNullFields": "false"}).alias("g"), *g, F.col(value_col).cast("double").alias("v")))
+    # distinct values with their counts: everything below reads this one exchange
+    distinct = vals.groupBy("g", *g, "v").agg(F.count(F.lit(1)).alias("m"))
+    shares = [k / cuts for k in range(1, cuts)]
+    groups = distinct.groupBy("g", *g).agg(F.sum("m").alias("n"), (F.sum(F.col("m") * F.col("v")) / F.sum("m")).alias("mean"),
+                                           F.array_distinct(F.percentile_approx("v", shares, ACCURACY)).alias("cuts"))
+    # bracket k holds the values from cut k - 1 (exclusive) up to cut k (inclusive)
+    placed = distinct.select("g", "v", "m").join(groups.select("g", "n", "cuts"), "g").select("g", "n", "v", "m", _bracket(F.col("v"), F.col("cuts"), cuts).alias("k"))
+    counts = placed.groupBy("g", "k").agg(F.sum("m").alias("c"), F.first("n").alias("n"))
+    # at most `cuts` rows per group: a bounded window
+    counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("k")))
+    middle = F.array_distinct(F.array(((F.col("n") - 1) / 2).cast("long"), (F.col("n") / 2).cast("long")))
+    holds = F.filter(F.transform(middle, lambda r: r - F.col("upto") + F.col("c")), lambda r: (r >= 0) & (r < F.col("c")))
+    targets = counts.select("g", "k", holds.alias("inside")).where(F.size("inside") > 0)
+    # the distinct values of one or two brackets of each group
+    seen = placed.join(targets, ["g", "k"]).select("g", "k", "v", "m", "inside")
+    seen = seen.withColumn("upto", F.sum("m").over(Window.partitionBy("g", "k").orderBy("v")))
+    hit = F.exists("inside", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("m")))
+    found = seen.where(hit).groupBy("g").agg(((F.min("v") + F.max("v")) / F.lit(2.0)).alias("median"))
+    return groups.join(found, "g").select(*g, "n", "mean", "median")
+
+
+def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out_col: str = "median", cuts: int = CUTS) -> DataFrame:
+    """Exact median per group (see :func:`grouped_stats`)."""
+    return grouped_stats(df, group_cols, value_col, cuts).select(*group_cols, F.col("median").alias(out_col))
+
+
+def _bracket(v: Column, cuts: Column, most: int) -> Column:
+    """Number of cuts below ``v``, by bisection over the sorted cut array."""
+    steps = most.bit_length()
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = (s["lo"] < s["hi"]) & (F.get(cuts, mid) < v)
+        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), start, halve, lambda s: s["lo"])

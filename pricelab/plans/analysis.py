@@ -14,8 +14,10 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pricelab.functions import exact_sum
 from pricelab.operators import clean, distribution, elasticity, rollup, scenarios, segments
 
 
@@ -24,8 +26,11 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str, curve_sku: str | None = None) -> dict[str, str]:
-    """Compute and write every result table under ``out_dir``; returns name -> path."""
+def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str, curve_sku: str | None = None, order: Column | str = "_row_order") -> dict[str, str]:
+    """Compute and write every result table under ``out_dir``; returns name -> path.
+
+    ``order`` is the number that says which row of a SKU is its first (see :func:`rollup.key_rollup`).
+    """
     paths: dict[str, str] = {}
 
     def save(name: str, df: DataFrame) -> DataFrame:
@@ -34,25 +39,37 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str, curve_sku: s
 
     fact = save("sales_fact", clean.sales_fact(raw))
 
+    # four reads of the fact: by SKU, by SKU and price, by category and price, by calendar
+    by_sku = save("sku_summary", rollup.key_summary(fact, "sku", order))
+    detail = save("sku_detail", segments.key_detail(fact, "sku"))
+    by_price = save("category_prices", fact.groupBy("category", "unit_price").agg(
+        F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("rows"), exact_sum("revenue").alias("revenue")))
+    calendar = save("calendar", fact.groupBy("year", "month", "weekday").agg(
+        F.sum("qty").alias("total_qty"), F.count(F.lit(1)).alias("n_lines"), exact_sum("revenue").alias("total_revenue")))
+
     # roll-ups and distribution of unit prices
-    save("sku_agg", rollup.key_rollup(fact, "sku", order=None))
-    save("sku_counts", rollup.value_counts(fact, "sku"))
-    save("category_counts", rollup.value_counts(fact, "category"))
-    save("price_histogram", distribution.histogram(fact, "unit_price", 50, weight="qty"))
-    save("price_density", distribution.density(fact, "unit_price", 200, 50))
-    save("demand_curve", rollup.demand_curve(fact, curve_sku, "sku") if curve_sku is not None
-         else rollup.busiest_demand_curve(fact, "sku"))
-    save("top_skus_by_revenue", rollup.top_by_revenue(fact, "sku", 10))
-    save("top_categories_by_revenue", rollup.top_by_revenue(fact, "category", 10))
-    save("revenue_by_month", rollup.revenue_by_month(fact))
-    save("revenue_by_weekday", rollup.revenue_by_weekday(fact))
+    save("sku_agg", by_sku.drop("count"))
+    save("sku_counts", by_sku.select("sku", "count").orderBy(F.desc("count"), "sku"))
+    save("top_skus_by_revenue", by_sku.select("sku", "total_revenue", "total_qty").orderBy(F.desc("total_revenue"), "sku").limit(10))
+    categories = by_price.where(F.col("category").isNotNull()).groupBy("category").agg(
+        F.sum("rows").alias("count"), exact_sum("revenue").alias("total_revenue"), F.sum("qty").alias("total_qty"))
+    save("category_counts", categories.select("category", "count").orderBy(F.desc("count"), "category"))
+    save("top_categories_by_revenue", categories.drop("count").orderBy(F.desc("total_revenue"), "category").limit(10))
+    save("price_histogram", distribution.histogram(by_price, "unit_price", 50, weight="qty", rows="rows"))
+    save("price_density", distribution.density(by_price, "unit_price", 200, 50, rows="rows"))
+    per_price = detail.groupBy("sku", "unit_price").agg(F.sum("qty").alias("qty"), F.sum("rows").alias("rows"))
+    save("demand_curve", rollup.demand_curve(detail, curve_sku, "sku") if curve_sku is not None else rollup.busiest_curve_of(per_price, "sku"))
+    for name, keys in (("revenue_by_month", ["year", "month"]), ("revenue_by_weekday", ["weekday"])):
+        save(name, calendar.groupBy(*keys).agg(exact_sum("total_revenue").alias("total_revenue"), F.sum("total_qty").alias("total_qty"),
+                                               F.sum("n_lines").alias("n_lines")).orderBy(*keys))
 
     # elasticity per SKU and per category
-    sku_pd = save("sku_price_demand", elasticity.price_demand(fact, "sku"))
+    sku_qty, sku_modes = segments.split_detail(detail, "sku")
+    sku_pd = save("sku_price_demand", elasticity.with_logs(sku_qty))
     sku_el = save("sku_elasticity", elasticity.fit_elasticity(sku_pd, "sku"))
     save("sku_range_share", elasticity.range_share(sku_el))
     save("sku_peak_price", elasticity.peak_price(sku_pd, "sku"))
-    qbp = elasticity.quantity_by_price(fact.where(fact.unit_price > 0), "category")  # implied by cleaning
+    qbp = by_price.where(F.col("category").isNotNull() & (F.col("unit_price") > 0)).select("category", "unit_price", "qty")
     cat_pd = save("category_price_demand", elasticity.with_logs(qbp.where(qbp.qty > 0)))
     cat_el = save("category_elasticity", elasticity.fit_elasticity(cat_pd, "category", r2_name="r_squared",
                                                                    with_points=True))
@@ -67,7 +84,7 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str, curve_sku: s
     save("evaluation_pivot", scenarios.pivot_evaluation(ev, scenarios.scenario_labels()))
 
     # segments
-    meta = save("sku_meta", segments.modal_attributes(fact, "sku"))
+    meta = save("sku_meta", sku_modes)
     seg = save("sku_segments", segments.segment_table(sku_el, meta))
     save("segment_stats", segments.segment_stats(seg))
     return paths
@@ -87,7 +104,8 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = build_session(master=args.master, shuffle_partitions=None, cluster=args.master is None)
     raw = read_sales_csv(spark, args.csv) if args.csv else raw_sales_from_tables(spark, args.tables)
-    for name, path in run_analysis(spark, raw, args.out, args.sku).items():
+    order = "_row_order" if args.csv else F.col("order_id") * 1000 + F.col("line_no")
+    for name, path in run_analysis(spark, raw, args.out, args.sku, order).items():
         print(f"{name}\t{path}")
 
 

@@ -10,10 +10,15 @@ from __future__ import annotations
 
 import math
 
-from pricelab.functions import COMPLETED_STATUSES, ELASTICITY_LABELS
-from pricelab.functions.expressions import WHITESPACE
-from pricelab.operators.scenarios import DEMAND_UPLIFTS, DISCOUNTS, PRICE_GRID, price_step_name, scenario_labels
-from pricelab.sources import fixtures as fx
+# Fixed values of the analysis, written out: this module takes nothing from the code it checks.
+_STATUSES = "'shipped', 'shipped - delivered to buyer'"
+ELASTICITY_LABELS = ("Elastic", "Inelastic", "Positive Elasticity")
+PRICE_GRID = (0.9, 0.9500000000000001, 1.0, 1.05, 1.1)  # steps of (1.10 - 0.90) / 4 in double precision
+PRICE_STEPS = {"pct_m10": -10, "pct_m5": -5, "pct_0": 0, "pct_p5": 5, "pct_p10": 10}
+DISCOUNTS = (0.90, 0.80)
+DEMAND_UPLIFTS = (1.10, 1.20)
+SCENARIOS = ("-19% discount", "-9% discount", "10% demand uplift", "19% demand uplift")
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _d(x: float) -> str:
@@ -26,31 +31,29 @@ def _list(values) -> str:
 
 
 def _exact_sum(expr: str) -> str:
-    """Σ of values rounded to micro-units, added exactly (mirrors ``functions.exact_sum``)."""
-    return (f"CAST(SUM(CAST(floor(({expr}) * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS DECIMAL(38,0))) "
-            f"AS DOUBLE) / CAST(1000000 AS DOUBLE)")
+    """Σ of values rounded to nine decimals, added exactly."""
+    return f"CAST(SUM(CAST({expr} AS DECIMAL(38,9))) AS DOUBLE)"
 
 
-_STATUSES = ", ".join(f"'{s}'" for s in COMPLETED_STATUSES)
-_WS = "'" + WHITESPACE + "'"
+_WS = "'" + WHITE_SPACE + "'"
 
 BASE = f"""
 WITH raw AS (
   SELECT
     l.l_orderkey AS order_id,
     l.l_linenumber AS line_no,
-    CASE WHEN l.l_orderkey % {fx.DIRT_MODULUS} <> {fx.NULL_DATE_RESIDUE} THEN o.o_orderdate END AS date,
+    CASE WHEN l.l_orderkey % 97 <> 13 THEN o.o_orderdate END AS date,
     CASE WHEN l.l_returnflag = 'R' THEN 'Cancelled'
          WHEN l.l_linestatus = 'F' THEN 'Shipped - Delivered to Buyer'
          ELSE 'Shipped' END AS status,
     CASE WHEN c.c_custkey % 2 = 0 THEN ' ' || c.c_mktsegment || '  '
          ELSE lower(c.c_mktsegment) || chr(9) END AS sales_channel,
-    p.p_brand AS style,
+    CASE WHEN l.l_orderkey % 97 <> 17 THEN p.p_brand || '/' || substr(o.o_orderpriority, 1, 1) END AS style,
     'P' || CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey % 10 AS VARCHAR) AS sku,
     p.p_type AS category,
-    CASE WHEN l.l_orderkey % {fx.DIRT_MODULUS} = {fx.ZERO_QTY_RESIDUE} THEN CAST(0 AS DOUBLE)
+    CASE WHEN l.l_orderkey % 97 = 11 THEN CAST(0 AS DOUBLE)
          ELSE l.l_quantity END AS qty,
-    CASE WHEN l.l_orderkey % {fx.DIRT_MODULUS} <> {fx.NULL_AMOUNT_RESIDUE} THEN l.l_extendedprice END AS amount,
+    CASE WHEN l.l_orderkey % 97 <> 7 THEN l.l_extendedprice END AS amount,
     (c.c_nationkey % 5 = 0) AS b2b,
     CASE WHEN o.o_orderpriority <> '5-LOW' THEN o.o_orderpriority END AS fulfilled_by
   FROM lineitem l
@@ -116,13 +119,9 @@ labels AS (
   SELECT * FROM (VALUES ('{ELASTICITY_LABELS[0]}'), ('{ELASTICITY_LABELS[1]}'), ('{ELASTICITY_LABELS[2]}'))
     t(elasticity_range)
 ),
-cqty AS (
-  SELECT category, unit_price, SUM(qty) AS qty FROM fact
-  WHERE category IS NOT NULL GROUP BY category, unit_price
-),
 base AS (
   SELECT category, SUM(qty) AS baseline_qty, {_exact_sum('unit_price * qty')} AS baseline_rev
-  FROM cqty GROUP BY category
+  FROM fact WHERE category IS NOT NULL GROUP BY category
 ),
 be AS (
   SELECT b.category, b.baseline_qty, b.baseline_rev, c.elasticity
@@ -262,17 +261,16 @@ def _segment_sql(dim: str) -> str:
             f"{_r('median(elasticity)', 6, 'med_elasticity')} FROM seg GROUP BY {dim}")
 
 
-def _segment_long_sql() -> str:
+def _segment_long_sql(places: int = 6) -> str:
     parts = [f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, count(elasticity) AS n_skus, "
-             f"{_r('avg(elasticity)', 6, 'avg_elasticity')}, {_r('median(elasticity)', 6, 'med_elasticity')} "
+             f"{_r('avg(elasticity)', places, 'avg_elasticity')}, {_r('median(elasticity)', places, 'med_elasticity')} "
              f"FROM seg GROUP BY {d}" for d in ("sales_channel", "fulfilled_by", "b2b_flag")]
     return " UNION ALL ".join(parts)
 
 
 _PRICE_PIVOT = ", ".join(
-    _pivot_cell(f"CAST(round(price_change_pct) AS INTEGER) = {int(round((m - 1) * 100))}", "rev_delta_pct",
-                price_step_name(m)) for m in PRICE_GRID)
-_EVAL_PIVOT = ", ".join(_pivot_cell(f"scenario = '{lab}'", "rev_change_pct", lab) for lab in scenario_labels())
+    _pivot_cell(f"CAST(round(price_change_pct) AS INTEGER) = {step}", "rev_delta_pct", name) for name, step in PRICE_STEPS.items())
+_EVAL_PIVOT = ", ".join(_pivot_cell(f"scenario = '{lab}'", "rev_change_pct", lab) for lab in SCENARIOS)
 _SQRT_2PI = _d(math.sqrt(2 * math.pi))
 _SCEN_COLS = (f"category, scenario, {_r('baseline_rev', 2, 'baseline_rev')}, {_r('sim_rev', 2, 'sim_rev')}, "
               f"{_r('rev_change_pct', 6, 'rev_change_pct')}, multiplier")
@@ -282,13 +280,18 @@ BODIES = {
                    "b2b, fulfilled_by, unit_price, revenue, year, month, day, weekday, weekofyear FROM fact",
     "csv_clean_sales": "SELECT order_id, line_no, date, status, sales_channel, style, sku, category, qty, amount, "
                        "b2b, fulfilled_by, unit_price, revenue, year, month, day, weekday, weekofyear FROM fact",
+    "csv_many_files": "SELECT order_id, line_no, date, status, sales_channel, style, sku, category, qty, amount, "
+                      "b2b, fulfilled_by, unit_price, revenue, year, month, day, weekday, weekofyear FROM fact "
+                      "WHERE order_id % 97 NOT IN (19, 23)",
+    "dropped_rows": "SELECT count(*) AS completed, count(*) FILTER (WHERE amount IS NULL OR qty IS NULL OR sku IS NULL) AS missing, "
+                    "count(*) FILTER (WHERE amount IS NOT NULL AND qty IS NOT NULL AND sku IS NOT NULL AND (amount <= 0 OR qty <= 0)) AS not_positive, "
+                    "count(*) FILTER (WHERE amount > 0 AND qty > 0 AND sku IS NOT NULL AND date IS NULL) AS bad_date FROM completed",
     "completed_sales": "SELECT order_id, line_no, status, sku, qty, amount FROM completed",
     "distinct_skus": "SELECT DISTINCT sku FROM completed",
     "calendar_parts": "SELECT DISTINCT date, year, month, day, weekday, weekofyear FROM fact",
     "normalized_text": "SELECT sales_channel, fulfilled_by, count(*) AS count FROM fact "
                        "GROUP BY sales_channel, fulfilled_by",
-    "sku_rollup": "SELECT sku, CAST(SUM(CAST(floor(unit_price * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) "
-                  "AS DECIMAL(38,0))) AS DOUBLE) / count(unit_price) / CAST(1000000 AS DOUBLE) AS avg_price, "
+    "sku_rollup": "SELECT sku, " + _exact_sum("unit_price") + " / count(unit_price) AS avg_price, "
                   "SUM(qty) AS total_qty, round(" + _exact_sum('revenue') + ", 2) AS total_revenue, "
                   "arg_min(style, order_id * 1000 + line_no) FILTER (WHERE style IS NOT NULL) AS style, "
                   "arg_min(category, order_id * 1000 + line_no) FILTER (WHERE category IS NOT NULL) AS category "
@@ -298,6 +301,9 @@ BODIES = {
     "sku_demand_curve": "SELECT unit_price, SUM(qty) AS qty FROM fact WHERE sku = ("
                         "SELECT sku FROM fact GROUP BY sku ORDER BY count(*) DESC, sku LIMIT 1) "
                         "GROUP BY unit_price",
+    "sku_demand_curve_for": "SELECT unit_price, SUM(qty) AS qty FROM fact WHERE sku = ("
+                            "SELECT sku FROM fact GROUP BY sku ORDER BY count(*) DESC, sku DESC LIMIT 1) "
+                            "GROUP BY unit_price",
     "sku_price_demand": f"SELECT sku, unit_price, qty, {_r('ln(unit_price)', 9, 'log_price')}, "
                         f"{_r('ln(qty)', 9, 'log_qty')} FROM spd",
     "category_price_demand": f"SELECT category, unit_price, qty, {_r('ln(unit_price)', 9, 'log_price')}, "
@@ -320,6 +326,7 @@ BODIES = {
     "sku_peak_price": "SELECT sku, unit_price AS peak_price, qty AS peak_qty FROM (SELECT sku, unit_price, qty, "
                       "row_number() OVER (PARTITION BY sku ORDER BY qty DESC, unit_price ASC) AS rn FROM spd) "
                       "WHERE rn = 1",
+    "baseline": f"SELECT category, baseline_qty, {_r('baseline_rev', 2, 'baseline_rev')} FROM base",
     "baseline_elasticity": f"SELECT category, baseline_qty, {_r('baseline_rev', 2, 'baseline_rev')}, "
                            f"{_r('elasticity', 6, 'elasticity')} FROM be",
     "price_scenarios": f"SELECT category, {_r('price_change_pct', 6, 'price_change_pct')}, "
@@ -338,6 +345,8 @@ BODIES = {
     "segment_stats_fulfilment": _segment_sql("fulfilled_by"),
     "segment_stats_b2b": _segment_sql("b2b_flag"),
     "segment_stats": _segment_long_sql(),
+    "segment_tables": f"SELECT dimension, value, n_skus, round_even(round(avg_elasticity, 9), 2) AS avg_elasticity, "
+                      f"round_even(round(med_elasticity, 9), 2) AS med_elasticity FROM ({_segment_long_sql(9)})",
     "price_histogram": "SELECT bin, bin_lo, bin_hi, count FROM hist",
     "demand_by_price_bin": "SELECT bin, bin_lo, bin_hi, count, total_qty FROM hist",
     "modal_price_bin": "SELECT bin, bin_lo, bin_hi, count FROM hist ORDER BY count DESC, bin LIMIT 1",

@@ -4,7 +4,7 @@ Each query reads the test tables, maps them onto the raw sales shape and runs
 the operators.  Outputs meant for engine-to-engine comparison round floating
 results where summation order can change the last bits: money sums are exact
 (``functions.exact_sum``) and shown to 2 decimals, elasticity / R² / statistics
-to 6, and price means use the order-independent scaled form (``scaled_mean``).
+to 6, and price means use the order-independent exact form (``exact_mean``).
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pricelab.sources.fixtures import raw_sales_from_tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOP_N = 10
+#: Longest time (seconds) that the streaming query may take to consume what has arrived.
+STREAM_LIMIT_S = 3600
 
 
 def _r(col: str, n: int) -> F.Column:
@@ -41,7 +43,7 @@ def fact(spark: SparkSession, base: str) -> DataFrame:
 
 def _row_order() -> F.Column:
     # "first" in file order: the export lists rows by order id, then line.
-    return F.struct(F.col("order_id"), F.col("line_no"))
+    return F.col("order_id") * 1000 + F.col("line_no")
 
 
 # --- flow A: cleaning -------------------------------------------------------
@@ -67,6 +69,29 @@ def q_csv_clean_sales(spark, base):
     return f.select(*CLEAN_COLUMNS)
 
 
+def q_csv_many_files(spark, base):
+    """The fact from three exports of different size, column order and spelling: missing-value words, unparsable
+    numbers, and dates written in five ways."""
+    raw = raw_sales(spark, base)
+    root = scratch_path(spark, f"raw_sales_exports/{uuid.uuid4().hex}")
+    key = F.col("Order ID")
+    date = F.coalesce(*(F.when(key % 5 == i, F.date_format("Date", fmt)) for i, fmt in enumerate(("MM-dd-yy", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy", "M-d-yy", "MM-dd-yyyy HH:mm"))))
+    text = raw.withColumns({
+        "Date": date,
+        "Qty": F.when(key % 97 == 19, F.lit("abc")).otherwise(F.col("Qty").cast("string")),
+        "Amount": F.when(key % 97 == 23, F.lit("1D")).otherwise(F.coalesce(F.col("Amount").cast("string"), F.lit("N/A"))),
+        "fulfilled-by": F.coalesce("fulfilled-by", F.lit("NA"))})
+    columns = text.columns
+    for i, (rows, order) in enumerate(((key % 10 < 7, columns), ((key % 10 >= 7) & (key % 10 < 9), columns[::-1]), (key % 10 == 9, columns[3:] + columns[:3]))):
+        write_sales_csv(text.where(rows).select(*[F.col(f"`{c}`") for c in order]), f"{root}/export{i}")
+    f = clean.sales_fact(read_sales_csv(spark, f"{root}/*"))
+    return f.select(*[F.col(c).cast("long") if c == "order_id" else F.col(c).cast("int").alias(c) if c == "line_no" else F.col(c) for c in CLEAN_COLUMNS])
+
+
+def q_dropped_rows(spark, base):
+    return clean.dropped_rows(raw_sales(spark, base))
+
+
 def q_completed_sales(spark, base):
     df = clean.completed_sales(clean.normalize_columns(clean.drop_raw_columns(raw_sales(spark, base))))
     return df.select("order_id", "line_no", "status", "sku", "qty", "amount")
@@ -88,7 +113,7 @@ def q_normalized_text(spark, base):
 # --- roll-ups ---------------------------------------------------------------
 
 def q_sku_rollup(spark, base):
-    r = rollup.key_rollup(fact(spark, base), "sku", order=_row_order(), mean_scale=1e6)
+    r = rollup.key_rollup(fact(spark, base), "sku", order=_row_order(), exact=True)
     return r.select("sku", "avg_price", "total_qty", _r("total_revenue", 2), "style", "category")
 
 
@@ -104,6 +129,13 @@ def q_sku_demand_curve(spark, base):
     return rollup.busiest_demand_curve(fact(spark, base), "sku")
 
 
+def q_sku_demand_curve_for(spark, base):
+    """The curve of a key given by value; the caller takes the last key by name among those with the most rows."""
+    f = fact(spark, base)
+    row = rollup.value_counts(f, "sku").orderBy(F.desc("count"), F.desc("sku")).first()
+    return rollup.demand_curve(f, row["sku"] if row else "", "sku")
+
+
 # --- flow B: elasticity -----------------------------------------------------
 
 def _sku_elasticity(spark, base):
@@ -152,14 +184,16 @@ def q_sku_range_share(spark, base):
 
 def q_stream_sku_price_demand(spark, base):
     """Σ qty per (sku, price) kept by the Structured Streaming query: the raw rows arrive
-    as files in the shared checkpoint folder and are consumed in several micro-batches."""
+    as files in the shared checkpoint folder and are consumed in two or three micro-batches."""
     raw = raw_sales(spark, base)
     root = scratch_path(spark, f"stream_price_demand/{uuid.uuid4().hex}")
     raw.write.parquet(f"{root}/arrivals")
-    stream = streaming.read_raw_stream(spark, f"{root}/arrivals", raw.schema, max_files_per_trigger=1)
+    stream = streaming.read_raw_stream(spark, f"{root}/arrivals", raw.schema, max_files_per_trigger=max(1, len(spark.read.parquet(f"{root}/arrivals").inputFiles()) // 2))
     q = streaming.run_price_demand(stream, f"{root}/table", "sku", checkpoint_location=f"{root}/state")
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/table")
+    if not q.awaitTermination(STREAM_LIMIT_S):
+        q.stop()
+        raise TimeoutError("the stream did not end in time")
+    return streaming.read_price_demand(spark, f"{root}/table", "sku")
 
 
 def q_sku_peak_price(spark, base):
@@ -178,6 +212,10 @@ def _base_el(spark, base):
     return scenarios.with_elasticity(scenarios.baseline_from_price_demand(qbp, "category"), el)
 
 
+def q_baseline(spark, base):
+    return scenarios.baseline(fact(spark, base)).select("category", "baseline_qty", _r("baseline_rev", 2))
+
+
 def q_baseline_elasticity(spark, base):
     return _base_el(spark, base).select("category", "baseline_qty", _r("baseline_rev", 2),
                                         _r("elasticity", 6))
@@ -255,6 +293,12 @@ def q_segment_stats(spark, base):
     return s.select("dimension", "value", "n_skus", _r("avg_elasticity", 6), _r("med_elasticity", 6))
 
 
+def q_segment_tables(spark, base):
+    """The printed segment tables: two decimals, half to even."""
+    s = segments.segment_stats(_seg(spark, base))
+    return s.select("dimension", "value", "n_skus", *(F.bround(F.round(c, 9), 2).alias(c) for c in ("avg_elasticity", "med_elasticity")))
+
+
 # --- distribution -----------------------------------------------------------
 
 def q_price_histogram(spark, base):
@@ -299,6 +343,8 @@ def q_revenue_by_weekday(spark, base):
 QUERIES: dict[str, Query] = {
     "clean_sales": q_clean_sales,
     "csv_clean_sales": q_csv_clean_sales,
+    "csv_many_files": q_csv_many_files,
+    "dropped_rows": q_dropped_rows,
     "completed_sales": q_completed_sales,
     "distinct_skus": q_distinct_skus,
     "calendar_parts": q_calendar_parts,
@@ -307,6 +353,7 @@ QUERIES: dict[str, Query] = {
     "sku_counts": q_sku_counts,
     "category_counts": q_category_counts,
     "sku_demand_curve": q_sku_demand_curve,
+    "sku_demand_curve_for": q_sku_demand_curve_for,
     "sku_price_demand": q_sku_price_demand,
     "category_price_demand": q_category_price_demand,
     "sku_elasticity": q_sku_elasticity,
@@ -316,6 +363,7 @@ QUERIES: dict[str, Query] = {
     "sku_range_share": q_sku_range_share,
     "sku_peak_price": q_sku_peak_price,
     "stream_sku_price_demand": q_stream_sku_price_demand,
+    "baseline": q_baseline,
     "baseline_elasticity": q_baseline_elasticity,
     "price_scenarios": q_price_scenarios,
     "price_pivot": q_price_pivot,
@@ -329,6 +377,7 @@ QUERIES: dict[str, Query] = {
     "segment_stats_fulfilment": _segment_stats_query("fulfilled_by"),
     "segment_stats_b2b": _segment_stats_query("b2b_flag"),
     "segment_stats": q_segment_stats,
+    "segment_tables": q_segment_tables,
     "price_histogram": q_price_histogram,
     "demand_by_price_bin": q_demand_by_price_bin,
     "modal_price_bin": q_modal_price_bin,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,19 +59,24 @@ def build_session(master: str | None = "local[8]", shuffle_partitions: int | Non
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The cluster setting always wins.  Only when nothing is configured (local
-    tests) a private scratch folder is created and registered.
+    The cluster setting always wins.  Only a local master without one (tests)
+    gets a private scratch folder; elsewhere executors would not share it, so
+    its absence is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote (Connect) sessions have no SparkContext
-        return configured or ""
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = configured or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pricelab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -81,12 +87,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    An eager Dataset checkpoint computes the plan once while writing the files
-    (measured: persisting first only adds a cache build).  The result survives
-    executor loss, unlike a local checkpoint.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table once nothing reads it any more (only inside the scratch folder)."""
+    root = os.path.join(ensure_checkpoint_dir(spark), "tables") + "/"
+    if not path.startswith(root):
+        raise ValueError(f"{path} is no scratch table")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

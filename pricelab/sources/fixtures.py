@@ -4,7 +4,7 @@
 are spelled like the raw export (mixed case, blanks, hyphens, a trailing blank),
 so header normalisation runs in every query.  Deterministic rules inject the
 kinds of dirt the cleaning step must handle (missing amount, zero quantity,
-missing date, padded/mixed-case text, missing fulfilment); they blank values,
+missing date or style, padded/mixed-case text, missing fulfilment); they blank values,
 they never remove rows.
 """
 
@@ -20,6 +20,7 @@ DIRT_MODULUS = 97
 NULL_AMOUNT_RESIDUE = 7
 ZERO_QTY_RESIDUE = 11
 NULL_DATE_RESIDUE = 13
+NULL_STYLE_RESIDUE = 17
 
 
 def raw_sales_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def raw_sales_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
         F.when(residue != NULL_DATE_RESIDUE, F.col("o_orderdate")).alias("Date"),
         status.alias("Status"),
         channel.alias("Sales Channel "),
-        F.col("p_brand").alias("Style"),
+        # varies within a SKU, so that "first" depends on the order of rows
+        F.when(residue != NULL_STYLE_RESIDUE, F.concat("p_brand", F.lit("/"), F.substring("o_orderpriority", 1, 1))).alias("Style"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("-"),
                  (F.col("l_suppkey") % 10).cast("string")).alias("SKU"),
         F.col("p_type").alias("Category"),

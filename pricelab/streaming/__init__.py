@@ -1,7 +1,8 @@
 """Structured Streaming: keep the price-demand table current as raw sales files arrive."""
 
 from pricelab.streaming.price_demand import (  # noqa: F401
-    price_demand_stream,
+    compact_price_demand,
+    read_price_demand,
     read_raw_stream,
     run_price_demand,
 )
