@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelab.functions import (bin_label, calendar_columns, lenient_double, lenient_timestamp, normalize_name,
-                                pct_change, scaled_mean, snap_zero, strip_lower)
+                                pct_change, exact_mean, snap_zero, strip_lower)
 from pricelab.operators.scenarios import PRICE_GRID, price_step_name, scenario_labels
 
 
@@ -60,10 +60,10 @@ def test_pct_change_zero_base(spark):
     assert got[0] == pytest.approx(10.0) and got[1] is None
 
 
-def test_scaled_mean_is_order_independent(spark):
+def test_exact_mean_is_order_independent(spark):
     vals = [(0.1,), (0.2,), (0.3,), (1e3 / 7,)]
-    a = spark.createDataFrame(vals, "x double").agg(scaled_mean("x")).first()[0]
-    b = spark.createDataFrame(list(reversed(vals)), "x double").repartition(3).agg(scaled_mean("x")).first()[0]
+    a = spark.createDataFrame(vals, "x double").agg(exact_mean("x")).first()[0]
+    b = spark.createDataFrame(list(reversed(vals)), "x double").repartition(3).agg(exact_mean("x")).first()[0]
     assert a == b
     assert a == pytest.approx(sum(v for (v,) in vals) / 4, abs=1e-6)
 
@@ -77,7 +77,46 @@ def test_scenario_labels_truncate_like_int():
 
 def test_label_truncation_in_spark_matches_python(spark):
     from pricelab.operators.scenarios import _label
-    df = spark.createDataFrame([(0.9,), (0.8,), (1.1,), (1.2,)], "m double")
-    got = [r[0] for r in df.select(_label(F.col("m"), "%")).collect()]
+    df = spark.createDataFrame([(0.9,), (0.8,), (1.1,), (1.2,)], "multiplier double")
+    got = [r[0] for r in df.select(_label((0.9, 0.8, 1.1, 1.2), "%")).collect()]
     assert got == [f"{int((m - 1) * 100)}%" for m in (0.9, 0.8, 1.1, 1.2)]
     assert not math.isnan(PRICE_GRID[0])
+
+
+@pytest.mark.parametrize("total", [1e13, 5e13, 1e16, 1e20])
+def test_exact_sum_of_large_totals(spark, total):
+    from pricelab.functions import exact_sum
+    from pricelab.operators import scenarios
+    assert spark.createDataFrame([(total / 2,), (total / 2,)], "x double").agg(exact_sum("x")).first()[0] == total
+    prices = spark.createDataFrame([("c", 500.0, total / 500)], "category string, unit_price double, qty double")
+    assert scenarios.baseline_from_price_demand(prices).first().baseline_rev == pytest.approx(total, rel=1e-12)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_exact_sum_raises_beyond_the_type(spark, ansi):
+    from pricelab.functions import exact_sum
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for values in ([1e35], [6e28] * 3, [float("inf")]):
+            with pytest.raises(Exception):  # noqa: B017
+                spark.createDataFrame([(v,) for v in values], "x double").agg(exact_sum("x")).collect()
+        assert spark.createDataFrame([(None,)], "x double").agg(exact_sum("x")).first()[0] is None
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_number_guard(spark):
+    cases = {"1D": None, "2f": None, "1L": None, "0x10": None, "1_000": None, "": None, "abc": None, " 12 ": 12.0, "+3.5": 3.5, "-.5": -0.5, "1e3": 1000.0, "7.": 7.0, "nan": None, "Infinity": float("inf")}
+    got = spark.createDataFrame([(k,) for k in cases], "s string").select(lenient_double("s")).collect()
+    assert [r[0] for r in got] == list(cases.values())
+
+
+def test_date_forms(spark):
+    import datetime as dt
+    day = dt.datetime(2022, 4, 30)
+    cases = {"04-30-22": day, "04-30-99": dt.datetime(1999, 4, 30), "04-30-68": dt.datetime(2068, 4, 30), "04-30-69": dt.datetime(1969, 4, 30), "2022-04-30T10:00:00": day.replace(hour=10), "4-3-22": dt.datetime(2022, 4, 3),
+             "4/30/2022": day, "30/04/2022": day, "04-30-22 10:15": day.replace(hour=10, minute=15), "2022-04-30": day, "2022-04-30 01:02:03.5": dt.datetime(2022, 4, 30, 1, 2, 3, 500000),
+             "31-05-22": dt.datetime(2022, 5, 31), "13-13-22": None, "02-30-22": None, "x": None, "": None, "04-30": None, "04-30-22 25:00": None}
+    got = spark.createDataFrame([(k,) for k in cases], "s string").select(lenient_timestamp("s")).collect()
+    assert [r[0] for r in got] == list(cases.values())

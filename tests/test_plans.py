@@ -1,8 +1,12 @@
 """Physical-plan checks: what every registered query must (not) contain."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from pricelab.plans.queries import QUERIES
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
@@ -13,7 +17,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cross_join(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     for node in FORBIDDEN:
@@ -40,7 +44,54 @@ def _final_plan(df) -> str:
     return plan.split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", ["evaluation_pivot", "price_pivot", "sku_demand_curve", "sku_segments"])
+@pytest.mark.parametrize("name", ["evaluation_pivot", "price_pivot", "sku_demand_curve", "sku_segments", "price_histogram", "price_density"])
 def test_shared_pre_aggregate_scans_the_fact_once(spark, name):
     plan = _final_plan(E.queries()[name](spark, SF_SMALL))
     assert plan.count("lineitem.parquet") == 1, name
+
+
+@pytest.mark.parametrize("name", ["price_histogram", "demand_by_price_bin", "modal_price_bin", "price_density"])
+def test_rows_are_not_shuffled_by_price(spark, name):
+    plan = _final_plan(E.queries()[name](spark, SF_SMALL))
+    assert not re.search(r"Exchange hashpartitioning\((x|unit_price)#", plan), name
+
+
+@pytest.mark.parametrize("name", ["sku_rollup", "sku_peak_price"])
+def test_fact_sized_rows_are_hash_aggregated(spark, name):
+    """No sort-based aggregate before the first shuffle of the aggregation."""
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    below = [line for line in plan.splitlines() if "SortAggregate" in line]
+    assert all("min_by" in line for line in below)
+    assert not any("style" in line.split("keys=")[1].split("]")[0] for line in below)
+
+
+def test_eager_jobs_use_no_python(spark):
+    """Queries that run jobs while they are built: the plans of those jobs, too."""
+    seen = []
+    bus = spark._jsparkSession.listenerManager()
+
+    class Listener:
+        def onSuccess(self, name, execution, duration):  # noqa: N802
+            seen.append(execution.executedPlan().toString())
+
+        def onFailure(self, name, execution, error):  # noqa: N802
+            seen.append(execution.executedPlan().toString())
+
+        class Java:
+            implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
+
+    gateway = spark.sparkContext._gateway
+    from pyspark.java_gateway import ensure_callback_server_started
+    ensure_callback_server_started(gateway)
+    listener = Listener()
+    bus.register(listener)
+    try:
+        for name in ("csv_clean_sales", "csv_many_files", "segment_stats", "sku_demand_curve_for"):
+            E.queries()[name](spark, SF_SMALL).agg(F.count(F.lit(1))).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        bus.unregister(listener)
+    assert seen
+    for plan in seen:
+        for node in FORBIDDEN:
+            assert node not in plan

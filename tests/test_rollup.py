@@ -40,8 +40,6 @@ def test_demand_curve_sums_per_price(spark):
             (3, "a", 720.0, 1.0, 0.0, "s", "c"), (4, "b", 1.0, 9.0, 0.0, "s", "c")]
     f = _fact(spark, rows)
     assert [(r.unit_price, r.qty) for r in rollup.demand_curve(f, "a").collect()] == [(720.0, 1.0), (735.0, 5.0)]
-    one = rollup.busiest_key(f, "sku")
-    assert [(r.unit_price, r.qty) for r in rollup.demand_curve(f, one).collect()] == [(720.0, 1.0), (735.0, 5.0)]
     assert [(r.unit_price, r.qty) for r in rollup.busiest_demand_curve(f).collect()] == [(720.0, 1.0), (735.0, 5.0)]
 
 
@@ -57,3 +55,12 @@ def test_top_by_revenue_and_calendar(spark):
     assert by_m == [(2022, 4, 15.0, 2), (2022, 5, 1.0, 1)]
     by_d = {r.weekday: r.total_revenue for r in rollup.revenue_by_weekday(cal).collect()}
     assert by_d == {"Saturday": 11.0, "Friday": 5.0}
+
+
+def test_first_follows_the_order_of_rows_and_needs_one(spark):
+    rows = [(2, "a", 1.0, 1.0, 1.0, "B", "x"), (1, "a", 1.0, 1.0, 1.0, "A", "y"), (1, "b", 1.0, 1.0, 1.0, None, "y"), (5, "b", 3.0, 1.0, 1.0, "Z", None)]
+    f = _fact(spark, rows)
+    got = {r.sku: (r.style, r.category, r["count"]) for r in rollup.key_summary(f, "sku", F.col("ord")).collect()}
+    assert got == {"a": ("A", "y", 2), "b": ("Z", "y", 2)}
+    with pytest.raises(ValueError):
+        rollup.key_rollup(f, "sku")

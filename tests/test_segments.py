@@ -29,8 +29,8 @@ def test_segment_table_drops_unsegmented(spark):
     assert [r.sku for r in seg.collect()] == ["a"]
 
 
-@pytest.mark.parametrize("buckets,gather", [(1024, 20_000), (4, 3), (2, 1)])
-def test_grouped_median_exact(spark, buckets, gather):
+@pytest.mark.parametrize("cuts", [1000, 7, 2])
+def test_grouped_median_exact(spark, cuts):
     rnd = random.Random(7)
     rows = []
     for g, n in (("hot", 3000), ("odd", 7), ("even", 8), ("one", 1), ("const", 50)):
@@ -39,7 +39,7 @@ def test_grouped_median_exact(spark, buckets, gather):
             rows.append((g, v))
     rows += [("odd", None), ("odd", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.median for r in grouped_median(df, ["g"], "v", buckets=buckets, gather_limit=gather).collect()}
+    got = {r.g: r.median for r in grouped_median(df, ["g"], "v", cuts=cuts).collect()}
     for g in ("hot", "odd", "even", "one", "const"):
         vals = [v for k, v in rows if k == g and v is not None and v == v]
         assert got[g] == pytest.approx(statistics.median(vals), abs=1e-12), g
@@ -86,3 +86,23 @@ def test_one_pass_attribute_ties_and_nulls(spark):
     assert got["tie"].sales_channel == "a" and got["tie"].b2b_flag is False
     assert got["allnull"].sales_channel is None and got["allnull"].b2b_flag is None
     assert got["nullmaj"].sales_channel == "c" and got["nullmaj"].fulfilled_by == "y" and got["nullmaj"].b2b_flag is True
+
+
+def test_grouped_median_of_extremes_and_null_groups(spark):
+    inf, big = float("inf"), 1.7e308
+    rows = [("inf", -inf), ("inf", 1.0), ("inf", inf), ("wide", -big), ("wide", 0.5), ("wide", big), (None, 4.0), (None, 6.0), ("none", None)]
+    got = {r.g: r.median for r in grouped_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", cuts=3).collect()}
+    assert got == {"inf": 1.0, "wide": 0.5, None: 5.0}
+
+
+def test_grouped_median_of_many_groups(spark):
+    df = spark.range(300_000).selectExpr("id % 100001 as g", "cast(id as double) as v")
+    bad = grouped_median(df, ["g"], "v", cuts=4).selectExpr("g", "median", "g + 100001.0 * case when g < 97998 then 1 else 0.5 end as want").where("median <> want")
+    assert bad.count() == 0
+
+
+def test_null_prices_count_for_attributes(spark):
+    rows = [("a", None, "x", "p", True), ("a", None, "x", "p", True), ("a", 1.0, "y", "p", False)]
+    fact = spark.createDataFrame(rows, "sku string, unit_price double, sales_channel string, fulfilled_by string, b2b boolean").selectExpr("*", "1.0D as qty")
+    qbp, meta = segments.price_demand_and_attributes(fact)
+    assert meta.first().sales_channel == "x" and qbp.count() == 1
