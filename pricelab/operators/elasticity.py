@@ -56,13 +56,19 @@ def fit_elasticity(price_demand_df: DataFrame, key: str, min_points: int = 3,
                   F.regr_slope("log_qty", "log_price").alias("elasticity"),
                   F.regr_r2("log_qty", "log_price").alias(r2_name),
                   F.count(F.lit(1)).alias("n_price_points"))
-              .where(F.col("n_price_points") >= min_points)
-              .withColumn("elasticity", snap_zero("elasticity")))
+              .where(F.col("n_price_points") >= min_points))
+    out = classified(fitted, edges, labels)
     cols = [key, "elasticity", r2_name] + (["n_price_points"] if with_points else [])
-    out = fitted.select(*cols, bin_label("elasticity", edges, labels).alias("elasticity_range"))
+    out = out.select(*cols, "elasticity_range")
     return out.orderBy("elasticity", key) if sort else out
 
 
+def classified(fitted: DataFrame, edges: Sequence[float] = ELASTICITY_EDGES, labels: Sequence[str] = ELASTICITY_LABELS) -> DataFrame:
+    """Fitted rows with solver noise at 0 removed and their elasticity class."""
+    fitted = fitted.withColumn("elasticity", snap_zero("elasticity"))
+    return fitted.withColumn("elasticity_range", bin_label("elasticity", edges, labels))
+
+
 def range_counts(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LABELS) -> DataFrame:
     """Keys per elasticity class, including classes with no key (count 0)."""
     spark = elasticity_df.sparkSession

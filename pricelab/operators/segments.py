@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelab.operators.elasticity import classified
 from pricelab.operators.stats import grouped_stats
 
 # Modal attribute name -> fact column.
@@ -54,6 +55,28 @@ def split_detail(detail: DataFrame, key: str = "sku", sources: Mapping[str, str]
     return price_demand, counts.groupBy(key).agg(*picks)
 
 
+def elasticity_and_attributes(fact: DataFrame, key: str = "sku", sources: Mapping[str, str] = SEGMENT_SOURCES, min_points: int = 3) -> DataFrame:
+    """Fitted keys with class and modal attributes, as one chain of aggregates over one scan of the fact.
+
+    The rows of :func:`key_detail` are dealt by key once.  Each becomes a price item and one item per attribute;
+    items are summed per value and the key's regression and modes are taken from them, all without another
+    exchange.  Equal to the join of :func:`elasticity.fit_elasticity` and :func:`modal_attributes`.
+    """
+    detail = key_detail(fact, key, sources).repartition(key)
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    items = [F.struct(F.lit(0).alias("a"), F.col("unit_price").alias("p"), text.alias("v"), F.col("qty").alias("w"))]
+    items += [F.struct(F.lit(i).alias("a"), number.alias("p"), F.col(c).cast("string").alias("v"), F.col("rows").cast("double").alias("w")) for i, c in enumerate(sources.values(), 1)]
+    sums = (detail.select(key, F.explode(F.array(*items)).alias("i")).select(key, "i.*")
+                  .groupBy(key, "a", "p", "v").agg(F.sum("w").alias("w")))
+    point = (F.col("a") == 0) & F.col("p").isNotNull()
+    log_price, log_qty = F.when(point, F.ln("p")), F.when(point, F.ln("w"))
+    modes = [F.min_by("v", F.when((F.col("a") == i) & F.col("v").isNotNull(), F.struct(-F.col("w"), F.col("v")))).cast(fact.schema[c].dataType).alias(name)
+             for i, (name, c) in enumerate(sources.items(), 1)]
+    fitted = sums.groupBy(key).agg(F.regr_slope(log_qty, log_price).alias("elasticity"), F.regr_r2(log_qty, log_price).alias("r2"),
+                                   F.count_if(point).alias("n_price_points"), *modes)
+    return classified(fitted.where(F.col("n_price_points") >= min_points))
+
+
 def segment_table(elasticity_df: DataFrame, meta: DataFrame, key: str = "sku",
                   dims: Sequence[str] = tuple(SEGMENT_SOURCES)) -> DataFrame:
     """Elasticity rows with their key's segment attributes; keys missing any attribute drop out."""

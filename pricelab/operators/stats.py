@@ -26,26 +26,26 @@ def grouped_stats(df: DataFrame, group_cols: Sequence[str], value_col: str, cuts
     """
     g = list(group_cols)
     vals = (df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
-              .select(F.to_json(F.struct(*g), {"ignoreNullFields": "false"}).alias("g"), *g, F.col(value_col).cast("double").alias("v")))
+              .select(F.to_json(F.struct(*g), {"ignoreNullFields": "false"}).alias("_g"), *g, F.col(value_col).cast("double").alias("_v")))
     # distinct values with their counts: everything below reads this one exchange
-    distinct = vals.groupBy("g", *g, "v").agg(F.count(F.lit(1)).alias("m"))
+    distinct = vals.groupBy("_g", *g, "_v").agg(F.count(F.lit(1)).alias("_m"))
     shares = [k / cuts for k in range(1, cuts)]
-    groups = distinct.groupBy("g", *g).agg(F.sum("m").alias("n"), (F.sum(F.col("m") * F.col("v")) / F.sum("m")).alias("mean"),
-                                           F.array_distinct(F.percentile_approx("v", shares, ACCURACY)).alias("cuts"))
+    groups = distinct.groupBy("_g", *g).agg(F.sum("_m").alias("_n"), (F.sum(F.col("_m") * F.col("_v")) / F.sum("_m")).alias("_mean"),
+                                           F.array_distinct(F.percentile_approx("_v", shares, ACCURACY)).alias("_cuts"))
     # bracket k holds the values from cut k - 1 (exclusive) up to cut k (inclusive)
-    placed = distinct.select("g", "v", "m").join(groups.select("g", "n", "cuts"), "g").select("g", "n", "v", "m", _bracket(F.col("v"), F.col("cuts"), cuts).alias("k"))
-    counts = placed.groupBy("g", "k").agg(F.sum("m").alias("c"), F.first("n").alias("n"))
+    placed = distinct.select("_g", "_v", "_m").join(groups.select("_g", "_n", "_cuts"), "_g").select("_g", "_n", "_v", "_m", _bracket(F.col("_v"), F.col("_cuts"), cuts).alias("_k"))
+    counts = placed.groupBy("_g", "_k").agg(F.sum("_m").alias("_c"), F.first("_n").alias("_n"))
     # at most `cuts` rows per group: a bounded window
-    counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("k")))
-    middle = F.array_distinct(F.array(((F.col("n") - 1) / 2).cast("long"), (F.col("n") / 2).cast("long")))
-    holds = F.filter(F.transform(middle, lambda r: r - F.col("upto") + F.col("c")), lambda r: (r >= 0) & (r < F.col("c")))
-    targets = counts.select("g", "k", holds.alias("inside")).where(F.size("inside") > 0)
+    counts = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g").orderBy("_k")))
+    middle = F.array_distinct(F.array(((F.col("_n") - 1) / 2).cast("long"), (F.col("_n") / 2).cast("long")))
+    holds = F.filter(F.transform(middle, lambda r: r - F.col("_upto") + F.col("_c")), lambda r: (r >= 0) & (r < F.col("_c")))
+    targets = counts.select("_g", "_k", holds.alias("_inside")).where(F.size("_inside") > 0)
     # the distinct values of one or two brackets of each group
-    seen = placed.join(targets, ["g", "k"]).select("g", "k", "v", "m", "inside")
-    seen = seen.withColumn("upto", F.sum("m").over(Window.partitionBy("g", "k").orderBy("v")))
-    hit = F.exists("inside", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("m")))
-    found = seen.where(hit).groupBy("g").agg(((F.min("v") + F.max("v")) / F.lit(2.0)).alias("median"))
-    return groups.join(found, "g").select(*g, "n", "mean", "median")
+    seen = placed.join(targets, ["_g", "_k"]).select("_g", "_k", "_v", "_m", "_inside")
+    seen = seen.withColumn("_upto", F.sum("_m").over(Window.partitionBy("_g", "_k").orderBy("_v")))
+    hit = F.exists("_inside", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_m")))
+    found = seen.where(hit).groupBy("_g").agg(F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise((F.min("_v") + F.max("_v")) / F.lit(2.0)).alias("_median"))
+    return groups.join(found, "_g").select(*g, *(F.col(f"_{c}").alias(c) for c in ("n", "mean", "median")))
 
 
 def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out_col: str = "median", cuts: int = CUTS) -> DataFrame:

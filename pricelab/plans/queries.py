@@ -265,10 +265,8 @@ def _meta(spark, base):
 
 
 def _seg(spark, base):
-    # elasticity and modal attributes from one pre-aggregate: one scan of the fact
-    qbp, meta = segments.price_demand_and_attributes(fact(spark, base), "sku")
-    el = elasticity.fit_elasticity(elasticity.with_logs(qbp), "sku")
-    return segments.segment_table(el, meta)
+    # elasticity and modal attributes from one chain of aggregates; SKUs without an attribute drop out
+    return segments.elasticity_and_attributes(fact(spark, base), "sku").na.drop(subset=list(segments.SEGMENT_SOURCES))
 
 
 def q_sku_meta(spark, base):

@@ -27,6 +27,11 @@ MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 WIDE = T.DecimalType(38, 0)
 
 
+def _plain(path: Column) -> Column:
+    """File names with one spelling of the local scheme."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def _place_in_file() -> Column:
     block = F.col("_metadata.file_block_start").cast(WIDE) * F.lit(Decimal(10**19))
     return (block + F.monotonically_increasing_id().cast(WIDE)).cast(WIDE)
@@ -57,7 +62,7 @@ def read_sales_csv(spark: SparkSession, path: str | list[str], schema: T.StructT
     else:
         groups[tuple(schema.names)] = files
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
-    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _rank int")
+    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _rank int").withColumn("_file", _plain(F.col("_file")))
     parts = [_read(spark, columns, own, types, header, multi_line, ranks if with_row_order else None) for columns, own in groups.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return out if with_bad_records else out.drop(BAD_RECORD)
@@ -76,7 +81,7 @@ def _read(spark: SparkSession, columns: tuple[str, ...], files: list[str], types
         keep.append(cell.alias(c))
     if ranks is None:
         return df.select(*keep, BAD_RECORD)
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
+    df = df.withColumn("_file", _plain(F.col("_metadata.file_path")))
     # one row per file name: the list was read on the driver
     placed = df.select("*", _place_in_file().alias("_place")).join(F.broadcast(ranks), "_file", "left")
     unknown = F.raise_error(F.concat(F.lit("row of an unlisted file: "), F.col("_file"))).cast(WIDE)

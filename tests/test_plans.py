@@ -38,22 +38,40 @@ def test_scan_reads_only_needed_columns(spark):
             assert unused not in s.split("ReadSchema")[-1]
 
 
-def _final_plan(df) -> str:
+def _nodes(node):
+    """Nodes of the plan that ran: into query stages and subqueries, not into reused ones."""
+    name = node.nodeName()
+    if name.startswith(("ReusedExchange", "ReusedSubquery")):
+        return
+    yield node
+    if name == "AdaptiveSparkPlan":
+        below = [node.executedPlan()]
+    elif "QueryStage" in name:
+        below = [node.plan()]
+    else:
+        children = node.children()
+        below = [children.apply(i) for i in range(children.size())]
+    subqueries = node.subqueries()
+    below += [subqueries.apply(i) for i in range(subqueries.size())]
+    for x in below:
+        yield from _nodes(x)
+
+
+def _ran(df) -> list[str]:
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan.split("== Initial Plan ==")[0]
+    return [n.simpleString(10_000) for n in _nodes(df._jdf.queryExecution().executedPlan())]
 
 
 @pytest.mark.parametrize("name", ["evaluation_pivot", "price_pivot", "sku_demand_curve", "sku_segments", "price_histogram", "price_density"])
 def test_shared_pre_aggregate_scans_the_fact_once(spark, name):
-    plan = _final_plan(E.queries()[name](spark, SF_SMALL))
-    assert plan.count("lineitem.parquet") == 1, name
+    ran = _ran(E.queries()[name](spark, SF_SMALL))
+    assert sum("FileScan" in n and "lineitem.parquet" in n for n in ran) == 1, name
 
 
 @pytest.mark.parametrize("name", ["price_histogram", "demand_by_price_bin", "modal_price_bin", "price_density"])
 def test_rows_are_not_shuffled_by_price(spark, name):
-    plan = _final_plan(E.queries()[name](spark, SF_SMALL))
-    assert not re.search(r"Exchange hashpartitioning\((x|unit_price)#", plan), name
+    ran = _ran(E.queries()[name](spark, SF_SMALL))
+    assert not any(re.search(r"Exchange hashpartitioning\((x|unit_price)#", n) for n in ran), name
 
 
 @pytest.mark.parametrize("name", ["sku_rollup", "sku_peak_price"])
@@ -61,8 +79,8 @@ def test_fact_sized_rows_are_hash_aggregated(spark, name):
     """No sort-based aggregate before the first shuffle of the aggregation."""
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     below = [line for line in plan.splitlines() if "SortAggregate" in line]
-    assert all("min_by" in line for line in below)
-    assert not any("style" in line.split("keys=")[1].split("]")[0] for line in below)
+    assert all("min_by" in line or "max_by" in line for line in below)
+    assert not any("partial_sum(qty" in line or "style#" in line.split("functions=")[0] for line in below)
 
 
 def test_eager_jobs_use_no_python(spark):
