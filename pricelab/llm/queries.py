@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricelab.llm import bin_packing, divergence_rules, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, suffix_dedup, toxicity, vector_dedup
 from pricelab.llm.common import table
+from pricelab.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: Vocabulary file of the packing query.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -70,5 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_quote_threads": op10_quote_threads,
 }
-
-ORACLE_SQL: dict[str, str] = {}
