@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import hash_share, id_bucket, text_chunks
+from pricelab.llm.common import hash_share, id_bucket, text_chunks, word_hashes
 
 #: Bound of the fit: expected numbers of sampled documents of each class.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1200
@@ -126,7 +126,7 @@ def summed(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return np.stack([np.bincount(group, weights=rows[:, k], minlength=groups) for k in range(rows.shape[1])])
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int = 20, seed: int = 7) -> SubwordModel:
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 12, steps: int = 20, seed: int = 7) -> SubwordModel:
     """Fit embeddings and softmax on lower-cased texts with labels 0 and 1 (both must occur)."""
     labels = np.asarray(labels, dtype=np.int64)
     order = np.random.default_rng(seed).permutation(len(texts))
@@ -143,29 +143,25 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int =
     data, off = joined(fitted)
     text, begin = framed(data, off)
     word_of, starts, first = words_in(text, begin)
+    # one row for each distinct word, its n-grams and the number of documents it occurs in
+    _, sample, distinct = np.unique(word_hashes(text, starts), return_index=True, return_inverse=True)
+    doc = np.repeat(np.arange(len(fitted), dtype=np.int64), np.diff(first))
+    spread = np.bincount(np.unique(distinct * len(fitted) + doc) // max(1, len(fitted)), minlength=len(sample))
+    ends = np.append(np.flatnonzero((text[:-1] != 32) & (text[1:] == 32)) + 1, len(text))
+    chosen = [text[starts[k] : ends[k]].tobytes() for k in sample]
     grams, owner = [], []
-    for at, bucket in gram_buckets(text):
+    listed = np.frombuffer(b" " + b" ".join(chosen) + b" ", dtype=np.uint8)
+    place_of, _, _ = words_in(listed, np.zeros(1, np.int64))
+    for at, bucket in gram_buckets(listed):
         grams.append(bucket)
-        owner.append(word_of[at + 1].astype(np.int32))
+        owner.append(place_of[at + 1].astype(np.int32))
     grams, owner = np.concatenate(grams), np.concatenate(owner)
+    size = np.maximum(np.bincount(owner, minlength=len(sample)), 1).astype(np.float64)
     # n-grams of few documents can only be learned by heart
-    doc = np.repeat(np.arange(len(fitted), dtype=np.int64), np.diff(first))
-    pairs = np.unique(grams.astype(np.int64) * len(fitted) + doc[owner])
-    spread = np.bincount(pairs // max(1, len(fitted)), minlength=1 << BUCKET_BITS)
-    known = spread[grams] >= min(MIN_DOCS, max(1, len(fitted) // 20))
-    counts_all = np.bincount(owner, minlength=len(starts))
-    grams, owner = grams[known], owner[known]
-    # words of the same letters share their n-grams: one row for each distinct word
-    sign = np.zeros(len(starts), dtype=np.uint64)
-    np.add.at(sign, owner, (grams.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x1234567))
-    sign += counts_all.astype(np.uint64)
-    _, sample, distinct = np.unique(sign, return_index=True, return_inverse=True)
-    take = np.zeros(len(starts), dtype=bool)
-    take[sample] = True
-    keep = take[owner]
-    gram, row = np.unique(grams[keep], return_inverse=True)
-    word = distinct[owner[keep]]
-    size = np.maximum(counts_all[sample], 1).astype(np.float64)
+    seen = np.bincount(grams, weights=spread[owner], minlength=1 << BUCKET_BITS)
+    known = seen[grams] >= min(MIN_DOCS, max(1, len(fitted) // 20))
+    gram, row = np.unique(grams[known], return_inverse=True)
+    word = owner[known].astype(np.int64)
     # windows that do not overlap; the last of a text may be shorter
     window = np.concatenate([[0], np.cumsum((np.diff(doc) != 0) | ((np.arange(1, len(starts)) - first[doc[1:]]) % WINDOW == 0))]) if len(starts) else np.zeros(0, int)
     window_at = np.flatnonzero(np.concatenate([[True], np.diff(window) != 0]))
