@@ -17,6 +17,7 @@ gives an empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -34,7 +35,7 @@ from pricelab.llm.common import stored, text_chunks
 CAPACITY = 4096
 END_ID = 1
 #: Entries of each of a worker's two caches of encoded strings; they are emptied when full (speed only).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 _SLICE = 1 << 18
 _RANK_BITS = 45
 
@@ -50,7 +51,17 @@ _NOT_PLAIN = r"[\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{ff}]|<\|"
 class WordTokenizer:
     """Token ids as little-endian 32-bit bytes; words of Latin-1 texts are encoded once and kept."""
 
+    loaded: dict[str, WordTokenizer] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """The worker's tokenizer for this file: its tasks share vocabulary and caches."""
+        if path not in cls.loaded:
+            cls.loaded[path] = cls(path)
+        return cls.loaded[path]
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,8 +74,9 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Encode words (matches of the split pattern), many in one call; a word ends where a token does."""
-        parts = [words[k : k + 2000] for k in range(0, len(words), 2000)]
-        for part, done in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            done = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
             ids = np.asarray(done.ids, dtype="<u4")
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(part) and (not len(stop) or stop[-1] == len(ids)):
@@ -126,7 +138,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     """doc_id, piece, start, length, ids_crc32 of every piece; part and place rank it among its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        words, part = WordTokenizer.of(tokenizer_path), TaskContext.get().partitionId()
         end, places = np.array([END_ID], dtype="<u4").tobytes(), defaultdict(int)
         for batch in batches:
             for k, j, _, _ in text_chunks(batch.column("text")):
