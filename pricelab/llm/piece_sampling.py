@@ -34,7 +34,7 @@ from pricelab.llm.common import mix, powers, text_chunks
 ZIPF_SHIFT = 32.0
 SHARPNESS = 1.0
 SEED = 17
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 _BASE = 0x9FB21C651E98DF25
 
 
