@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelab.plans.session import scratch_path
+from pricelab.plans.session import drop_scratch, scratch_path
 
 #: Bytes of text handled at once; a longer document forms a chunk of its own.
 CHUNK_BYTES = 1 << 21
@@ -48,6 +48,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one operator that can go as soon as its last stored result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, f"{name}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep_last: int = 0) -> None:
+        """Remove the stored tables, but for the last ``keep_last``."""
+        gone = self.paths[: len(self.paths) - keep_last]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            drop_scratch(self.spark, path)
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

@@ -10,8 +10,10 @@ anywhere else goes.  Three steps, all keyed by content, find those windows:
 2. suffix sorting: the distinct runs of an anchor are laid together in shards; a shard's suffixes are put in
    order by external induced sorting with common prefixes (``induced_sorting``), and windows whose common
    prefix with a neighbour reaches ``WINDOW`` repeat.
-3. hot anchors: where more than ``HOT_RUNS`` different runs share an anchor (a passage in very many surroundings), their windows
-   are dealt one by one by 128 bits of content and counted, which splits such a group over all tasks.
+3. hot anchors: where more than ``HOT_RUNS`` different runs share an anchor (a passage in very many
+   surroundings), their windows are dealt by 128 bits of content and counted, which splits such a group over
+   all tasks: blocks of ``BLOCK`` windows first (by their shared core and by their whole), then the windows
+   of the blocks that this leaves open.
 
 Hashes are polynomials of the bytes with random values, 64 bits for anchors and 128 bits where equality
 decides.  Nothing is cut or sampled; documents never join each other.
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import CHUNK_BYTES, mix, powers, stored, text_chunks
+from pricelab.llm.common import CHUNK_BYTES, Scratch, mix, powers, stored, text_chunks
 from pricelab.llm.induced_sorting import MEMORY, SHORT, suffix_order
 
 WINDOW = 400
 GRAM = 96
 HOT_RUNS = 256
 SHARD_BYTES = 3 << 20
+#: Windows that are first compared together where an anchor is hot.
+BLOCK = 12
 
 _BASES = (0xD1342543DE82EF95, 0x9E6C63D0876A9A63)
 _VALUES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(salt)) | np.uint64(1) for salt in (0x243F6A88, 0x85A308D3)]
@@ -162,41 +166,98 @@ def _cut_out(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     return docs.join(own, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "anchor long, doc_id long, first long, n long, bytes binary")
 
 
-def _hot_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, first, n = 1) of the windows of the given runs whose content occurs twice."""
+def _blocks(docs: DataFrame, runs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Blocks of up to BLOCK neighbouring windows of the given runs (doc_id, anchor, first, n), aligned to the anchor's place.
+
+    ``core`` is the content that all windows of the block share, ``whole`` the content of all of them together
+    (null where the run holds a part of the block only); both 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "first", "n", "block", "core1", "core2", "whole1", "whole2"]
         for batch in batches:
-            for k in range(len(batch)):
-                data = np.frombuffer(batch.column("text")[k].as_py().encode(), dtype=np.uint8)
+            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
+                data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
                 one, two = _sums(data, 0), _sums(data, 1)
-                at = np.concatenate([np.arange(x["first"], x["first"] + x["n"]) for x in batch.column("runs")[k].as_py()])
-                columns = (np.full(len(at), batch.column("doc_id")[k].as_py()), at, _content(one, at, at + window).view(np.int64), _content(two, at, at + window).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "first", "w1", "w2"])
+                out: list[tuple[np.ndarray, ...]] = []
+                for x in own.as_py():
+                    first, last = x["first"], x["first"] + x["n"] - 1
+                    place = np.arange(last, first + window - gram + 1)
+                    anchor = int(place[np.argmax(_content(one, place, place + gram).view(np.int64) == x["anchor"])])
+                    block = np.arange((anchor - last) // BLOCK, (anchor - first) // BLOCK + 1)
+                    lo, hi = anchor - block * BLOCK - BLOCK + 1, anchor - block * BLOCK  # windows of the full block
+                    out.append((np.maximum(lo, first), np.minimum(hi, last), block, hi, lo + window, np.where((lo >= first) & (hi <= last), lo, -1)))
+                a, b, block, core_from, core_to, whole = (np.concatenate(c) for c in zip(*out, strict=True))
+                full = whole >= 0
+                lo = np.where(full, whole, 0)
+                hashes = [_content(s, core_from, core_to).view(np.int64) for s in (one, two)]
+                wholes = [_content(s, lo, np.where(full, lo + BLOCK + window - 1, 0)).view(np.int64) for s in (one, two)]
+                arrays = [pa.array(np.full(len(a), doc_id)), pa.array(a), pa.array(b - a + 1), pa.array(block), *map(pa.array, hashes), *(pa.array(w, mask=~full) for w in wholes)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    own = runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("runs"))
+    return docs.join(own, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, first long, n long, block long, core1 long, core2 long, whole1 long, whole2 long")
+
+
+def _hot_windows(docs: DataFrame, runs: DataFrame, window: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, first, n): the windows of the given runs (doc_id, anchor, first, n) that repeat.
+
+    Blocks of windows come first: where the whole block occurs twice, all its windows repeat; where their shared
+    core occurs once, none does.  Only the windows of the other blocks are dealt one by one."""
+    blocks = scratch.stored(_blocks(docs, runs, window, gram), "blocks")
+    wholes = blocks.where("whole1 is not null").groupBy("whole1", "whole2").agg(F.count("*").alias("m")).where("m > 1").select("whole1", "whole2", F.lit(True).alias("again"))
+    cores = blocks.groupBy("block", "core1", "core2").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    marked = scratch.stored(blocks.join(wholes, ["whole1", "whole2"], "left").select("doc_id", "first", "n", "block", "core1", "core2", "whole1", "whole2", "again"), "marked-blocks")
+    repeated = marked.where("again").select("doc_id", "first", "n")
+    undecided = marked.where("again is null").join(cores, ["block", "core1", "core2"], "left_semi")
+    return repeated.union(_counted_windows(docs, undecided, marked.where("again"), window))
+
+
+def _counted_windows(docs: DataFrame, runs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
+    """(doc_id, first, n = 1) of the windows of ``runs`` whose content occurs twice in them or in a block of ``repeated`` with the same core."""
 
-    own = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    windows = docs.join(own, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, first long, w1 long, w2 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
+                data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
+                one, two = _sums(data, 0), _sums(data, 1)
+                own = own.as_py()
+                at = np.concatenate([np.arange(x["first"], x["first"] + x["n"]) for x in own])
+                asked = np.repeat([x["asked"] for x in own], [x["n"] for x in own])
+                columns = (pa.array(np.full(len(at), doc_id)), pa.array(at), pa.array(_content(one, at, at + window).view(np.int64)), pa.array(_content(two, at, at + window).view(np.int64)), pa.array(asked))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "first", "w1", "w2", "asked"])
+
+    # a partner may lie in a block that repeats as a whole: one block of each such content is enough
+    contents = repeated.groupBy("block", "core1", "core2", "whole1", "whole2").agg(F.min(F.struct("doc_id", "first", "n")).alias("r")).select("block", "core1", "core2", "r.*")
+    partners = contents.join(runs.select("block", "core1", "core2").distinct(), ["block", "core1", "core2"], "left_semi")
+    asked = runs.select("doc_id", "first", "n", F.lit(True).alias("asked")).union(partners.select("doc_id", "first", "n", F.lit(False).alias("asked")))
+    own = asked.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "asked")).alias("runs"))
+    windows = docs.join(own, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, first long, w1 long, w2 long, asked boolean")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1")
-    return windows.join(twice, ["w1", "w2"]).select("doc_id", "first", F.lit(1).cast("long").alias("n"))
+    return windows.where("asked").join(twice, ["w1", "w2"]).select("doc_id", "first", F.lit(1).cast("long").alias("n"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY, short: int = SHORT) -> DataFrame:
     """(doc_id, spans): for each document (doc_id long, text) with repeats, the runs [(first, n)] of repeated windows."""
-    runs = stored(_all_runs(docs, window, gram), "runs")
+    scratch = Scratch(docs.sparkSession)
+    runs = scratch.stored(_all_runs(docs, window, gram), "runs")
     contents = runs.groupBy("anchor", "c1", "c2", "n").agg(F.count("*").alias("copies"))
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-    contents = stored(contents.join(anchors, "anchor").select("anchor", "c1", "c2", "copies", "kinds"), "contents")
+    contents = scratch.stored(contents.join(anchors, "anchor").select("anchor", "c1", "c2", "copies", "kinds"), "contents")
     # runs whose whole content repeats
-    known = stored(runs.join(contents, ["anchor", "c1", "c2"]).select("doc_id", "first", "n", "anchor", "c1", "c2", "copies", "kinds"), "shared-runs")
+    known = scratch.stored(runs.join(contents, ["anchor", "c1", "c2"]).select("doc_id", "first", "n", "anchor", "c1", "c2", "copies", "kinds"), "shared-runs")
+    scratch.drop(keep_last=1)
     whole = known.where("copies > 1").select("doc_id", "first", "n")
     # one run of each content of the other anchors
     several = known.where("kinds > 1")
     single = several.where("copies = 1").select("doc_id", "first", "n", "anchor", "kinds")
     sample = several.where("copies > 1").groupBy("anchor", "c1", "c2").agg(F.min(F.struct("doc_id", "first", "n")).alias("r"), F.max("kinds").alias("kinds")).select("r.doc_id", "r.first", "r.n", "anchor", "kinds")
-    distinct = stored(single.union(sample), "distinct-runs")
+    distinct = scratch.stored(single.union(sample), "distinct-runs")
     shards = _cut_out(docs, distinct.where(F.col("kinds") <= hot_runs).drop("kinds"), window)
-    found = whole.union(_sorted_windows(shards, window, shard_bytes, memory, short)).union(_hot_windows(docs, distinct.where(F.col("kinds") > hot_runs), window))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    hot = _hot_windows(docs, distinct.where(F.col("kinds") > hot_runs).drop("kinds"), window, gram, scratch)
+    found = whole.union(_sorted_windows(shards, window, shard_bytes, memory, short)).union(hot)
+    spans = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
+    scratch.drop()
+    return spans
 
 
 def merged(spans: list[dict], size: int, window: int) -> list[tuple[int, int]]:
