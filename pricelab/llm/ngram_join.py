@@ -6,15 +6,15 @@ start (its representative is the smallest doc_id), so copies cost one row each.
 * light sets (up to a boundary) enumerate fixed-size subsets.  Two sets of sizes n and m link exactly if
   they share a subset of ceil(0.8 (n + m) / 1.8) shingles, so equal keys are links and nothing is verified;
 * heavy sets scan inverted lists.  Only the rarest 20 % of a set (and one more) need lists, in an order that
-  puts shingles frequent in a sample last; a position bound prunes pairs that can't reach 0.8.  The exact
-  Jaccard value of the remaining pairs is computed from the whole texts.
+  puts shingles frequent in a sample last; pairs whose prefixes have too few shingles in common for 0.8 are
+  pruned.  The exact Jaccard value of the remaining pairs is computed from the whole texts.
 
 The boundary is the largest size whose subset rows cost no more than its list rows and checks by the measured
 list lengths.  Sets a little below it also enter the lists, as partners of heavy ones.
 
-Lists are not expanded to all pairs.  First every member of a list is checked against the smallest member;
-after the groups of these links are known, only pairs of a list whose members are still in different groups
-are checked.  Any link lies inside a group or is checked, so groups are exact.
+Lists are not expanded to all pairs.  First every set is checked against one other, the smallest member that
+most of its lists have; after the groups of these links are known, only pairs of a list whose members are
+still in different groups are checked.  Any link lies inside a group or is checked, so groups are exact.
 
 Defined results: null, empty and wordless texts have no shingles and group alone; fewer words than a shingle
 form one shingle of all words; repeated rows share a class; the sample only steers the order of shingles,
@@ -29,18 +29,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import LOWER, hash_share, mix, powers, stored, text_chunks, word_bounds, word_hashes
+from pricelab.llm.common import LOWER, Scratch, hash_share, mix, powers, stored, text_chunks, word_bounds, word_hashes
 from pricelab.llm.components import components
 
 SHINGLE_WORDS = 5
 #: Similarity threshold as a fraction; must be 4/5 for the sizes below.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bound of the sample that estimates shingle frequencies (documents).
-SAMPLE_DOCS = 4000
-SAMPLE_MIN = 3
+SAMPLE_DOCS = 12_000
+SAMPLE_MIN = 2
 MAX_LIGHT = 14
 #: Cost of checking a pair, in rows of an inverted list.
 CHECK_ROWS = 20
@@ -174,8 +174,8 @@ def _light_links(reps: DataFrame, boundary: int) -> DataFrame:
     return linked.where("a <> b").distinct()
 
 
-def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the threshold."""
+def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts (doc_id long, text) reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,47 +191,65 @@ def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                             keep.append(r)
                     yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
     return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _may_link(n, m, i, j):
-    """Size bound, and the position bound at a shared token at places i and j (true at the first shared token of any link)."""
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
+
+
+def _shared_prefix(n: Column, m: Column) -> Column:
+    """Fewest tokens that the prefixes of linked sets share.
+
+    The shared tokens outside a prefix are the last ones in the common order, at most ceil(0.8 n) - 1 of them."""
     need = F.ceil(NUMERATOR * (n + m) / F.lit(float(NUMERATOR + DENOMINATOR)))
-    return (DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
+    return need - F.ceil(NUMERATOR * F.greatest(n, m) / F.lit(float(DENOMINATOR))) + 1
 
 
-def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int) -> DataFrame:
+def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect all sets above the boundary, and those near it, as their full links would."""
     postings = (reps.where(F.col("n_shingles") * DENOMINATOR > boundary * NUMERATOR)
-                .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode(F.slice("tokens", 1, 1 << 30)).alias("at", "token"))
-                .where(F.col("at") < F.col("n") - F.ceil(F.col("n") * NUMERATOR / F.lit(float(DENOMINATOR))) + 1))
+                .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("tokens").alias("at", "token"))
+                .where(F.col("at") < F.col("n") - F.ceil(F.col("n") * NUMERATOR / F.lit(float(DENOMINATOR))) + 1).drop("at"))
     lists = postings.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("most > pivot").select("token", "pivot")
-    shared = stored(postings.join(lists, "token"), "shared-postings")
-    tried = stored(shared.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "tried")
-    links = stored(checked(tried, docs), "links")
+    # stored sides make plain joins, whose hot tokens Spark can split
+    shared = scratch.stored(postings.join(scratch.stored(lists, "lists"), "token"), "shared-postings")
+    # texts of the members of lists, cut out once for both checks
+    texts = scratch.stored(docs.select(F.col("doc_id").cast("long"), "text").join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # each set is first checked against the smallest member that most of its lists name, if these are about as many as a link needs
+    named = shared.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    best = named.groupBy(F.col("id").alias("a"), "n").agg(F.max_by("pivot", "c").alias("b"), F.max("c").alias("c"))
+    sizes = shared.select(F.col("id").alias("b"), F.col("n").alias("m")).distinct()
+    best = best.join(sizes, "b").where(_sizes_fit(F.col("n"), F.col("m")) & (2 * F.col("c") >= _shared_prefix(F.col("n"), F.col("m"))))
+    tried = scratch.stored(best.select("a", "b").distinct(), "tried")
+    links = scratch.stored(checked(tried, texts), "links")
     groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    known = stored(shared.drop("pivot").join(groups, "id", "left").select("token", "id", "n", "at", F.coalesce("g", "id").alias("g")), "grouped-postings")
+    known = scratch.stored(shared.drop("pivot").join(groups, "id", "left").select("token", "id", "n", F.coalesce("g", "id").alias("g")), "grouped-postings")
     split = known.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    open_lists = known.join(split, "token")
+    open_lists = scratch.stored(known.join(scratch.stored(split, "open-tokens"), "token"), "open-lists")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
-    pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.union(checked(stored(pairs, "open-pairs"), docs))
+    # a link has its sizes in proportion and enough common tokens in the prefixes; a passage in common is not enough
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
+    pairs = pairs.groupBy(F.col("x.id").alias("i"), F.col("y.id").alias("j")).agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
+    pairs = pairs.where(F.col("c") >= _shared_prefix(F.col("n"), F.col("m")))
+    pairs = pairs.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).join(tried, ["a", "b"], "left_anti")
+    return links.union(checked(scratch.stored(pairs, "open-pairs"), texts))
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     frequent, counts, length = frequent_shingles(docs, docs.count())
     boundary = light_boundary(length)
-    shaped = stored(shapes(docs, frequent, counts, boundary), "shapes")
+    scratch = Scratch(docs.sparkSession)
+    shaped = scratch.stored(shapes(docs, frequent, counts, boundary), "shapes")
     own = shaped.select("doc_id", "n_shingles", "sign1", "sign2")
     classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("sign1", "sign2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = stored(own.join(classes, ["sign1", "sign2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     first = members.where("doc_id = rep and n_shingles > 0").select("doc_id", "n_shingles").distinct()
-    reps = stored(shaped.join(first, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "n_shingles", "tokens"), "representatives")
-    links = _light_links(reps, boundary).union(_heavy_links(reps, docs, boundary))
+    reps = scratch.stored(shaped.join(first, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "n_shingles", "tokens"), "representatives")
+    scratch.drop(keep_last=1)
+    links = _light_links(reps, boundary).union(_heavy_links(reps, docs, boundary, scratch))
     found = components(links).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    scratch.drop()  # the components are stored
     return members.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
