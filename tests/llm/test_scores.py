@@ -89,8 +89,11 @@ def test_toxicity_finds_words_and_misspellings(rng):
     scores = np.array([p(t) for _, t, _ in rows[160:]])
     labels = np.array([y for _, _, y in rows[160:]])
     assert ((scores >= 0.5) == labels).mean() > 0.9
-    clean = " ".join(w for w in rows[161][1].split())
-    assert p(clean + " blockheead") > p(clean) + 0.2
+    def margin(word):
+        return model.highest(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))[0]
+
+    harmless = sorted(margin(w) for w in rows[161][1].split())
+    assert margin("blockheead") > harmless[len(harmless) * 9 // 10] and margin("vermiin") > harmless[len(harmless) * 9 // 10]  # unseen spellings
     assert p("") < 0.7
 
 
