@@ -206,7 +206,11 @@ def _hot_windows(docs: DataFrame, runs: DataFrame, window: int, gram: int, scrat
     blocks = scratch.stored(_blocks(docs, runs, window, gram), "blocks")
     wholes = blocks.where("whole1 is not null").groupBy("whole1", "whole2").agg(F.count("*").alias("m")).where("m > 1").select("whole1", "whole2", F.lit(True).alias("again"))
     cores = blocks.groupBy("block", "core1", "core2").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    marked = scratch.stored(blocks.join(wholes, ["whole1", "whole2"], "left").select("doc_id", "first", "n", "block", "core1", "core2", "whole1", "whole2", "again"), "marked-blocks")
+    # parts of blocks have no whole to look up; the stored side makes a plain join, whose hot contents Spark can split
+    columns = ["doc_id", "first", "n", "block", "core1", "core2", "whole1", "whole2", "again"]
+    looked_up = blocks.where("whole1 is not null").join(scratch.stored(wholes, "wholes"), ["whole1", "whole2"], "left").select(*columns)
+    parts = blocks.where("whole1 is null").withColumn("again", F.lit(None).cast("boolean")).select(*columns)
+    marked = scratch.stored(looked_up.union(parts), "marked-blocks")
     repeated = marked.where("again").select("doc_id", "first", "n")
     undecided = marked.where("again is null").join(cores, ["block", "core1", "core2"], "left_semi")
     return repeated.union(_counted_windows(docs, undecided, marked.where("again"), window))
