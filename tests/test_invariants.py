@@ -14,7 +14,7 @@ def fact(spark):
 
 
 def test_rollup_qty_equals_baseline_qty(fact):
-    total = rollup.key_rollup(fact, "sku").agg(F.sum("total_qty")).first()[0]
+    total = rollup.key_rollup(fact, "sku", F.col("order_id") * 1000 + F.col("line_no")).agg(F.sum("total_qty")).first()[0]
     base = scenarios.baseline(fact, "category").agg(F.sum("baseline_qty")).first()[0]
     assert total == base == fact.agg(F.sum("qty")).first()[0]
 

@@ -1,6 +1,7 @@
 """Output schemas of the derived tables."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelab.operators import elasticity, rollup, scenarios, segments
@@ -34,7 +35,7 @@ def test_derived_table_columns(fact):
     base = scenarios.with_elasticity(scenarios.baseline(fact), cat_el)
     meta = segments.modal_attributes(fact)
     expected = {
-        "sku_agg": (rollup.key_rollup(fact, "sku"),
+        "sku_agg": (rollup.key_rollup(fact, "sku", F.col("order_id") * 1000 + F.col("line_no")),
                     ["sku", "avg_price", "total_qty", "total_revenue", "style", "category"]),
         "sku_price_demand": (elasticity.price_demand(fact, "sku"), ["sku", "unit_price", "qty", "log_price", "log_qty"]),
         "elasticity_df": (sku_el, ["sku", "elasticity", "r2", "elasticity_range"]),
