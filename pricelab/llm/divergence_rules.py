@@ -4,16 +4,25 @@ A document's character-class histogram and its histogram of common words are com
 languages by the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1).  A language's
 reference is the mean histogram of the documents whose ``lang`` names it, taken over all of them, so the
 references follow the corpus.  A document passes if its nearest language is within ``MAX_CLASS_DISTANCE`` by
-character classes and, from ``MIN_WORDS_FOR_COMMON`` words on, within ``MAX_WORD_DISTANCE`` by common words;
-shorter texts hold too few common words for the second comparison.  The base rules come first.
+character classes and, from ``MIN_WORDS_FOR_COMMON`` words on, a language is within its own limit by common
+words; shorter texts hold too few common words for the second comparison.  The base rules come first.
+
+A language's limit by common words follows the corpus too.  It lies ``LIMIT_WAY`` of the way from the
+``BULK`` quantile of the distances of the language's own documents (all that the comparison decides: enough
+words, base rules passed) to the distance of a text without a common word, and always below the latter, so
+that such a text never passes, while no fixed share of the documents is cut off.
 
 Defined results: null and empty texts have no words: every count is 0 and the base rules reject them.
 Documents of other or null languages are compared like the rest but add to no reference; if a reference has
-no documents it is left out, and without any the verdict is the base rules'.  Extra columns are not read.
+no documents it is left out, and without any the verdict is the base rules'.  A language without documents for the quantile
+takes the distance of a text without a common word as its limit (exclusive).  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from math import ceil, log2, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +46,11 @@ CLASSES = [*CLASS_PATTERNS, "other"]
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.60
 MIN_WORDS_FOR_COMMON = 100
+#: Quantile that bounds the bulk of a language's documents, and the steps in which distances are counted for it.
+BULK = 0.95
+STEPS = 1000
+LIMIT_WAY = 0.75
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -142,14 +154,53 @@ def _nearest(histogram: str, refs: dict[str, list[float]]) -> Column:
     return F.array_min(F.array(*distances)) if distances else F.lit(0.0)
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def wordless_distance(reference: list[float]) -> float:
+    """Jensen-Shannon distance of a text without a common word and a reference of common words."""
+    y = reference[-1]
+    m = (1 + y) / 2
+    return sqrt(max(0.0, sum(reference[:-1]) / 2 + (-log2(m) + (y * log2(y / m) if y > 0 else 0.0)) / 2))
+
+
+def word_limits(measured: DataFrame, refs: dict[str, list[float]]) -> dict[str, float]:
+    """Largest distance by common words that each language accepts."""
+    bulk: dict[str, float] = {}
+    if refs:
+        own = F.coalesce(*(F.when(F.col("lang") == k, _distance(F.col("common"), r)) for k, r in refs.items()))
+        judged = measured.where(F.col("lang").isin(list(refs)) & (F.col("n_words") >= MIN_WORDS_FOR_COMMON) & ~_base_failed())
+        counts = judged.groupBy("lang", F.ceil(own * STEPS).alias("step")).agg(F.count("*").alias("n"))
+        steps = defaultdict(list)
+        for r in counts.collect():  # at most four languages times STEPS + 1
+            steps[r["lang"]].append((r["step"], r["n"]))
+        for lang, found in steps.items():
+            left = ceil(BULK * sum(n for _, n in found))
+            for step, n in sorted(found):
+                left -= n
+                if left <= 0:
+                    bulk[lang] = step / STEPS
+                    break
+    limits = {}
+    for lang, r in refs.items():
+        most = wordless_distance(r)
+        low = min(bulk.get(lang, most), most)
+        limits[lang] = min(low + LIMIT_WAY * (most - low), most - 1e-6)
+    return limits
+
+
 def judge(measured: DataFrame) -> DataFrame:
-    """Result of the rules from stored ``measures`` (read for the references and for the verdicts)."""
+    """Result of the rules from stored ``measures`` (read for the references, the limits and the verdicts)."""
     by_class, by_word = references(measured, "classes", len(CLASSES)), references(measured, "common", len(VOCABULARY) + 1)
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    limits = word_limits(measured, by_word)
+    base_failed = _base_failed()
+    spare = [F.lit(limits[k]) - _distance(F.col("common"), r) for k, r in by_word.items()]
+    worded = F.array_max(F.array(*spare)) >= 0 if spare else F.lit(True)
     out = measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
-                          _nearest("classes", by_class).alias("class_distance"), _nearest("common", by_word).alias("word_distance"))
-    near = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & ((F.col("n_words") < MIN_WORDS_FOR_COMMON) | (F.col("word_distance") <= MAX_WORD_DISTANCE))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(near, F.lit(False)))
+                          _nearest("classes", by_class).alias("class_distance"), _nearest("common", by_word).alias("word_distance"), worded.alias("worded"))
+    near = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & ((F.col("n_words") < MIN_WORDS_FOR_COMMON) | F.col("worded"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(near, F.lit(False))).drop("worded")
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:

@@ -69,3 +69,31 @@ def test_clean_documents_stay_and_symbol_noise_goes(spark):
 def test_no_python_in_the_plan(spark):
     plan = rules.apply_rules(table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_text_without_common_words_goes_and_clean_documents_stay(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    made = [(-1, " ".join(f"{a}{b}el{c}o" for a in "bdfgk" for b in "aeiou" for c in "lmnprstv"), "en"),
+            (-2, " ".join(f"{a}o{b}a{c}i" for a in "mnprt" for b in "kstvz" for c in "bdfglmnr"), "fr")]
+    assert all(len(t.split()) == 200 for _, t, _ in made)
+    got = rules.apply_rules(docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(made, "doc_id long, text string, lang string")))
+    noise = got.where("doc_id < 0").collect()
+    assert len(noise) == 2
+    assert all(not r.base_failed and r.class_distance <= rules.MAX_CLASS_DISTANCE and not r.kept for r in noise)
+    clean = got.join(labels.where("quality = 1"), "doc_id", "left_semi").where(f"not base_failed and class_distance <= {rules.MAX_CLASS_DISTANCE}")
+    assert clean.count() > 250 and clean.where("not kept").count() == 0
+
+
+def test_word_limit_by_hand(spark):
+    at = rules.VOCABULARY.index("the")
+    rows = [(i, "en", 100 + i, 0, [(at, i / 100), (len(rules.VOCABULARY), 1 - i / 100)]) for i in range(20, 40)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, common array<struct<i:int,share:double>>")
+    refs = rules.references(measured, "common", len(rules.VOCABULARY) + 1)
+
+    def distance(share):
+        p, q = np.array([share, 1 - share]), np.array([refs["en"][at], refs["en"][-1]])
+        return np.sqrt(sum((a[a > 0] * np.log2(a[a > 0] / ((p + q) / 2)[a > 0])).sum() for a in (p, q)) / 2)
+
+    none, bulk = distance(0.0), np.ceil(sorted(distance(i / 100) for i in range(20, 40))[18] * rules.STEPS) / rules.STEPS
+    assert abs(rules.wordless_distance(refs["en"]) - none) < 1e-12
+    assert abs(rules.word_limits(measured, refs)["en"] - (bulk + 0.75 * (none - bulk))) < 1e-9
