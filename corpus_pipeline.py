@@ -32,9 +32,17 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    firsts = ngram_join.groups_of(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The document with the smallest id of each near-duplicate group.
+
+    Rows are grouped by their own text under a hash of (doc_id, text), so rows that share an id but not a text
+    stand for themselves.  Rows with a null id are grouped like the rest and come after all ids; rows equal in
+    doc_id and text are one document, no others are merged; texts without words all stay."""
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    keyed = docs.withColumn("_row", row)
+    groups = ngram_join.groups_of(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    members = groups.join(keyed.select("_row", "doc_id").distinct(), "_row")
+    firsts = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first")).select("first._row")
+    return keyed.join(firsts, "_row", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

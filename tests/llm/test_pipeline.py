@@ -67,3 +67,16 @@ def test_odd_rows_pass_every_stage(spark, odd_documents):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF), "odd")
     assert {4, 6, 7} <= set(ids(docs)) and not {0, 1, 2, 3, 5} & set(ids(docs))
+
+
+def test_rows_without_an_id_of_their_own_pass_every_stage(spark, odd_documents):
+    docs = odd_documents.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"))
+    more = [(None, "another one without an id"), (None, "the cat sat on the mat"), (4, "same id as the cat but other words"), (20, "b c d e f g h"), (20, "x y z x y z x")]
+    more += [(3000, "x y z x y z x"), (19, "b c d e f g h"), (20, "words that only this row of its id holds")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "src", 1) for i, t in more], docs.schema))
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in corpus_pipeline.distinct_texts(spark, docs.where("doc_id is null or doc_id in (4, 5, 19, 20, 3000)"), SF).collect())
+    assert kept == [(False, 4, "same id as the cat but other words"), (False, 4, "the cat sat on the mat"), (False, 19, "b c d e f g h"), (False, 20, "words that only this row of its id holds"),
+                    (False, 20, "x y z x y z x"), (True, 0, "another one without an id"), (True, 0, "no id here")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF), "odd-ids")
+    assert docs.where("doc_id is null").count() == 2 and docs.where("doc_id = 4").count() == 2 and docs.where("doc_id = 20").count() == 2
