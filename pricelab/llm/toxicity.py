@@ -9,7 +9,8 @@ documents are mostly harmless words, so the first round learns from all windows
 windows that the model so far finds suspicious, of toxic and of clean documents (each document's highest one
 always), with a share of the harmless ones.  The result of the
 highest window is turned into a probability by a logistic curve fitted on sampled documents that took no part
-in the training of the embeddings.
+in the training of the embeddings, each class weighing as much as it does among all labelled rows, so that a
+score means the same whatever share of a class was sampled.
 
 After training, the two-class margin of an n-gram is one number, so a text is scored by table look-ups over
 its bytes: whole texts, in memory bounded by a chunk.
@@ -126,8 +127,10 @@ def summed(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return np.stack([np.bincount(group, weights=rows[:, k], minlength=groups) for k in range(rows.shape[1])])
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 12, steps: int = 20, seed: int = 7) -> SubwordModel:
-    """Fit embeddings and softmax on lower-cased texts with labels 0 and 1 (both must occur)."""
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 12, steps: int = 20, seed: int = 7, weights: tuple[float, float] = (1.0, 1.0)) -> SubwordModel:
+    """Fit embeddings and softmax on lower-cased texts with labels 0 and 1 (both must occur).
+
+    ``weights``: labelled rows that a text of class 0 and of class 1 stands for, used by the curve."""
     labels = np.asarray(labels, dtype=np.int64)
     order = np.random.default_rng(seed).permutation(len(texts))
     kept_back = np.zeros(len(texts), dtype=bool)
@@ -209,18 +212,19 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 12, steps: int =
     margins[gram] = e @ (w[:, 1] - w[:, 0])
     model = SubwordModel(margins, float(b[1] - b[0]), 1.0, 0.0)
     rows = np.flatnonzero(kept_back) if kept_back.any() and len(set(labels[kept_back])) == 2 else np.arange(len(texts))
-    model.slope, model.offset = _curve(model.highest(*joined(rows)), labels[rows])
+    model.slope, model.offset = _curve(model.highest(*joined(rows)), labels[rows], np.asarray(weights, dtype=np.float64)[labels[rows]])
     return model
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton steps (a small ridge keeps separable data finite)."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic curve by Newton steps (a small ridge keeps separable data finite)."""
+    weight = weight / weight.mean()
     scale = float(x.std()) or 1.0
     a = np.stack([(x - x.mean()) / scale, np.ones(len(x))], axis=1)
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        beta -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(2) * ridge, a.T @ (p - y) + ridge * beta)
+        beta -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.eye(2) * ridge, a.T @ (weight * (p - y)) + ridge * beta)
     slope = max(float(beta[0]), 0.0) / scale
     return slope, float(beta[1]) - slope * float(x.mean())
 
@@ -236,7 +240,8 @@ def fit(docs: DataFrame, label: str = "label") -> SubwordModel:
     rows = docs.where(chosen).select(F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.col(label).alias("label"), "doc_id").toPandas().sort_values("doc_id")
     if rows["label"].nunique() < 2:
         return SubwordModel(np.zeros(1 << BUCKET_BITS), 0.0, 0.0, -30.0)
-    return train([t.encode() for t in rows["text"]], rows["label"].to_numpy())
+    sampled = rows["label"].value_counts()
+    return train([t.encode() for t in rows["text"]], rows["label"].to_numpy(), weights=(n[0] / int(sampled[0]), n[1] / int(sampled[1])))
 
 
 def score(docs: DataFrame, model: SubwordModel, text: str = "text") -> DataFrame:

@@ -127,6 +127,27 @@ def test_toxicity_query_on_odd_rows(spark, odd_documents, no_documents, rng):
     assert [r[0] for r in one_class] == [0]
 
 
+def test_toxicity_score_does_not_depend_on_the_sample_bound(spark, rng, monkeypatch):
+    """An insult stands in every toxic row and in a third of the clean ones, so its score is a true share."""
+    known, rows = ["".join(rng.choice(list("aeioutnrsl"), 5)) for _ in range(40)], []
+    for i in range(1500):
+        words = [str(w) for w in rng.choice(known, 12)]
+        toxic = i % 5 == 0
+        insult = toxic or i % 3 == 0
+        if insult:
+            words.insert(int(rng.integers(0, 12)), "blockhead")
+        rows.append((i, " ".join(words), int(toxic), insult))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, label int")
+    raw = [np.frombuffer(t.encode(), np.uint8) for _, t, _, insult in rows if insult]
+    data, off = np.concatenate(raw), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    share = sum(y for *_, y, insult in rows) / len(raw)
+    got = []
+    for clean in (1200, 300):
+        monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", clean)
+        got.append(toxicity.fit(docs).scores(data, off).mean())
+    assert abs(got[0] - share) < 0.1 and abs(got[1] - share) < 0.1
+
+
 def test_quality_held_out(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     got = quality_gam.score_held_out(docs, labels).toPandas()
