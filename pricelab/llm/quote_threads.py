@@ -2,9 +2,10 @@
 
 Leading ``>`` marks (blanks between them allowed) give every line of a message its quote level.  Runs of lines
 of one level above 0 are quoted passages, runs of level 0 the message's own paragraphs (also cut at empty
-lines).  A passage is normalised (lower case, white space collapsed) and hashed; a quoted passage links its
-message to an earlier message of the same conversation that has that passage as an own paragraph, line or
-whole body.  The original is the first message with the passage; of a message's quotes that link, the
+lines).  A passage is normalised (lower case, white space collapsed) and hashed; a quoted passage of any length
+links its message to an earlier message of the same conversation that has that passage as an own run, paragraph
+or whole body (however its lines are broken), or that has the passage's lines one after the other in one of its
+own runs (empty lines don't count).  The original is the first message with the passage; of a message's quotes that link, the
 shallowest decides its parent (the latest original, if several are as shallow).
 
 Messages without a link are the main line.  A message's thread is found by pointer jumping over parents, and
@@ -29,9 +30,6 @@ from pyspark.sql import functions as F
 
 from pricelab.llm.common import stored
 
-#: Shortest normalised passage (characters) that is taken for a quotation.
-MIN_PASSAGE = 8
-
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
 
 
@@ -43,8 +41,13 @@ def _passage_hash(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
+def _line_hashes(text: Column) -> Column:
+    """Hashes of the normalised lines that are not empty."""
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), _normal), lambda s: s != ""), _passage_hash)
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """row (a hash of the whole row), conv_id, turn, role, body, quotes [(level, passage)] and own passages."""
+    """row (a hash of the whole row), conv_id, turn, role, body, quotes [(level, text)], own runs (null: the body is the only one)."""
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "\r\n?", "\n")
     base = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text.alias("text"))
     base = base.withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
@@ -59,24 +62,35 @@ def parsed(messages: DataFrame) -> DataFrame:
         F.regexp_replace(x["s"], "[\x00\x01]", " "))), "")
     runs = F.transform(F.filter(F.split(marked, "\x00"), lambda r: r != ""), lambda r: F.struct(F.substring_index(r, "\x01", 1).cast("int").alias("level"), F.substring_index(r, "\x01", -1).alias("s")))
     base = base.withColumn("runs", F.when(quoted, runs))
-    quotes = F.filter(F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), _normal(r["s"]).alias("s"))), lambda r: F.length(r["s"]) >= MIN_PASSAGE)
-    body = F.when(quoted, F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["s"]), "\n")).otherwise(F.col("text"))
-    return base.select("row", "conv_id", "turn", "role", F.regexp_replace(body, r"^\n+|\s+$", "").alias("body"), F.coalesce(quotes, F.array().cast("array<struct<level:int,s:string>>")).alias("quotes"))
+    quotes = F.filter("runs", lambda r: (r["level"] > 0) & (_normal(r["s"]) != ""))
+    own = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["s"])
+    body = F.when(quoted, F.array_join(own, "\n")).otherwise(F.col("text"))
+    return base.select("row", "conv_id", "turn", "role", F.regexp_replace(body, r"^\n+|\s+$", "").alias("body"), F.coalesce(quotes, F.array().cast("array<struct<level:int,s:string>>")).alias("quotes"), own.alias("own"))
 
 
 def _links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, level): the parent of each turn with a quotation that is found."""
     quotes = messages.where((F.size("quotes") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quotes = quotes.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), _passage_hash(F.col("q.s")).alias("h"))
-    quotes = stored(quotes.distinct(), "quotes")
-    own = F.array_distinct(F.transform(F.flatten(F.array(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", "\n"))), _normal))
-    asked = quotes.select("conv_id", "h").distinct()
+    quotes = quotes.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), _passage_hash(_normal(F.col("q.s"))).alias("whole"), _line_hashes(F.col("q.s")).alias("lines"))
+    quotes = stored(quotes.select("conv_id", "turn", "level", "whole", F.size("lines").alias("n"), F.xxhash64("lines").alias("run")).distinct(), "quotes")
+    # a passage is looked up as a whole (size 0) and as a run of its number of lines
+    keys = F.explode(F.array(F.struct(F.lit(0).alias("size"), F.col("whole").alias("h")), F.struct(F.col("n").alias("size"), F.col("run").alias("h")))).alias("key")
+    wanted = quotes.select("conv_id", "turn", "level", "whole", "run", keys).select("conv_id", "turn", "level", "whole", "run", "key.size", "key.h")
+    asked = wanted.select("conv_id", "size", "h").distinct()
+    sizes = stored(quotes.select("conv_id", "n").distinct().groupBy("conv_id").agg(F.collect_set("n").alias("sizes")), "quote-sizes")
     # only conversations with quotations are cut into passages
-    sources = messages.where(F.col("turn").isNotNull()).join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
-    sources = sources.select("conv_id", F.col("turn").alias("parent_turn"), F.explode(F.filter(own, lambda s: F.length(s) >= MIN_PASSAGE)).alias("s"))
-    sources = sources.select("conv_id", "parent_turn", _passage_hash(F.col("s")).alias("h")).join(asked, ["conv_id", "h"], "left_semi").distinct()
-    originals = sources.groupBy("conv_id", "h").agg(F.min("parent_turn").alias("parent_turn"))
-    found = quotes.join(originals, ["conv_id", "h"]).where("parent_turn < turn")
+    sources = messages.where(F.col("turn").isNotNull()).join(sizes, "conv_id")
+    sources = sources.select("conv_id", F.col("turn").alias("parent_turn"), "body", F.coalesce("own", F.array("body")).alias("own"), "sizes")
+    wholes = F.array_distinct(F.transform(F.concat(F.array("body"), F.col("own"), F.flatten(F.transform("own", lambda s: F.split(s, r"\n\s*\n")))), _normal))
+    wholes = sources.select("conv_id", "parent_turn", F.explode(F.filter(wholes, lambda s: s != "")).alias("s")).select("conv_id", "parent_turn", F.lit(0).alias("size"), _passage_hash(F.col("s")).alias("h"))
+    runs = sources.select("conv_id", "parent_turn", "sizes", F.explode("own").alias("s")).select("conv_id", "parent_turn", "sizes", _line_hashes(F.col("s")).alias("lines"))
+    runs = runs.select("conv_id", "parent_turn", "lines", F.explode(F.filter("sizes", lambda k: k <= F.size("lines"))).alias("size"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("size") + 1), lambda i: F.xxhash64(F.slice("lines", i, F.col("size"))))
+    runs = runs.select("conv_id", "parent_turn", "size", F.explode(F.array_distinct(windows)).alias("h"))
+    sources = wholes.union(runs).join(asked, ["conv_id", "size", "h"], "left_semi")
+    originals = sources.groupBy("conv_id", "size", "h").agg(F.min("parent_turn").alias("parent_turn"))
+    found = wanted.join(originals, ["conv_id", "size", "h"]).where("parent_turn < turn")
+    found = found.groupBy("conv_id", "turn", "level", "whole", "run").agg(F.min("parent_turn").alias("parent_turn"))
     return found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("parent_turn")).alias("p"))).alias("best")).select(
         "conv_id", "turn", (-F.col("best.p")).alias("parent_turn"), F.col("best.level").alias("quote_level"))
 
@@ -122,7 +136,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, position, turn, role, parent_turn, quote_level, thread_turn, depth, body of every message."""
     rows = stored(parsed(messages), "messages")
     threads = _threads(_links(rows))
-    rows = rows.drop("quotes").join(threads, ["conv_id", "turn"], "left")
+    rows = rows.drop("quotes", "own").join(threads, ["conv_id", "turn"], "left")
     rows = rows.select("row", "conv_id", "turn", "role", "parent_turn", "quote_level", F.coalesce("root", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "body")
     placed = _positions(rows, ["thread_turn", "turn", "role", "row"])
     return placed.select("conv_id", F.when(F.col("conv_id").isNotNull(), F.col("position")).alias("position"), "turn", "role", "parent_turn", "quote_level", "thread_turn", "depth", "body")

@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 
 from pricelab.llm import quote_threads
@@ -54,3 +57,57 @@ def test_table_against_brute_force(spark, sf):
     got = sorted((r.conv_id, r.position, r.turn, r.body) for r in quote_threads.conversations(messages).collect())
     assert [(c, t) for c, _, t, _ in got] == [(c, t) for c, t, _ in rows]  # the table has no quotes: turns in order
     assert [b for *_, b in got] == [x.lstrip("\n").rstrip() for *_, x in rows]
+
+
+def linked(rows):
+    """turn -> parent by brute force over one conversation of (turn, text)."""
+    def normal(x):
+        return " ".join(x.lower().split())
+
+    def cut(text):
+        out = []
+        for line in text.split("\n"):
+            marks = re.match(r"[ \t]*(?:>[ \t]*)+", line)
+            level = marks.group().count(">") if marks else 0
+            if not out or out[-1][0] != level:
+                out.append((level, []))
+            out[-1][1].append(line[marks.end():] if marks else line)
+        return out
+
+    def has(text, quote):
+        own = ["\n".join(x) for level, x in cut(text) if level == 0]
+        wholes = ["\n".join(own), *own, *(p for x in own for p in re.split(r"\n\s*\n", x))]
+        lines = [[normal(y) for y in x.split("\n") if normal(y)] for x in own]
+        asked = [normal(y) for y in quote if normal(y)]
+        return normal(" ".join(quote)) in map(normal, wholes) or any(x[i : i + len(asked)] == asked for x in lines for i in range(len(x)))
+
+    parents = {}
+    for turn, text in rows:
+        found = []
+        for level, quote in cut(text):
+            if level and normal(" ".join(quote)):
+                first = min((t for t, x in rows if has(x, quote)), default=turn)
+                if first < turn:
+                    found.append((level, -first))
+        parents[turn] = -min(found)[1] if found else None
+    return parents
+
+
+def test_partial_short_and_interleaved_quotes(spark):
+    texts = ["one line\ntwo line\nthree line\nfour line\n\nsecond paragraph here\n\nthird paragraph here", "Yes.", "Why not", "> two line\n> three line\nA", "> Yes.\nB",
+             "> second paragraph here\n>\n> third paragraph here\nC", "> one line\nreply first\nreply second\n> four line\nother first\nother second", "> other first\n> other second\nD",
+             "> reply second\n> other first\nacross runs", "> one line\n> three line\nnot consecutive", "> two line three\n> line four line\nbroken elsewhere", "> one line two line\n> three line four line\nE"]
+    got = {r.turn: r.parent_turn for r in result(spark, [(1, i, "u", t) for i, t in enumerate(texts)]).values()}
+    assert got == linked(list(enumerate(texts)))
+    assert [got[i] for i in (3, 4, 5, 6, 7, 8, 9, 11)] == [0, 1, 0, 0, 6, None, None, 0]
+
+
+def test_random_quotes_against_brute_force(spark):
+    rng, rows = np.random.default_rng(5), []
+    for conv in range(6):
+        for turn in range(25):
+            lines = [("> " * int(rng.choice([0, 0, 1, 2])) + str(rng.choice(["a", "b", "c d", "", "e"]))) for _ in range(int(rng.integers(1, 7)))]
+            rows.append((conv, turn, "u", "\n".join(lines)))
+    got = {(r.conv_id, r.turn): r.parent_turn for r in result(spark, rows).values()}
+    want = {(c, t): p for c in range(6) for t, p in linked([(t, x) for k, t, _, x in rows if k == c]).items()}
+    assert got == want and sum(p is not None for p in want.values()) > 30
