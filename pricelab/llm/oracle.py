@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: all pairs, then groups by transitive links."""
+"""DuckDB SQL for the queries that SQL can express: pairs, groups by transitive links, counts."""
 
 from __future__ import annotations
 
@@ -55,4 +55,40 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(g.comp
 FROM words d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN grouped g ON g.id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_vector_dedup": VECTOR_LINKS, "op4_ngram_join": SHINGLE_GROUPS}
+HARD_NEGATIVES = """
+WITH given AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+  FROM embeddings
+),
+v AS (
+  SELECT DISTINCT id, label, list_transform(x, lambda y: floor(256 * y)) AS q FROM given
+  WHERE id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+),
+scored AS (
+  SELECT a.id AS anchor_id, c.id AS other_id, a.label = c.label AS same, CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.id % 100 = 0 AND a.id <> c.id AND len(a.q) = len(c.q)
+),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+EXACT_GROUPS = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_vector_dedup": VECTOR_LINKS,
+    "op4_ngram_join": SHINGLE_GROUPS,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_exact_dedup": EXACT_GROUPS,
+}

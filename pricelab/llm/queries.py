@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelab.llm import bin_packing, divergence_rules, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, suffix_dedup, toxicity, vector_dedup
+from pricelab.llm import bin_packing, divergence_rules, exact_dedup, hard_negatives, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, suffix_dedup, toxicity, vector_dedup
 from pricelab.llm.common import table
 from pricelab.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -59,6 +59,16 @@ def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_threads.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors."""
+    return hard_negatives.default_mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal after lower-casing A-Z, with their digests."""
+    return exact_dedup.digest_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,4 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_language": op9_language,
     "op10_quote_threads": op10_quote_threads,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_dedup": op12_exact_dedup,
 }
