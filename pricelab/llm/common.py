@@ -113,9 +113,9 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in ``data``, and for each document the index of its first word (plus the total)."""
-    word = ~IS_SPACE[data]
+    word = ~separators[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[off[:-1]] = True
     first[off[1:]] = True

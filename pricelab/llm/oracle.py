@@ -86,9 +86,42 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY t)
 """
 
+COLLOCATIONS = """
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents)
+),
+counts AS (
+  SELECT lang, p, CAST(count(*) AS HUGEINT) AS n FROM (
+    SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS p FROM words WHERE len(w) > 0)
+  GROUP BY ALL
+),
+totals AS (SELECT lang, sum(n) AS n FROM counts WHERE len(p) = 1 GROUP BY lang),
+cuts AS (SELECT lang, p, n AS a, unnest(range(1, len(p))) AS k FROM counts WHERE len(p) > 1 AND n >= 100),
+best AS (
+  SELECT c.lang, c.p, c.a, c.k, l.n AS l, r.n AS r, t.n AS n, 1000 * c.a * t.n // (l.n * r.n) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN counts r ON r.lang = c.lang AND r.p = c.p[c.k + 1:]
+  JOIN totals t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY 1000 * c.a * t.n // (l.n * r.n), c.k) = 1
+),
+inner_parts AS (
+  SELECT lang, p[i:j] AS p, a FROM (
+    SELECT lang, p, a, i, unnest(range(i + 1, len(p) + 1)) AS j FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS i FROM best WHERE len(p) > 2))
+  WHERE j - i + 1 < len(p)
+),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = b.lang AND i.p = b.p AND 100 * i.a >= 100 * b.a)
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank FROM kept)
+WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_vector_dedup": VECTOR_LINKS,
     "op4_ngram_join": SHINGLE_GROUPS,
     "op11_hard_negatives": HARD_NEGATIVES,
     "op12_exact_dedup": EXACT_GROUPS,
+    "op13_collocations": COLLOCATIONS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelab.llm import bin_packing, divergence_rules, exact_dedup, hard_negatives, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, suffix_dedup, toxicity, vector_dedup
+from pricelab.llm import bin_packing, collocations, divergence_rules, exact_dedup, hard_negatives, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, suffix_dedup, toxicity, vector_dedup
 from pricelab.llm.common import table
 from pricelab.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -69,6 +69,11 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to five words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quote_threads": op10_quote_threads,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
