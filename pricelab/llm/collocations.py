@@ -2,8 +2,8 @@
 
 ``count_stream`` holds the exact counts of all phrases of one to five words that reach the least count.  It is made
 order by order: a task counts the phrases of a chunk and Spark adds the parts up.  A phrase can only be frequent
-if its parts are, so the scan for pairs leaves out words, and the scan for longer phrases leaves out pairs, that a
-filter of fixed size does not know; the filter may let others pass and never holds a frequent one back, so counts
+if its parts are, so the scan for pairs leaves out words, and the scans for longer phrases leave out pairs and triples,
+that a filter of fixed size does not know; the filter may let others pass and never holds a frequent one back, so counts
 are exact, with any amount of data.
 
 The stream is then laid out twice, in prefix order (words from the left) and in suffix order (words from the right).
@@ -24,7 +24,8 @@ text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,8 @@ def name_hashes(names: pa.Array) -> np.ndarray:
     return mix(np.add.reduceat(_VALUES[raw] * powers(int(size.max()) + 1)[place], begin))
 
 
-def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def joined_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a phrase and the word after it."""
     return mix(left * np.uint64(0xD1342543DE82EF95) + right)
 
 
@@ -106,10 +108,14 @@ def _counted(docs: DataFrame, count) -> DataFrame:
             for lang in sorted(set(langs)):
                 for _, _, data, off in text_chunks(batch.column("text").take(pa.array(np.flatnonzero(langs == lang))), CHUNK):
                     for phrases, n in count(Words(data, off)):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                        key = pc.binary_join_element_wise(pa.scalar(lang), phrases, "\t")
+                        yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64())], names=["key", "n"])
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text is not null")
-    return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # language and phrase travel as one string: a phrase holds no tab, so the last one parts them
+    sums = texts.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\t", -1)
+    return sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "n")
 
 
 def _all_words(words: Words) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -125,13 +131,15 @@ def _known(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def filter_of(phrases: DataFrame, k: int) -> np.ndarray:
-    """Bits (FILTER_BITS of them) that are set for the hash of each phrase of ``k`` words (1 or 2)."""
+    """Bits (FILTER_BITS of them) that are set for the hash of each phrase of ``k`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = pc.split_pattern(batch.column("phrase").cast(pa.large_string()), " ").flatten().cast(pa.large_binary())
-            hashes = name_hashes(words).reshape(-1, k)
-            hashes = pair_hashes(hashes[:, 0], hashes[:, 1]) if k == 2 else hashes[:, 0]
+            each = name_hashes(words).reshape(-1, k)
+            hashes = each[:, 0]
+            for i in range(1, k):
+                hashes = joined_hashes(hashes, each[:, i])
             yield pa.RecordBatch.from_arrays([pa.array((hashes % np.uint64(FILTER_BITS)).astype(np.int64) + 1)], names=["at"])
 
     bits = phrases.select("phrase").mapInArrow(run, "at long").groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
@@ -156,27 +164,38 @@ def count_stream(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple
             _, one, n = np.unique(words.number[at] * len(words.names) + words.number[at + 1], return_index=True, return_counts=True)
             yield words.phrases(at[one], 2), n
 
-    pair_counts = scratch.stored(_counted(docs, pairs).where(F.col("n") >= least), "pairs")
-    of_pairs = spark.sparkContext.broadcast(filter_of(pair_counts, 2))
-
-    def longer(words: Words) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        hashes, number = words.hashes()[words.number], words.number
-        known = words.goes_on[:-1].copy()
-        known[known] = _known(of_pairs.value, pair_hashes(hashes[:-1][known], hashes[1:][known]))
-        at = np.flatnonzero(known)
-        name = np.unique(number[at] * len(words.names) + number[at + 1], return_inverse=True)[1]  # of the pair at each place
-        for k in range(3, LONGEST + 1):
-            inside = at + k - 2 < len(known)
-            at, name = at[inside], name[inside]
-            on = known[at + k - 2]
-            at, name = at[on], name[on]
-            if not len(at):
-                return
-            _, one, name, n = np.unique(name * len(words.names) + number[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-            yield words.phrases(at[one], k), n
-
-    more = scratch.stored(_counted(docs, longer).where(F.col("n") >= least), "longer")
-    return frequent.union(pair_counts).union(more), words.where("phrase = ''").select("lang", F.col("n").alias("total"))
+    def chained(filter_: np.ndarray, k: int, longest: int) -> Callable[[Words], Iterator[tuple[pa.Array, np.ndarray]]]:
+        """Counts the phrases of ``k`` + 1 to ``longest`` words all of whose parts of ``k`` words the filter knows."""
+
+        def count(words: Words) -> Iterator[tuple[pa.Array, np.ndarray]]:
+            number, each = words.number, words.hashes()[words.number]
+            at, hashes, name = np.arange(len(number)), each, number
+            for size in range(2, k + 1):  # places where k words are in one piece, and those that the filter knows
+                inside = at[at + size - 1 < len(number)]
+                inside = inside[words.goes_on[inside + size - 2]]
+                hashes = joined_hashes(hashes[np.searchsorted(at, inside)], each[inside + size - 1])
+                at = inside
+            at = at[_known(filter_, hashes)]
+            known = np.zeros(len(number), dtype=bool)
+            known[at] = True
+            name = number[at]
+            for size in range(2, longest + 1):
+                if size > k:
+                    on = known[np.minimum(at + size - k, len(number) - 1)] & (at + size - k < len(number))
+                    at, name = at[on], name[on]
+                if not len(at):
+                    return
+                _, one, name, n = np.unique(name * len(words.names) + number[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
+                if size > k:
+                    yield words.phrases(at[one], size), n
+
+        return count
+
+    streams = [frequent, scratch.stored(_counted(docs, pairs).where(F.col("n") >= least), "pairs")]
+    for k, longest in ((2, 3), (3, LONGEST)):
+        of_shorter = spark.sparkContext.broadcast(filter_of(streams[-1], k))
+        streams.append(scratch.stored(_counted(docs, lambda words, f=of_shorter, k=k, longest=longest: chained(f.value, k, longest)(words)).where(F.col("n") >= least), "longer"))
+    return reduce(DataFrame.union, streams), words.where("phrase = ''").select("lang", F.col("n").alias("total"))
 
 
 def scored(stream: DataFrame, totals: DataFrame, scratch: Scratch, absorbed: int = 100) -> DataFrame:
