@@ -78,6 +78,26 @@ def hash_share(key: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(min(1.0, share) * (1 << 20)) + 1)
 
 
+def _bit_place(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+
+
+def bit_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """(bucket, bitmap): one bit for the hash of each key; at most ``bits`` / 32768 rows of 4 KiB."""
+    at = _bit_place(F.col(key), bits)
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+
+
+def marked(rows: DataFrame, key: Column, filter_: DataFrame, bits: int, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether the filter may hold the key."""
+    at = _bit_place(key, bits)
+    joined = rows.withColumn("_at", at).join(F.broadcast(filter_.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bits"))), F.bitmap_bucket_number("_at") == F.col("_bucket"), "left")
+    place = F.bitmap_bit_position("_at").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "_bucket", "_bits")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on a uint64 array."""
     x = x ^ (x >> np.uint64(30))

@@ -26,13 +26,11 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import Scratch, stored
+from pricelab.llm.common import Scratch, bit_filter, marked, stored
 
 PREFIX = 64
 #: Bits of the filters that name the surviving lengths and prefixes (128 KiB and 8 MiB at most).
 LENGTH_BITS, PREFIX_BITS = 1 << 20, 1 << 26
-#: Bits that Spark's bitmap functions hold in one value.
-_BUCKET = 4096 * 8
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Characters beyond ASCII that lower() might change.
@@ -44,26 +42,6 @@ def lowered(text: Column) -> Column:
     return F.when(text.rlike(_CASED), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))
 
 
-def _place(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
-
-
-def bit_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """(bucket, bitmap): one bit for the hash of each key; at most ``bits`` / 32768 rows of 4 KiB."""
-    at = _place(F.col(key), bits)
-    return keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
-
-
-def marked(rows: DataFrame, key: Column, filter_: DataFrame, bits: int, name: str) -> DataFrame:
-    """``rows`` with a boolean ``name``: whether the filter may hold the key."""
-    at = _place(key, bits)
-    joined = rows.withColumn("_at", at).join(F.broadcast(filter_.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bits"))), F.bitmap_bucket_number("_at") == F.col("_bucket"), "left")
-    place = F.bitmap_bit_position("_at").cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
-    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "_bucket", "_bits")
-
-
 def exact_groups(docs: DataFrame, digests: bool = False, prefix: int = PREFIX, length_bits: int = LENGTH_BITS, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, full_hash of every row of ``docs`` (doc_id, text).
 

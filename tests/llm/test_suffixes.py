@@ -87,3 +87,48 @@ def test_odd_rows(spark, odd_documents):
     check(docs, 20, gram=8)
     kept = suffix_dedup.without_repeats(odd_documents, 20, gram=8)
     assert kept.columns == odd_documents.columns and kept.count() == odd_documents.count()
+
+
+def passage(rng, size=700):
+    return "".join(rng.choice(list("abcdefgh "), size))
+
+
+def with_own_text(rng, *parts):
+    return passage(rng, 300).join(["", *parts, ""])
+
+
+def shared_rows(rng):
+    """Shared ids, null ids and repeated rows, with a passage in some of them."""
+    x, y = passage(rng), passage(rng, 450)
+    rows = [(1, with_own_text(rng, x)), (1, passage(rng, 1400)), (2, with_own_text(rng, x, y)), (None, with_own_text(rng, y)), (None, passage(rng, 900)), (None, with_own_text(rng, x))]
+    again = (3, passage(rng, 600))
+    return [*rows, again, again, (4, None), (None, None), (None, None), (5, ""), (1, "short"), (6, with_own_text(rng, y) + "é" * 200)]
+
+
+def test_rows_without_an_id_of_their_own(spark, rng):
+    for hot in (suffix_dedup.HOT_RUNS, 2):
+        assert check(spark.createDataFrame(shared_rows(rng), "doc_id long, text string"), hot_runs=hot) > 0
+    assert check(spark.createDataFrame([(None, t) for _, t in shared_rows(rng)], "doc_id long, text string")) > 0
+
+
+def test_weak_names_keep_rows_apart(spark, rng, monkeypatch):
+    """A filter whose bits are mostly shared only gives longer names."""
+    monkeypatch.setattr(suffix_dedup, "SHARED_BITS", 2)
+    assert check(spark.createDataFrame(shared_rows(rng), "doc_id long, text string")) > 0
+
+
+def test_texts_keep_their_columns(spark, rng):
+    rows = shared_rows(rng)
+    docs = spark.createDataFrame([(t, i, 1, "s", 2.5, 3) for i, t in rows], "text string, doc_id long, row int, spans string, given double, _at int")
+    got = suffix_dedup.without_repeats(docs)
+    assert got.columns == docs.columns
+    want = sorted((str(k), n - removed, digest) for k, n, removed, _, digest in brute(rows, suffix_dedup.WINDOW))
+    own = [((r.text or "").encode(), r) for r in got.collect()]
+    assert sorted((str(r.doc_id), len(b), hashlib.sha256(b).hexdigest()) for b, r in own) == want
+    assert all((r.row, r.spans, r.given, r._at) == (1, "s", 2.5, 3) for _, r in own) and sum(r.text is None for _, r in own) == 3
+
+
+def test_shards_close_between_anchors(spark, rng):
+    """Shards of a few bytes, and one for all, give the same windows."""
+    docs = spark.createDataFrame([(i, with_own_text(rng, *(passage(np.random.default_rng(int(k)), 420) for k in rng.choice(6, 2)))) for i in range(40)], "doc_id long, text string")
+    assert check(docs, shard_bytes=1) == check(docs, shard_bytes=1 << 30) > 0
