@@ -6,8 +6,11 @@ start (its representative is the smallest doc_id), so copies cost one row each.
 * light sets (up to a boundary) enumerate fixed-size subsets.  Two sets of sizes n and m link exactly if
   they share a subset of ceil(0.8 (n + m) / 1.8) shingles, so equal keys are links and nothing is verified;
 * heavy sets scan inverted lists.  Only the rarest 20 % of a set (and one more) need lists, in an order that
-  puts shingles frequent in a sample last; pairs whose prefixes have too few shingles in common for 0.8 are
-  pruned.  The exact Jaccard value of the remaining pairs is computed from the whole texts.
+  puts shingles frequent in a sample last.  A shingle at a certain place of the order serves only partners up to a
+  certain size (``largest_partner``): linked sets of n and m shingles share one of the first n - overlap + 1 of the
+  one and the first m - overlap + 1 of the other.  Entries that no member of a list can use are left out of it, and
+  two entries meet only if each serves the other's size.  Pairs whose prefixes have too few shingles in common for
+  0.8 are pruned.  The exact Jaccard value of the remaining pairs is computed from the whole texts.
 
 The boundary is the largest size whose subset rows cost no more than its list rows and checks by the measured
 list lengths.  Sets a little below it also enter the lists, as partners of heavy ones.
@@ -17,8 +20,10 @@ most of its lists have; after the groups of these links are known, only pairs of
 still in different groups are checked.  Any link lies inside a group or is checked, so groups are exact.
 
 Defined results: null, empty and wordless texts have no shingles and group alone; fewer words than a shingle
-form one shingle of all words; repeated rows share a class; the sample only steers the order of shingles,
-results never depend on it.  Columns other than doc_id and text are not read.
+form one shingle of all words; repeated rows share a class; a row with a null doc_id has a null component and
+connects no others; different texts under one doc_id are joined into one group with all that links to either; an empty
+table gives an empty result; the sample only steers the order of shingles, results never depend on it.  Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -207,17 +212,24 @@ def _shared_prefix(n: Column, m: Column) -> Column:
     return need - F.ceil(NUMERATOR * F.greatest(n, m) / F.lit(float(DENOMINATOR))) + 1
 
 
+def largest_partner(n: Column, at: Column) -> Column:
+    """Largest set that a set of size n can link with if the token at this place (from 0) is the first they share.
+
+    At most n - at tokens are left to share, which must reach ceil(4 (n + m) / 9)."""
+    return F.floor((DENOMINATOR + NUMERATOR) * (n - at) / F.lit(float(NUMERATOR))) - n
+
+
 def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect all sets above the boundary, and those near it, as their full links would."""
-    postings = (reps.where(F.col("n_shingles") * DENOMINATOR > boundary * NUMERATOR)
-                .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("tokens").alias("at", "token"))
-                .where(F.col("at") < F.col("n") - F.ceil(F.col("n") * NUMERATOR / F.lit(float(DENOMINATOR))) + 1).drop("at"))
-    lists = postings.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("most > pivot").select("token", "pivot")
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUMERATOR / F.lit(float(DENOMINATOR))) + 1
+    prefixes = reps.where(F.col("n_shingles") * DENOMINATOR > boundary * NUMERATOR).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.slice("tokens", F.lit(1), prefix.cast("int")).alias("tokens"))
+    postings = prefixes.select("id", "n", F.posexplode("tokens").alias("at", "token")).select("id", "n", "token", largest_partner(F.col("n"), F.col("at")).cast("long").alias("most"))
+    lists = postings.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.min("n").alias("least")).where("last > pivot").select("token", "pivot", "least")
     # stored sides make plain joins, whose hot tokens Spark can split
     shared = scratch.stored(postings.join(scratch.stored(lists, "lists"), "token"), "shared-postings")
     # texts of the members of lists, cut out once for both checks
     texts = scratch.stored(docs.select(F.col("doc_id").cast("long"), "text").join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    # each set is first checked against the smallest member that most of its lists name, if these are about as many as a link needs
+    # each set is first checked against the smallest member that most of its lists name
     named = shared.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     best = named.groupBy(F.col("id").alias("a"), "n").agg(F.max_by("pivot", "c").alias("b"), F.max("c").alias("c"))
     sizes = shared.select(F.col("id").alias("b"), F.col("n").alias("m")).distinct()
@@ -225,16 +237,17 @@ def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int, scratch: Scrat
     tried = scratch.stored(best.select("a", "b").distinct(), "tried")
     links = scratch.stored(checked(tried, texts), "links")
     groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    known = scratch.stored(shared.drop("pivot").join(groups, "id", "left").select("token", "id", "n", F.coalesce("g", "id").alias("g")), "grouped-postings")
+    known = scratch.stored(shared.where("most >= least").select("token", "id", "n", "most").join(groups, "id", "left").select("token", "id", "n", "most", F.coalesce("g", "id").alias("g")), "grouped-postings")
     split = known.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
     open_lists = scratch.stored(known.join(scratch.stored(split, "open-tokens"), "token"), "open-lists")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    # a link has its sizes in proportion and enough common tokens in the prefixes; a passage in common is not enough
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
-    pairs = pairs.groupBy(F.col("x.id").alias("i"), F.col("y.id").alias("j")).agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
-    pairs = pairs.where(F.col("c") >= _shared_prefix(F.col("n"), F.col("m")))
-    pairs = pairs.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).join(tried, ["a", "b"], "left_anti")
-    return links.union(checked(scratch.stored(pairs, "open-pairs"), texts))
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    pairs = scratch.stored(x.join(y, meet).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "open-pairs")
+    # a link has enough common tokens in the prefixes; a passage in common is not enough
+    left, right = (prefixes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(left, "a").join(right, "b").where(common >= _shared_prefix(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return links.union(checked(scratch.stored(pairs, "likely-pairs"), texts))
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
@@ -244,7 +257,8 @@ def groups_of(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     shaped = scratch.stored(shapes(docs, frequent, counts, boundary), "shapes")
     own = shaped.select("doc_id", "n_shingles", "sign1", "sign2")
-    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("sign1", "sign2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # stored, so that the members look their class up in a plain join, whose hot classes Spark can split
+    classes = scratch.stored(own.where("n_shingles > 0 and doc_id is not null").groupBy("sign1", "sign2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = stored(own.join(classes, ["sign1", "sign2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     first = members.where("doc_id = rep and n_shingles > 0").select("doc_id", "n_shingles").distinct()
     reps = scratch.stored(shaped.join(first, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "n_shingles", "tokens"), "representatives")
