@@ -4,20 +4,22 @@ A word is a run of ASCII letters, digits and non-ASCII bytes of the lower-cased
 of the vectors of its character n-grams (3 to 5 bytes, the word being framed by blanks), held in hashed
 buckets, so that an unseen misspelling shares most n-grams with the word it stands for.  A window of
 ``WINDOW`` words is the mean of its word vectors and goes through a two-class softmax; embeddings and softmax
-are trained together in numpy by full-batch Adam.  A document is as toxic as its most toxic window: toxic
-documents are mostly harmless words, so the first round learns from all windows and each later one from the
-windows that the model so far finds suspicious, of toxic and of clean documents (each document's highest one
-always), with a share of the harmless ones.  The result of the
-highest window is turned into a probability by a logistic curve fitted on sampled documents that took no part
-in the training of the embeddings, each class weighing as much as it does among all labelled rows, so that a
-score means the same whatever share of a class was sampled.
+are trained together in numpy by Adam.  A document is as toxic as its most toxic window: toxic documents are mostly
+harmless words, so after a start on all windows the loss of a document is that of its highest window at that step.
+
+The sample is dealt to ``FOLDS`` parts.  One model is trained without each part and scores the documents of that part;
+a logistic curve from margin to probability is fitted on these scores of all sampled documents, none of which its
+model has seen, each class weighing as much as it does among all labelled rows, so that a score means the same whatever
+share of a class was sampled.  The final margins are the mean of the models'.
 
 After training, the two-class margin of an n-gram is one number, so a text is scored by table look-ups over
-its bytes: whole texts, in memory bounded by a chunk.
+its bytes: whole texts, in memory bounded by a chunk.  Only the lower-cased text crosses to Python and only the
+score comes back.
 
 Defined results: null and empty texts, and texts without a word, get the score of a window with margin 0 and
 no words (the curve at the bias), always below 0.7 on a model with both classes; without labelled rows of
-both classes every score is the share of toxic labels learned (0 without any).
+both classes every score is the share of toxic labels learned (0 without any).  A label given twice counts as toxic if
+one of the two does; labels without an id or value are not learned; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -26,22 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import hash_share, id_bucket, text_chunks, word_hashes
+from pricelab.llm.common import hash_share, id_bucket, text_chunks
 
-#: Bound of the fit: expected numbers of sampled documents of each class.
+#: Bounds of the fit: expected number of sampled documents of each class, their expected bytes, and the longest one that is sampled.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1200
+SAMPLE_BYTES, SAMPLE_LONGEST = 4 << 20, 1 << 17
+FOLDS = 5
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
 WINDOW = 3
 DIMENSIONS = 4
 #: An n-gram of fewer sampled documents has no vector of its own (the margin of its bucket is 0).
-MIN_DOCS = 6
-DECAY = 3e-5
-#: Share of the harmless windows of clean documents that stay in the later rounds.
-EASY_SHARE = 0.03
+MIN_DOCS = 12
+DECAY = 1e-6
+#: Steps on all windows, and steps on the highest window of each document.
+START_STEPS, STEPS = 30, 80
+RATE = 0.05
 THRESHOLD = 0.7
 
 _WORD = np.zeros(256, dtype=bool)
@@ -122,98 +127,107 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.highest(data, off) + self.offset, -30, 30)))
 
 
-def summed(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Sums of the rows of each group, one line for each column of ``rows``."""
-    return np.stack([np.bincount(group, weights=rows[:, k], minlength=groups) for k in range(rows.shape[1])])
+class Sample:
+    """The windows of some texts: words as numbers, and the n-grams of each distinct word."""
+
+    def __init__(self, texts: list[bytes]):
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        text, begin = framed(np.frombuffer(b"".join(texts), dtype=np.uint8), off)
+        letter = text != 32
+        starts = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+        ends = np.flatnonzero(letter & ~np.concatenate([letter[1:], [False]])) + 1
+        first = np.searchsorted(starts, begin)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text[letter])]).dictionary_encode()
+        self.docs, self.word_at, names = len(texts), words.indices.to_numpy(), words.dictionary.to_pylist()
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
+        # windows that do not overlap; the last of a text may be shorter
+        cut = np.ones(len(starts), dtype=bool)
+        cut[1:] = (np.diff(doc) != 0) | ((np.arange(1, len(starts)) - first[doc[1:]]) % WINDOW == 0)
+        self.window_at = np.cumsum(cut, dtype=np.int32) - 1
+        self.doc_of = doc[cut]  # of each window
+        spread = np.bincount(np.unique(self.word_at.astype(np.int64) * len(texts) + doc) // max(1, len(texts)), minlength=len(names))
+        listed = np.frombuffer(b" " + b" ".join(names) + b" ", dtype=np.uint8)
+        word_of, _, _ = words_in(listed, np.zeros(1, np.int64))
+        grams, owners = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for at, bucket in gram_buckets(listed):
+            grams.append(bucket)
+            owners.append(word_of[at + 1].astype(np.int32))
+        gram, owner = np.concatenate(grams), np.concatenate(owners)
+        self.size = np.maximum(np.bincount(owner, minlength=len(names)), 1).astype(np.float64)
+        # n-grams of few documents can only be learned by heart
+        seen = np.bincount(gram, weights=spread[owner], minlength=1 << BUCKET_BITS)
+        known = seen[gram] >= min(MIN_DOCS, max(1, len(texts) // 20))
+        self.buckets, self.gram = np.unique(gram[known], return_inverse=True)
+        self.owner = owner[known]
+
+    def windows(self, margins: np.ndarray) -> np.ndarray:
+        """Margin (less the bias) of each window from the margins of the known n-grams."""
+        words = np.bincount(self.owner, weights=margins[self.gram], minlength=len(self.size)) / self.size
+        return np.bincount(self.window_at, weights=words[self.word_at], minlength=len(self.doc_of)) / WINDOW
+
+    def back(self, slopes: np.ndarray) -> np.ndarray:
+        """Derivative by the margin of each n-gram from the derivatives by the windows."""
+        words = np.bincount(self.word_at, weights=slopes[self.window_at], minlength=len(self.size)) / self.size / WINDOW
+        return np.bincount(self.gram, weights=words[self.owner], minlength=len(self.buckets))
+
+
+def _fitted(sample: Sample, labels: np.ndarray, used: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """Margins of the buckets and bias, from the documents marked in ``used``."""
+    doc, y = sample.doc_of, labels.astype(np.float64)
+    rng = np.random.default_rng(seed)
+    params = [rng.normal(0, 0.1, (len(sample.buckets), DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, 2)), np.zeros(2)]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def balanced(each: np.ndarray) -> np.ndarray:
+        return np.where(y[doc[each]] > 0, 0.5 / max(1.0, y[doc[each]].sum()), 0.5 / max(1.0, (1 - y[doc[each]]).sum()))
+
+    begins = np.searchsorted(doc, np.unique(doc))
+    counts = np.diff(np.append(begins, len(doc)))
+    trained = np.flatnonzero(used[doc])
+    for step in range(1, START_STEPS + STEPS + 1):
+        e, w, b = params
+        margin = sample.windows(e @ (w[:, 1] - w[:, 0])) + b[1] - b[0]
+        if step > START_STEPS:
+            highest = np.repeat(np.maximum.reduceat(margin, begins), counts) if len(begins) else margin
+            trained = np.flatnonzero(used[doc] & (margin >= highest))
+        slopes = np.zeros(len(doc))
+        slopes[trained] = (1 / (1 + np.exp(-np.clip(margin[trained], -30, 30))) - y[doc[trained]]) * balanced(trained)
+        g, total = sample.back(slopes), slopes.sum()
+        direction = e.T @ g
+        grads = [np.outer(g, w[:, 1] - w[:, 0]) + DECAY * e, np.stack([-direction, direction], axis=1), np.array([-total, total])]
+        for i, (x, d) in enumerate(zip(params, grads, strict=True)):
+            m[i] = 0.9 * m[i] + 0.1 * d
+            v[i] = 0.99 * v[i] + 0.01 * d * d
+            x -= RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
+    e, w, b = params
+    margins = np.zeros(1 << BUCKET_BITS, np.float32)
+    margins[sample.buckets] = e @ (w[:, 1] - w[:, 0])
+    return margins, float(b[1] - b[0])
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 12, steps: int = 20, seed: int = 7, weights: tuple[float, float] = (1.0, 1.0)) -> SubwordModel:
-    """Fit embeddings and softmax on lower-cased texts with labels 0 and 1 (both must occur).
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, weights: tuple[float, float] = (1.0, 1.0)) -> SubwordModel:
+    """Fit embeddings, softmax and curve on lower-cased texts with labels 0 and 1 (both must occur).
 
     ``weights``: labelled rows that a text of class 0 and of class 1 stands for, used by the curve."""
     labels = np.asarray(labels, dtype=np.int64)
     order = np.random.default_rng(seed).permutation(len(texts))
-    kept_back = np.zeros(len(texts), dtype=bool)
-    for label in (0, 1):  # a third of each class fits the curve only
+    fold = np.zeros(len(texts), dtype=np.int64)
+    for label in (0, 1):
         own = order[labels[order] == label]
-        kept_back[own[: len(own) // 3]] = True
-    fitted = np.flatnonzero(~kept_back)
-
-    def joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in rows])]).astype(np.int64)
-        return np.frombuffer(b"".join(texts[i] for i in rows), dtype=np.uint8), off
-
-    data, off = joined(fitted)
-    text, begin = framed(data, off)
-    word_of, starts, first = words_in(text, begin)
-    # one row for each distinct word, its n-grams and the number of documents it occurs in
-    _, sample, distinct = np.unique(word_hashes(text, starts), return_index=True, return_inverse=True)
-    doc = np.repeat(np.arange(len(fitted), dtype=np.int64), np.diff(first))
-    spread = np.bincount(np.unique(distinct * len(fitted) + doc) // max(1, len(fitted)), minlength=len(sample))
-    ends = np.append(np.flatnonzero((text[:-1] != 32) & (text[1:] == 32)) + 1, len(text))
-    chosen = [text[starts[k] : ends[k]].tobytes() for k in sample]
-    grams, owner = [], []
-    listed = np.frombuffer(b" " + b" ".join(chosen) + b" ", dtype=np.uint8)
-    place_of, _, _ = words_in(listed, np.zeros(1, np.int64))
-    for at, bucket in gram_buckets(listed):
-        grams.append(bucket)
-        owner.append(place_of[at + 1].astype(np.int32))
-    grams, owner = np.concatenate(grams), np.concatenate(owner)
-    size = np.maximum(np.bincount(owner, minlength=len(sample)), 1).astype(np.float64)
-    # n-grams of few documents can only be learned by heart
-    seen = np.bincount(grams, weights=spread[owner], minlength=1 << BUCKET_BITS)
-    known = seen[grams] >= min(MIN_DOCS, max(1, len(fitted) // 20))
-    gram, row = np.unique(grams[known], return_inverse=True)
-    word = owner[known].astype(np.int64)
-    # windows that do not overlap; the last of a text may be shorter
-    window = np.concatenate([[0], np.cumsum((np.diff(doc) != 0) | ((np.arange(1, len(starts)) - first[doc[1:]]) % WINDOW == 0))]) if len(starts) else np.zeros(0, int)
-    window_at = np.flatnonzero(np.concatenate([[True], np.diff(window) != 0]))
-    window_doc = doc[window_at]
-    doc_label = labels[fitted][window_doc]
-
-    rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (len(gram), DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, 2)), np.zeros(2)]
-    m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    used, target = np.arange(len(window_at)), doc_label.astype(np.float64)
-    for cycle in range(rounds + 1):
-        # the windows of this round, their words and the n-grams of those
-        renumber = np.full(len(window_at), -1)
-        renumber[used] = np.arange(len(used))
-        inside = np.flatnonzero(renumber[window] >= 0)
-        own_window = renumber[window[inside]]
-        some, own_word = np.unique(distinct[inside], return_inverse=True)
-        place = np.full(len(sample), -1)
-        place[some] = np.arange(len(some))
-        listed = np.flatnonzero(place[word] >= 0)
-        own_gram, of_word, own_size = row[listed], place[word[listed]], size[some]
-        share = np.where(target > 0, 0.5 / max(1.0, target.sum()), 0.5 / max(1.0, (1 - target).sum()))
-        for _ in range(steps):
-            e, w, b = params
-            words = summed(e[own_gram], of_word, len(some)) / own_size
-            h = summed(words.T[own_word], own_window, len(used)) / WINDOW
-            p = 1 / (1 + np.exp(-np.clip((w[:, 1] - w[:, 0]) @ h + b[1] - b[0], -30, 30)))
-            g = np.stack([target - p, p - target]) * share
-            dwords = summed(((w @ g) / WINDOW).T[own_window], own_word, len(some)) / own_size
-            grads = [summed(dwords.T[of_word], own_gram, len(gram)).T + DECAY * e, h @ g.T, g.sum(axis=1)]
-            step += 1
-            for i, (x, d) in enumerate(zip(params, grads, strict=True)):
-                m[i] = 0.9 * m[i] + 0.1 * d
-                v[i] = 0.99 * v[i] + 0.01 * d * d
-                x -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
-        e, w, b = params
-        each = np.bincount(word, weights=(e @ (w[:, 1] - w[:, 0]))[row], minlength=len(sample)) / size
-        margin = np.bincount(window, weights=each[distinct], minlength=len(window_at)) / WINDOW + b[1] - b[0]
-        top = np.full(len(fitted), -np.inf)
-        np.maximum.at(top, window_doc, margin)
-        suspicious = (margin >= top[window_doc]) | (margin > 0)
-        used = np.flatnonzero(suspicious | (rng.random(len(margin)) < EASY_SHARE) & (doc_label == 0))
-        target = doc_label[used].astype(np.float64)
-    margins = np.zeros(1 << BUCKET_BITS, np.float32)
-    margins[gram] = e @ (w[:, 1] - w[:, 0])
-    model = SubwordModel(margins, float(b[1] - b[0]), 1.0, 0.0)
-    rows = np.flatnonzero(kept_back) if kept_back.any() and len(set(labels[kept_back])) == 2 else np.arange(len(texts))
-    model.slope, model.offset = _curve(model.highest(*joined(rows)), labels[rows], np.asarray(weights, dtype=np.float64)[labels[rows]])
-    return model
+        fold[own] = np.arange(len(own)) % FOLDS
+    sample, margins, bias = Sample(texts), np.zeros(1 << BUCKET_BITS), 0.0
+    unseen = np.zeros(len(texts))
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), fold != k
+        if len(set(labels[rest])) < 2:  # a class of one document
+            rest = np.ones(len(texts), dtype=bool)
+        part, part_bias = _fitted(sample, labels, rest, seed + k)
+        margins += part / FOLDS
+        bias += part_bias / FOLDS
+        off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]).astype(np.int64)
+        unseen[own] = SubwordModel(part, part_bias, 1.0, 0.0).highest(np.frombuffer(b"".join(texts[i] for i in own), dtype=np.uint8), off)
+    return SubwordModel(margins, bias, *_curve(unseen, labels, np.asarray(weights, dtype=np.float64)[labels]))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -229,40 +243,53 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2
     return slope, float(beta[1]) - slope * float(x.mean())
 
 
+def _bytes() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+
+
 def fit(docs: DataFrame, label: str = "label") -> SubwordModel:
-    """Model from (doc_id, text, label 0 or 1); reads a hash sample of about SAMPLE_TOXIC and SAMPLE_CLEAN documents."""
-    docs = docs.where(F.col(label).isin(0, 1))
-    n = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        share = 0.0 if not n else float(next(iter(n)))
+    """Model from (doc_id, text, label 0 or 1, perhaps the size of the text as bytes); reads a hash sample of about SAMPLE_TOXIC and SAMPLE_CLEAN documents and SAMPLE_BYTES bytes of each."""
+    if "bytes" not in docs.columns:
+        docs = docs.withColumn("bytes", _bytes())
+    docs = docs.where(F.col(label).isin(0, 1) & (F.col("bytes") <= SAMPLE_LONGEST))
+    found = {r[label]: r for r in docs.groupBy(label).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    if len(found) < 2:
+        share = 0.0 if not found else float(next(iter(found)))
         return SubwordModel(np.zeros(1 << BUCKET_BITS), 0.0, 0.0, 30.0 * (2 * share - 1))
-    chosen = ((F.col(label) == 1) & hash_share(F.col("doc_id"), SAMPLE_TOXIC / n[1])) | ((F.col(label) == 0) & hash_share(F.col("doc_id"), SAMPLE_CLEAN / n[0]))
-    rows = docs.where(chosen).select(F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.col(label).alias("label"), "doc_id").toPandas().sort_values("doc_id")
+    shares = {k: min(most / found[k]["n"], SAMPLE_BYTES / max(1, found[k]["bytes"])) for k, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC))}
+    chosen = ((F.col(label) == 1) & hash_share(F.col("doc_id"), shares[1])) | ((F.col(label) == 0) & hash_share(F.col("doc_id"), shares[0]))
+    rows = docs.where(chosen).select(F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.col(label).alias("label"), "doc_id").toPandas().sort_values(["doc_id", "text"])
     if rows["label"].nunique() < 2:
         return SubwordModel(np.zeros(1 << BUCKET_BITS), 0.0, 0.0, -30.0)
     sampled = rows["label"].value_counts()
-    return train([t.encode() for t in rows["text"]], rows["label"].to_numpy(), weights=(n[0] / int(sampled[0]), n[1] / int(sampled[1])))
+    return train([t.encode() for t in rows["text"]], rows["label"].to_numpy(), weights=tuple(found[k]["n"] / int(sampled[k]) for k in (0, 1)))
 
 
-def score(docs: DataFrame, model: SubwordModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 from THRESHOLD on)."""
-    docs = docs.drop("score", "predicted")
-    kept, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
+def score_of(docs: DataFrame, model: SubwordModel, text: str = "text") -> Column:
+    """Score of each text of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scores(lowered: pa.Array) -> pa.Array:
+        p = np.zeros(len(lowered))
+        for i, j, data, off in text_chunks(lowered):
+            p[i:j] = shared.value.scores(data, off)
+        return pa.array(p)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.zeros(len(batch))
-            for i, j, data, off in text_chunks(batch.column("_lowered")):
-                p[i:j] = shared.value.scores(data, off)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*kept, "score", "predicted"])
+    return scores(F.lower(F.col(text)))
 
-    return docs.withColumn("_lowered", F.lower(F.col(text))).mapInArrow(run, docs.schema.add("score", "double").add("predicted", "integer"))
+
+def score(docs: DataFrame, model: SubwordModel, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` and ``predicted`` (1 from THRESHOLD on), which replace columns of these names."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    return docs.select(*kept, score_of(docs, model, text).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def fit_held_out(documents: DataFrame, labels: DataFrame) -> SubwordModel:
     """Model learned from the labels of rows whose crc32 mod 3 is not 1."""
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("label")).where(id_bucket(F.col("doc_id"), 3) != 1)
-    return fit(documents.select("doc_id", "text").join(known, "doc_id"))
+    # sizes are taken before the join, so that counting them moves no text
+    return fit(documents.select("doc_id", "text", _bytes().alias("bytes")).join(known, "doc_id"))
 
 
 def score_held_out(documents: DataFrame, labels: DataFrame) -> DataFrame:

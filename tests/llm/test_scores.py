@@ -47,7 +47,7 @@ def test_language_code_length_is_the_ppm_code(spark):
         if symbol in seen:
             return np.log2((total + distinct) / seen[symbol])
         escape = np.log2((total + distinct) / distinct) if total else 0.0
-        return escape + (bits(table_, context[1:], symbol) if context else np.log2(language_id.SYMBOLS))
+        return escape + (bits(table_, context[1:], symbol) if context else 8.0)  # 256 bytes
 
     tables = [counts(text), counts("dada")]
     probe = "cad abba"
@@ -185,3 +185,37 @@ def test_quality_odd_rows(spark, odd_documents, no_documents):
     got = quality_gam.score_held_out(odd_documents, labels).collect()
     assert len(got) == odd_documents.count() and all(0 <= r.score <= 1 for r in got)
     assert quality_gam.score_held_out(no_documents, labels).count() == 0
+
+
+def test_language_tables_and_masks_agree(rng, monkeypatch):
+    """Strings numbered by a table or by bit masks, with every byte value among the symbols."""
+    import pandas as pd
+
+    texts = [bytes(rng.integers(0, 256, 4000, dtype=np.uint8)), b"plain words " * 300, bytes(range(256)) * 8]
+    rows = []
+    for lang, t in zip("xyz", texts, strict=True):
+        codes, at = language_id._padded(np.frombuffer(t, np.uint8).astype(np.int64) + 1, np.array([0, len(t)]))
+        key = codes[at - 3] << 27 | codes[at - 2] << 18 | codes[at - 1] << 9 | codes[at]
+        rows += [(lang, int(g), int(n)) for g, n in zip(*np.unique(key, return_counts=True), strict=True)]
+    grams = pd.DataFrame(rows, columns=["lang", "gram", "n"])
+    probe = np.frombuffer(b"plain word" + bytes(range(255, -1, -1)) + texts[0][:500], np.uint8)
+    off = np.array([0, 10, 10, len(probe)])
+    tables = language_id.model_of(grams)
+    monkeypatch.setattr(language_id, "TABLE", 0)
+    masks = language_id.model_of(grams)
+    assert tables.symbols == 258 and tables.whole.table is not None and masks.whole.table is None
+    got = tables.code_lengths(probe, off)
+    assert np.allclose(got, masks.code_lengths(probe, off)) and (got[1] == 0).all() and got[0].argmin() == 1
+
+
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.5), ("sf0.1", 0.65)])
+def test_toxicity_held_out(spark, sf, recall):
+    """Recall and precision at the threshold, and calibration, on labels that no fit has seen."""
+    folder = f"/root/testdata/{sf}"
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    got = toxicity.score_held_out(table(spark, folder, "documents"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    caught = got[got.predicted == 1]
+    print(sf, "caught", int(caught.toxic.sum()), "of", int(got.toxic.sum()), "false", int((caught.toxic == 0).sum()), "mean", got.score.mean(), "share", got.toxic.mean())
+    assert (caught.toxic == 1).sum() >= recall * got.toxic.sum()
+    assert caught.toxic.mean() >= 0.9
+    assert abs(got.score.mean() - got.toxic.mean()) < 0.4 * got.toxic.mean()
