@@ -93,7 +93,8 @@ def range_share(elasticity_df: DataFrame, labels: Sequence[str] = ELASTICITY_LAB
 
 
 def peak_price(price_demand_df: DataFrame, key: str) -> DataFrame:
-    """Unit price with the largest total quantity per key (ties: the lowest price)."""
-    peak = price_demand_df.groupBy(key).agg(F.max("qty").alias("peak_qty"))
-    at_peak = price_demand_df.join(peak, key).where(F.col("qty") == F.col("peak_qty"))
-    return at_peak.groupBy(key).agg(F.min("unit_price").alias("peak_price"), F.max("peak_qty").alias("peak_qty"))
+    """Unit price with the largest total quantity per key (ties: the lowest price).
+
+    One buffer per key is merged map-side, so the (key, price) rows are not dealt by key."""
+    peak = price_demand_df.groupBy(key).agg(F.max(F.struct("qty", (-F.col("unit_price")).alias("less"))).alias("p"))
+    return peak.select(key, (-F.col("p.less")).alias("peak_price"), F.col("p.qty").alias("peak_qty"))

@@ -26,12 +26,12 @@ def price_demand_and_attributes(fact: DataFrame, key: str = "sku",
                                 sources: Mapping[str, str] = SEGMENT_SOURCES) -> tuple[DataFrame, DataFrame]:
     """Σ qty per (key, price) and the modal attributes per key, from one scan of the fact.
 
-    The fact is reduced once to (key, price, attribute values) with map-side partial sums; those rows
-    are dealt by key a single time, and both results are aggregates over that partitioning without
-    another exchange.  The mode of an attribute is the value with the most rows, ties to the smallest
+    The fact is reduced once to (key, price, attribute values) with map-side partial sums; both results are
+    aggregates over those rows, dealt by (key, price) and by (key, attribute, value), never by the key alone while
+    they are many.  The mode of an attribute is the value with the most rows, ties to the smallest
     value; NULL when the key has none (the same result as :func:`modal_attributes`).
     """
-    return split_detail(key_detail(fact, key, sources).repartition(key), key, sources)
+    return split_detail(key_detail(fact, key, sources), key, sources)
 
 
 def key_detail(fact: DataFrame, key: str = "sku", sources: Mapping[str, str] = SEGMENT_SOURCES) -> DataFrame:
@@ -56,18 +56,18 @@ def split_detail(detail: DataFrame, key: str = "sku", sources: Mapping[str, str]
 
 
 def elasticity_and_attributes(fact: DataFrame, key: str = "sku", sources: Mapping[str, str] = SEGMENT_SOURCES, min_points: int = 3) -> DataFrame:
-    """Fitted keys with class and modal attributes, as one chain of aggregates over one scan of the fact.
+    """Fitted keys with class and modal attributes, as one chain of two aggregates over one scan of the fact.
 
-    The rows of :func:`key_detail` are dealt by key once.  Each becomes a price item and one item per attribute;
-    items are summed per value and the key's regression and modes are taken from them, all without another
-    exchange.  Equal to the join of :func:`elasticity.fit_elasticity` and :func:`modal_attributes`.
+    Each row becomes a price item and one item per attribute.  Items are summed per (key, kind, price or value) with
+    map-side partial sums and dealt by all of these; the key's regression and modes are buffers of fixed size that
+    are merged map-side before anything is dealt by the key.  A key with a third of all rows, almost all at prices of
+    their own, is thus spread over all tasks.  Equal to the join of :func:`elasticity.fit_elasticity` and :func:`modal_attributes`.
     """
-    detail = key_detail(fact, key, sources).repartition(key)
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     items = [F.struct(F.lit(0).alias("a"), F.col("unit_price").alias("p"), text.alias("v"), F.col("qty").alias("w"))]
-    items += [F.struct(F.lit(i).alias("a"), number.alias("p"), F.col(c).cast("string").alias("v"), F.col("rows").cast("double").alias("w")) for i, c in enumerate(sources.values(), 1)]
-    sums = (detail.select(key, F.explode(F.array(*items)).alias("i")).select(key, "i.*")
-                  .groupBy(key, "a", "p", "v").agg(F.sum("w").alias("w")))
+    items += [F.struct(F.lit(i).alias("a"), number.alias("p"), F.col(c).cast("string").alias("v"), F.lit(1.0).alias("w")) for i, c in enumerate(sources.values(), 1)]
+    sums = (fact.where(F.col(key).isNotNull()).select(key, F.explode(F.array(*items)).alias("i")).select(key, "i.*")
+                .where((F.col("a") == 0) | F.col("v").isNotNull()).groupBy(key, "a", "p", "v").agg(F.sum("w").alias("w")))
     point = (F.col("a") == 0) & F.col("p").isNotNull()
     log_price, log_qty = F.when(point, F.ln("p")), F.when(point, F.ln("w"))
     modes = [F.min_by("v", F.when((F.col("a") == i) & F.col("v").isNotNull(), F.struct(-F.col("w"), F.col("v")))).cast(fact.schema[c].dataType).alias(name)

@@ -1,20 +1,22 @@
 """Exact grouped median without gathering a group into one task.
 
 Spark's ``median`` merges all distinct values of a group in one task, which does not hold when one
-group carries a third of the rows.  Here one lazy plan does it with aggregates that combine map-side:
-equal values are counted, a bounded sketch gives cut points per group, the values between neighbouring
-cuts are counted, and the middle rank (two for an even count) is looked up among the distinct values of
-the bracket that holds it.  The sketch only decides how narrow a bracket is; the result is exact.
+group carries a third of the rows.  Here one lazy plan takes two passes: the first gives each group its count, mean and a
+narrow range around the middle from a bounded sketch; the second counts the values below the range
+as one and the distinct values inside it one by one, and looks up the middle rank (two for an even count) among
+these.  The sketch only decides how narrow the range is; the ranks come from exact counts, and a middle rank outside the
+range raises.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cut points per group and accuracy of the sketch that proposes them.
+#: The range holds about two of so many parts of a group; accuracy of the sketch that proposes it (its error
+#: is one part in that many, a twentieth of the range's margin).
 CUTS = 1000
 ACCURACY = 20_000
 
@@ -27,38 +29,23 @@ def grouped_stats(df: DataFrame, group_cols: Sequence[str], value_col: str, cuts
     g = list(group_cols)
     vals = (df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
               .select(F.to_json(F.struct(*g), {"ignoreNullFields": "false"}).alias("_g"), *g, F.col(value_col).cast("double").alias("_v")))
-    # distinct values with their counts: everything below reads this one exchange
-    distinct = vals.groupBy("_g", *g, "_v").agg(F.count(F.lit(1)).alias("_m"))
-    shares = [k / cuts for k in range(1, cuts)]
-    groups = distinct.groupBy("_g", *g).agg(F.sum("_m").alias("_n"), (F.sum(F.col("_m") * F.col("_v")) / F.sum("_m")).alias("_mean"),
-                                           F.array_distinct(F.percentile_approx("_v", shares, ACCURACY)).alias("_cuts"))
-    # bracket k holds the values from cut k - 1 (exclusive) up to cut k (inclusive)
-    placed = distinct.select("_g", "_v", "_m").join(groups.select("_g", "_n", "_cuts"), "_g").select("_g", "_n", "_v", "_m", _bracket(F.col("_v"), F.col("_cuts"), cuts).alias("_k"))
-    counts = placed.groupBy("_g", "_k").agg(F.sum("_m").alias("_c"), F.first("_n").alias("_n"))
-    # at most `cuts` rows per group: a bounded window
-    counts = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g").orderBy("_k")))
-    middle = F.array_distinct(F.array(((F.col("_n") - 1) / 2).cast("long"), (F.col("_n") / 2).cast("long")))
-    holds = F.filter(F.transform(middle, lambda r: r - F.col("_upto") + F.col("_c")), lambda r: (r >= 0) & (r < F.col("_c")))
-    targets = counts.select("_g", "_k", holds.alias("_inside")).where(F.size("_inside") > 0)
-    # the distinct values of one or two brackets of each group
-    seen = placed.join(targets, ["_g", "_k"]).select("_g", "_k", "_v", "_m", "_inside")
-    seen = seen.withColumn("_upto", F.sum("_m").over(Window.partitionBy("_g", "_k").orderBy("_v")))
-    hit = F.exists("_inside", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_m")))
-    found = seen.where(hit).groupBy("_g").agg(F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise((F.min("_v") + F.max("_v")) / F.lit(2.0)).alias("_median"))
-    return groups.join(found, "_g").select(*g, *(F.col(f"_{c}").alias(c) for c in ("n", "mean", "median")))
+    margin = min(0.5, 1 / cuts)
+    groups = vals.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean"), F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY).alias("_range"))
+    groups = groups.select("_g", "_n", "_mean", F.col("_range")[0].alias("_lo"), F.col("_range")[1].alias("_hi"))
+    # all values below the range share the key NULL, which the window puts first
+    placed = vals.join(groups, "_g").where(F.col("_v") <= F.col("_hi")).select("_g", *g, "_n", "_mean", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
+    counts = placed.groupBy("_g", *g, "_n", "_mean", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    counts = counts.withColumn("_upto", F.sum("_m").over(Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_first())))
+    middle = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    hit = F.exists(middle, lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_m")))
+    found = counts.groupBy("_g", *g, "_n", "_mean").agg(F.min(F.when(hit, F.col("_v"))).alias("_a"), F.max(F.when(hit, F.col("_v"))).alias("_b"), F.max("_upto").alias("_seen"),
+                                                        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_m"))), F.lit(0)).alias("_below"))
+    inside = (F.col("_below") <= F.floor((F.col("_n") - 1) / 2)) & (F.col("_seen") > F.floor(F.col("_n") / 2))
+    median = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((F.col("_a") + F.col("_b")) / F.lit(2.0))
+    median = F.when(inside, median).otherwise(F.raise_error(F.lit("the sketch missed the middle of a group")).cast("double"))
+    return found.select(*g, F.col("_n").alias("n"), F.col("_mean").alias("mean"), median.alias("median"))
 
 
 def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out_col: str = "median", cuts: int = CUTS) -> DataFrame:
     """Exact median per group (see :func:`grouped_stats`)."""
     return grouped_stats(df, group_cols, value_col, cuts).select(*group_cols, F.col("median").alias(out_col))
-
-
-def _bracket(v: Column, cuts: Column, most: int) -> Column:
-    """Number of cuts below ``v``, by bisection over the sorted cut array."""
-    steps = most.bit_length()
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = (s["lo"] < s["hi"]) & (F.get(cuts, mid) < v)
-        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), start, halve, lambda s: s["lo"])

@@ -23,8 +23,9 @@ MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-#: Row positions: six digits for the file, thirteen for the block's first byte, nineteen for the row.
+#: Row positions: fifteen digits for the file, thirteen for the block's first byte, ten for the row in the block.
 WIDE = T.DecimalType(38, 0)
+_ROWS = 10**10
 
 
 def _plain(path: Column) -> Column:
@@ -33,8 +34,9 @@ def _plain(path: Column) -> Column:
 
 
 def _place_in_file() -> Column:
-    block = F.col("_metadata.file_block_start").cast(WIDE) * F.lit(Decimal(10**19))
-    return (block + F.monotonically_increasing_id().cast(WIDE)).cast(WIDE)
+    # a block is read by one task; the lower 33 bits count that task's rows
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (F.col("_metadata.file_block_start").cast(WIDE) * F.lit(Decimal(_ROWS)) + row.cast(WIDE)).cast(WIDE)
 
 
 def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
@@ -85,7 +87,7 @@ def _read(spark: SparkSession, columns: tuple[str, ...], files: list[str], types
     # one row per file name: the list was read on the driver
     placed = df.select("*", _place_in_file().alias("_place")).join(F.broadcast(ranks), "_file", "left")
     unknown = F.raise_error(F.concat(F.lit("row of an unlisted file: "), F.col("_file"))).cast(WIDE)
-    rank = F.when(F.col("_rank").isNull(), unknown).otherwise(F.col("_rank").cast(WIDE) * F.lit(Decimal(10**32)))
+    rank = F.when(F.col("_rank").isNull(), unknown).otherwise(F.col("_rank").cast(WIDE) * F.lit(Decimal(_ROWS * 10**13)))
     return placed.select(*keep, BAD_RECORD, (rank + F.col("_place")).cast(WIDE).alias(ROW_ORDER))
 
 

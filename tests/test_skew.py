@@ -64,3 +64,40 @@ def test_hot_segment_median(spark, skewed):
         assert got[k].n_skus == len(grp)
         assert got[k].med_elasticity == pytest.approx(grp.elasticity.median(), abs=1e-12)
         assert got[k].avg_elasticity == pytest.approx(grp.elasticity.mean(), abs=1e-12)
+
+
+def test_hot_key_with_prices_of_its_own_is_spread(spark):
+    """A SKU with a third of the rows, each at its own price: no task gets more than a small share of them."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("if(id % 3 = 0, 'HOT', concat('S', id % 4001)) AS sku", "1.0D + id AS unit_price", "1.0D + id % 5 AS qty",
+                                     "if(id % 2 = 0, 'x', 'y') AS sales_channel", "'f' AS fulfilled_by", "id % 7 = 0 AS b2b")
+    out = segments.elasticity_and_attributes(rows)
+    assert out.where("sku = 'HOT'").first().sales_channel == "x"
+    got = {r.sku: r.n_price_points for r in out.collect()}
+    assert got["HOT"] == n // 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("sku#" in line and "p#" in line and "v#" in line for line in dealt)
+    # what is dealt by the key alone has one row for each key and task, not one for each price
+    sizes = _shuffled_rows(out)
+    assert min(sizes) <= 4002 * 8 < max(sizes)
+
+
+def _shuffled_rows(df) -> list[int]:
+    """Rows written by each exchange of the plan that ran."""
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
