@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,3 +97,36 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is no scratch table")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, which need it for every function that runs in Python.
+
+    The sources go once for each application, as a zip file in the shared folder, to ``addPyFile``.
+    Remote (Connect) sessions have no SparkContext; there the package must be installed on the cluster."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(folder, name)
+                out.write(file, os.path.relpath(file, os.path.dirname(root)))
+    code = held.getvalue()
+    path = scratch_path(spark, f"{os.path.basename(root)}-{hashlib.sha256(code).hexdigest()[:16]}-{sc.applicationId}.zip")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(code))
+    finally:
+        stream.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
