@@ -11,8 +11,9 @@ unit: it returns, for each member, the weight linked in it and one edge towards
 that meets in several tables is counted in the first one only.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite components link with nothing;
-vectors of different lengths never link; repeated rows of one id count as one vector; a null id has no
-component and is not kept.  Extra columns are not read.
+vectors of different lengths never link; repeated rows (equal id and vector) count as one vector; different
+vectors under one id are vectors of their own, each with its own links and component; a null id has no
+component and is not kept, and connects no others; an empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -156,17 +157,18 @@ def linked_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     """vec_id, n_links, component_id, kept of every row of ``table``."""
     x = F.transform(F.col(embedding), lambda v: v.cast("double"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("x", lambda v: v != 0)
-    rows = table.select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
-    good = rows.where(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    rows = table.select(F.col(vec_id).cast("long").alias("id"), x.alias("x")).withColumn("good", F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
     # sign1 and sign2: 128 bits of the exact components (-0.0 equals 0.0)
     zeroed = F.transform("x", lambda v: v + F.lit(0.0))
-    good = good.select("id", "x", F.xxhash64(zeroed).alias("sign1"), F.xxhash64(F.lit(1), zeroed).alias("sign2"))
-    members = good.select("id", "sign1", "sign2").distinct()
-    classes = stored(members.groupBy("sign1", "sign2").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
+    good = rows.where("good").select("id", "x", F.xxhash64(zeroed).alias("sign1"), F.xxhash64(F.lit(1), zeroed).alias("sign2"))
+    members = good.select("id", "sign1", "sign2")
+    # a class of equal vectors has a number of its own, fixed by storing it: an id may hold several vectors
+    classes = members.distinct().groupBy("sign1", "sign2").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     directions, tables = table_shape(n, threshold)
-    vectors = good.join(classes, (good["id"] == classes["rep"]) & (good["sign1"] == classes["sign1"]) & (good["sign2"] == classes["sign2"]))
-    vectors = stored(vectors.select("rep", "weight", F.size("x").alias("d"), "x").dropDuplicates(["rep", "d"]), "vectors")
+    vectors = good.join(classes, ["sign1", "sign2"]).where("id = first")
+    vectors = stored(vectors.select("rep", "weight", F.size("x").alias("d"), "x").dropDuplicates(["rep"]), "vectors")
     keys = stored(_bucketed(vectors, directions, tables), "buckets")
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
@@ -178,9 +180,14 @@ def linked_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     found = stored(_compared(units.select("bucket", "d", "i", "j", "side", "rep", "weight", "x"), directions, tables, threshold), "compared")
     links = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     groups = components(found.where("label < rep").select(F.col("rep").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("rep"), "component")
-    of_class = classes.join(links, "rep", "left").join(groups, "rep", "left").select(
-        "sign1", "sign2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    own = members.join(of_class, ["sign1", "sign2"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("id").join(own, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    joined = groups.join(classes.select("rep", "first"), "rep")
+    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = joined.join(least, "component").select("rep", "component_id")
+    of_class = classes.join(links, "rep", "left").join(named, "rep", "left").select(
+        "sign1", "sign2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    # stored, so that the rows look their class up in a plain join, whose hot classes Spark can split
+    of_class = stored(of_class, "of-class")
+    linked = members.join(of_class, ["sign1", "sign2"]).select("id", "n_links", "component_id")
+    alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.union(alone)
+    return out.select(F.col("id").alias(vec_id), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)).alias("kept"))

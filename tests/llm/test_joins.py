@@ -150,3 +150,28 @@ def test_components(spark, rng):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {n: want[n] for p in links if p[0] != p[1] for n in p}
     assert components(df.limit(0)).count() == 0
+
+
+def test_ids_with_several_vectors(spark, rng):
+    """Each vector of an id has its own links; repeated rows are one vector."""
+    e = np.eye(6)
+    near = lambda v: [float(x) for x in v + rng.normal(0, 0.02, 6)]
+    rows = [(5, near(e[0])), (5, near(e[1])), (3, near(e[0])), (4, near(e[1])), (7, near(e[2])), (None, near(e[0])), (8, [0.0] * 6), (9, None), (9, near(e[3]))]
+    rows += [rows[2], rows[2], (10, rows[0][1]), (11, [1.0, 0.0]), (12, [2.0, 0.0])]
+    got = vector_dedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    distinct = {(i, tuple(v)) for i, v in rows if i is not None and v and any(v)}
+    nodes = sorted(distinct)
+
+    def cosine(a, b):
+        return len(a) == len(b) and np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)) >= 0.95
+
+    links = [(a, b) for k, a in enumerate(nodes) for b in nodes[:k] if cosine(a[1], b[1])]
+    root = roots(nodes, links)
+    want = []
+    for i, v in rows:
+        node = (i, tuple(v or ()))
+        n = sum(node in link for link in links) if node in distinct else 0
+        component = root[node][0] if node in distinct else i
+        want.append((i, n, component, i is not None and component == i))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert vector_dedup.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
