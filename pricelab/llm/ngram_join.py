@@ -9,8 +9,9 @@ start (its representative is the smallest doc_id), so copies cost one row each.
   puts shingles frequent in a sample last.  A shingle at a certain place of the order serves only partners up to a
   certain size (``largest_partner``): linked sets of n and m shingles share one of the first n - overlap + 1 of the
   one and the first m - overlap + 1 of the other.  Entries that no member of a list can use are left out of it, and
-  two entries meet only if each serves the other's size.  Pairs whose prefixes have too few shingles in common for
-  0.8 are pruned.  The exact Jaccard value of the remaining pairs is computed from the whole texts.
+  two entries meet only if each serves the other's size.  Where they meet, ``PARITY`` bits of each set are compared: a bit
+  is the parity of the number of shingles that hash to it, so sets differ in at least as many shingles as bits.
+  Pairs whose prefixes have too few shingles in common for 0.8 are pruned.  The exact Jaccard value of the remaining pairs is computed from the whole texts.
 
 The boundary is the largest size whose subset rows cost no more than its list rows and checks by the measured
 list lengths.  Sets a little below it also enter the lists, as partners of heavy ones.
@@ -29,6 +30,7 @@ other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -49,6 +51,9 @@ SAMPLE_MIN = 2
 MAX_LIGHT = 14
 #: Cost of checking a pair, in rows of an inverted list.
 CHECK_ROWS = 20
+#: Parity bits of a set (a multiple of 64).
+PARITY = 512
+_PARITIES = [f"p{i}" for i in range(PARITY // 64)]
 
 
 def overlap_needed(n, m):
@@ -119,14 +124,14 @@ def light_boundary(list_length: float) -> int:
 
 
 def shapes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit signature of the set, and its tokens: all of a light set, the prefix of a heavy one."""
+    """doc_id, n_shingles, a 128-bit signature of the set, its tokens (all of a light set, the prefix of a heavy one) and its parity bits."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         for batch in batches:
             for i, j, data, off in text_chunks(batch.column("text")):
-                n, one, two, tokens, size = [], [], [], [], []
+                n, one, two, tokens, size, parity = [], [], [], [], [], []
                 for s in shingle_sets(data, off):
                     at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
                     weight = np.where(frequent[at] == s, counts[at], 0) if len(frequent) else np.zeros(len(s))
@@ -138,13 +143,15 @@ def shapes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary:
                     two.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                     tokens.append(keep)
                     size.append(len(keep))
+                    odd = np.bincount((mix(s ^ np.uint64(0x14057B7EF767814F)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 flat = np.concatenate(tokens).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "sign1", "sign2", "tokens"])
+                    [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists, *map(pa.array, np.ascontiguousarray(np.stack(parity).T))],
+                    names=["doc_id", "n_shingles", "sign1", "sign2", "tokens", *_PARITIES])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sign1 long, sign2 long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sign1 long, sign2 long, tokens array<long>, " + ", ".join(f"{p} long" for p in _PARITIES))
 
 
 def _light_links(reps: DataFrame, boundary: int) -> DataFrame:
@@ -239,9 +246,13 @@ def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int, scratch: Scrat
     groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
     known = scratch.stored(shared.where("most >= least").select("token", "id", "n", "most").join(groups, "id", "left").select("token", "id", "n", "most", F.coalesce("g", "id").alias("g")), "grouped-postings")
     split = known.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    open_lists = scratch.stored(known.join(scratch.stored(split, "open-tokens"), "token"), "open-lists")
+    open_lists = known.join(scratch.stored(split, "open-tokens"), "token").join(reps.select(F.col("doc_id").alias("id"), *_PARITIES), "id")
+    open_lists = scratch.stored(open_lists, "open-lists")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    both = F.col("x.n") + F.col("y.n")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITIES])
+    meet = meet & (differ <= both - 2 * F.ceil(NUMERATOR * both / F.lit(float(NUMERATOR + DENOMINATOR))))
     pairs = scratch.stored(x.join(y, meet).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "open-pairs")
     # a link has enough common tokens in the prefixes; a passage in common is not enough
     left, right = (prefixes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
@@ -261,7 +272,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
     classes = scratch.stored(own.where("n_shingles > 0 and doc_id is not null").groupBy("sign1", "sign2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = stored(own.join(classes, ["sign1", "sign2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     first = members.where("doc_id = rep and n_shingles > 0").select("doc_id", "n_shingles").distinct()
-    reps = scratch.stored(shaped.join(first, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "n_shingles", "tokens"), "representatives")
+    reps = scratch.stored(shaped.join(first, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "n_shingles", "tokens", *_PARITIES), "representatives")
     scratch.drop(keep_last=1)
     links = _light_links(reps, boundary).union(_heavy_links(reps, docs, boundary, scratch))
     found = components(links).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
