@@ -1,0 +1,85 @@
+"""Every operator and stage on tables with clashing columns, nulls, repeated rows, and without rows."""
+
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from pricelab.llm import bin_packing, collocations, divergence_rules, exact_dedup, hard_negatives, language_id, ngram_join, piece_sampling, quality_gam, quote_threads, suffix_dedup, toxicity, vector_dedup
+from pricelab.llm.queries import PACKING_TOKENIZER, SAMPLING_MODEL
+from public_tokenizers import path
+
+SF = "/root/testdata/sf0.001"
+#: Names that operators or stages use for results or on the way.
+CLASHES = ["score", "predicted", "lang_pred", "bits_per_byte", "spans", "runs", "_lowered", "_row", "row", "rep", "component_id", "n_shingles", "kept", "size", "prefix", "bytes", "token",
+           "_at", "_bits", "_bucket", "verdict", "given", "bucket", "label", "toxic", "quality", "held_out", "piece", "length", "part", "n", "id", "x", "g", "key", "phrase", "unnamed", "first"]
+
+DOCUMENTS = {
+    "language_id": lambda d, labels: language_id.identify_held_out(d),
+    "toxicity": lambda d, labels: toxicity.score_held_out(d, labels),
+    "quality": lambda d, labels: quality_gam.score_held_out(d, labels),
+    "ngram_join": lambda d, labels: ngram_join.groups_of(d),
+    "suffix_dedup": lambda d, labels: suffix_dedup.removed_spans(d),
+    "packing": lambda d, labels: bin_packing.pack(d, path(PACKING_TOKENIZER)),
+    "rules": lambda d, labels: divergence_rules.apply_rules(d),
+    "sampling": lambda d, labels: piece_sampling.digest(d, path(SAMPLING_MODEL)),
+    "exact_dedup": lambda d, labels: exact_dedup.digest_rows(d),
+    "collocations": lambda d, labels: collocations.collocations(d, least=1),
+}
+
+
+@pytest.fixture(scope="module")
+def plain(spark, odd_documents):
+    return odd_documents.where("coalesce(length(text), 0) < 1000").select("doc_id", "text", "lang", "source", F.lit(3).cast("long").alias("n_chars"))
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(None, 1, 1), (4, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+
+
+def clashing(docs):
+    return docs.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES if c not in docs.columns))
+
+
+def rows(df, drop=()):
+    columns = [c for c in df.columns if c not in drop]
+    return sorted(str(tuple(r)) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("name", sorted(DOCUMENTS))
+def test_operator(name, plain, labels):
+    op = DOCUMENTS[name]
+    free = ("sequence_id", "offset") if name == "packing" else ()  # any numbers
+    got = rows(op(clashing(plain), labels), free)
+    assert got and got == rows(op(plain, labels), free)
+    if name not in ("packing", "collocations"):
+        assert len(got) == plain.count()
+    assert op(clashing(plain).limit(0), labels).count() == 0
+    assert op(plain.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage(spark, name, plain):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    free = ("sequence_id", "offset")
+    out = stage(spark, clashing(plain), SF)
+    if name == "best_fit_packing":
+        assert rows(out, free) == rows(stage(spark, plain, SF), free)
+    else:
+        assert out.columns == clashing(plain).columns
+        got = out.collect()
+        assert got and all(r[c] == f"own {c}" for r in got for c in CLASHES)
+        assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((r.doc_id, r.text)) for r in stage(spark, plain, SF).collect())
+    assert stage(spark, clashing(plain).limit(0), SF).count() == 0
+
+
+def test_vectors_and_messages(spark):
+    vectors = spark.createDataFrame([(0, [0.5, 0.5], 1), (100, [0.5, 0.4], 1), (7, [0.1, 0.9], 0), (None, [0.1, 0.9], 0), (3, None, 2), (4, [float("nan"), 1.0], 2), (5, [], 1)], "vec_id long, embedding array<float>, label int")
+    more = vectors.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES if c not in vectors.columns))
+    for op in (vector_dedup.linked_vectors, hard_negatives.default_mine):
+        assert rows(op(more)) == rows(op(vectors)) and op(more.limit(0)).count() == 0
+    messages = spark.createDataFrame([(1, 0, "user", "a first line of text"), (1, 1, "user", "> a first line of text\nreply"), (1, None, None, None), (None, 0, "user", ""), (1, 0, "user", "a first line of text")],
+                                     "conv_id long, turn int, role string, text string")
+    more = messages.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES if c not in messages.columns))
+    assert len(rows(quote_threads.conversations(more))) == len(rows(quote_threads.conversations(messages))) > 0
+    assert quote_threads.conversations(more.limit(0)).count() == 0
