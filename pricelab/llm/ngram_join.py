@@ -9,7 +9,8 @@ start (its representative is the smallest doc_id), so copies cost one row each.
   puts shingles frequent in a sample last.  A shingle at a certain place of the order serves only partners up to a
   certain size (``largest_partner``): linked sets of n and m shingles share one of the first n - overlap + 1 of the
   one and the first m - overlap + 1 of the other.  Entries that no member of a list can use are left out of it, and
-  two entries meet only if each serves the other's size.  Where they meet, ``PARITY`` bits of each set are compared: a bit
+  two entries meet only if each serves the other's size.  Lists with the same members (named by sums of 128 bits of their
+  ids' hashes) are one list, whose entries serve what any of theirs did.  Where two entries meet, ``PARITY`` bits of each set are compared: a bit
   is the parity of the number of shingles that hash to it, so sets differ in at least as many shingles as bits.
   Pairs whose prefixes have too few shingles in common for 0.8 are pruned.  The exact Jaccard value of the remaining pairs is computed from the whole texts.
 
@@ -239,17 +240,24 @@ def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int, scratch: Scrat
     # each set is first checked against the smallest member that most of its lists name
     named = shared.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     best = named.groupBy(F.col("id").alias("a"), "n").agg(F.max_by("pivot", "c").alias("b"), F.max("c").alias("c"))
-    sizes = shared.select(F.col("id").alias("b"), F.col("n").alias("m")).distinct()
+    sizes = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"))
     best = best.join(sizes, "b").where(_sizes_fit(F.col("n"), F.col("m")) & (2 * F.col("c") >= _shared_prefix(F.col("n"), F.col("m"))))
-    tried = scratch.stored(best.select("a", "b").distinct(), "tried")
+    # no distinct here: an aggregate on the join's partitioning would keep Spark from splitting a hot pivot
+    tried = scratch.stored(best.select("a", "b"), "tried")
     links = scratch.stored(checked(tried, texts), "links")
     groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
     known = scratch.stored(shared.where("most >= least").select("token", "id", "n", "most").join(groups, "id", "left").select("token", "id", "n", "most", F.coalesce("g", "id").alias("g")), "grouped-postings")
-    split = known.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    open_lists = known.join(scratch.stored(split, "open-tokens"), "token").join(reps.select(F.col("doc_id").alias("id"), *_PARITIES), "id")
-    open_lists = scratch.stored(open_lists, "open-lists")
+    # lists with the same members are one: a pair meets once for all tokens that only they share
+    member, other = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    low = F.lit((1 << 32) - 1)
+    sums = [F.sum(part).alias(f"s{i}") for i, part in enumerate(part for h in (member, other) for part in (h.bitwiseAND(low), F.shiftright(h, 32)))]
+    split = known.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("size"), *sums).where("g0 <> g1")
+    names = ["size", "s0", "s1", "s2", "s3"]
+    split = scratch.stored(split.select("token", F.xxhash64(*names).alias("f1"), F.xxhash64(F.lit(1), *names).alias("f2")), "open-tokens")
+    open_lists = known.join(split, "token").groupBy("f1", "f2", "id", "n", "g").agg(F.max("most").alias("most"))
+    open_lists = scratch.stored(open_lists.join(reps.select(F.col("doc_id").alias("id"), *_PARITIES), "id"), "open-lists")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    meet = (F.col("x.f1") == F.col("y.f1")) & (F.col("x.f2") == F.col("y.f2")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
     both = F.col("x.n") + F.col("y.n")
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITIES])
     meet = meet & (differ <= both - 2 * F.ceil(NUMERATOR * both / F.lit(float(NUMERATOR + DENOMINATOR))))
