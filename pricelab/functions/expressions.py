@@ -34,9 +34,9 @@ ELASTICITY_LABELS = ("Elastic", "Inelastic", "Positive Elasticity")
 # Text that a numeric coercion accepts (case-insensitive); anything else is missing, whatever a cast would make of it.
 NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
 # Dates: month and day (or day and month) before the year, or the year first; an optional time after a blank or T.
-_TIME = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?)?\s*$"
-YEAR_LAST_PATTERN = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + _TIME
-YEAR_FIRST_PATTERN = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME
+# The last alternative takes any other text, so that every text is one match and its parts come from one pass.
+DATE_PATTERN = (r"(?s)^(?:\s*(?:(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})|(\d{4})[-/.](\d{1,2})[-/.](\d{1,2}))"
+                r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?)?\s*$|.*)")
 # Two-digit years from here on belong to the 20th century.
 TWO_DIGIT_PIVOT = 69
 
@@ -69,26 +69,29 @@ def lenient_double(c: str | Column, dtype: T.DataType | None = None) -> Column:
         return nan_to_null(x)
     if dtype is None or isinstance(dtype, T.StringType):
         x = F.when(x.cast("string").rlike(NUMBER_PATTERN), F.trim(x.cast("string")))
-    return nan_to_null(x.try_cast("double"))
+    # NaN to NULL with the parsed text named once: an expression named twice is parsed twice in a filter
+    return F.nanvl(x.try_cast("double"), F.lit(None).cast("double"))
 
 
-def _part(x: Column, pattern: str, k: int) -> Column:
-    """Group ``k`` of the pattern as a number; NULL where it does not match."""
-    return F.regexp_extract(x, pattern, k).try_cast("double")
+def _text_timestamp(x: Column) -> Column:
+    # one match cuts the text into its parts; the one-element array has them cut once, however often they are named
+    parts = F.split(F.regexp_replace(x, DATE_PATTERN, ",".join(f"${k}" for k in range(1, 10)) + ","), ",")
+    return F.element_at(F.transform(F.array(parts), _timestamp_of), 1)
 
 
-def _text_timestamp(x: Column) -> Column:
-    def time_parts(pattern: str) -> list[Column]:
-        return [F.coalesce(_part(x, pattern, 4), F.lit(0)).cast("int"), F.coalesce(_part(x, pattern, 5), F.lit(0)).cast("int"),
-                F.coalesce(_part(x, pattern, 6), F.lit(0)).cast("decimal(16,6)")]
+def _timestamp_of(parts: Column) -> Column:
+    def part(k: int, dtype: str) -> Column:
+        # an absent part is empty text; casting that would build and drop an exception for each row
+        text = F.get(parts, F.lit(k - 1))
+        return F.when(text != "", text.try_cast(dtype))
 
-    one, two = _part(x, YEAR_LAST_PATTERN, 1).cast("int"), _part(x, YEAR_LAST_PATTERN, 2).cast("int")
-    short = F.length(F.regexp_extract(x, YEAR_LAST_PATTERN, 3)) == 2
-    year = _part(x, YEAR_LAST_PATTERN, 3).cast("int")
+    time = [F.coalesce(part(7, "int"), F.lit(0)), F.coalesce(part(8, "int"), F.lit(0)), F.coalesce(part(9, "decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))]
+    one, two, year = part(1, "int"), part(2, "int"), part(3, "int")
+    short = F.length(F.get(parts, F.lit(2))) == 2
     year = year + F.when(short, F.when(year >= TWO_DIGIT_PIVOT, 1900).otherwise(2000)).otherwise(0)
-    month_first = F.try_make_timestamp_ntz(year, one, two, *time_parts(YEAR_LAST_PATTERN))
-    day_first = F.try_make_timestamp_ntz(year, two, one, *time_parts(YEAR_LAST_PATTERN))
-    iso = F.try_make_timestamp_ntz(*(_part(x, YEAR_FIRST_PATTERN, k).cast("int") for k in (1, 2, 3)), *time_parts(YEAR_FIRST_PATTERN))
+    month_first = F.when(one <= 12, F.try_make_timestamp_ntz(year, one, two, *time))
+    day_first = F.when(two <= 12, F.try_make_timestamp_ntz(year, two, one, *time))
+    iso = F.when(part(4, "int").isNotNull(), F.try_make_timestamp_ntz(*(part(k, "int") for k in (4, 5, 6)), *time))
     return F.coalesce(month_first, day_first, iso)
 
 

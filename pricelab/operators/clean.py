@@ -61,9 +61,8 @@ def sales_fact(raw: DataFrame, statuses: Sequence[str] = COMPLETED_STATUSES,
     Coercions never fail: bad numbers, dates and flags become NULL.
     """
     df = _coerced(raw, statuses, date_formats)
-    df = df.where(F.col("amount").isNotNull() & F.col("qty").isNotNull() & F.col("sku").isNotNull()
-                  & (F.col("amount") > 0) & (F.col("qty") > 0)
-                  & F.col("date").isNotNull())
+    # a positive amount or quantity is no missing one; each parsed text is named once, as the filter moves below the parsing
+    df = df.where(F.col("sku").isNotNull() & (F.col("amount") > 0) & (F.col("qty") > 0) & F.col("date").isNotNull())
     derived = {
         "unit_price": F.try_divide(F.col("amount"), F.col("qty")),
         "revenue": F.col("amount"),

@@ -120,3 +120,28 @@ def test_date_forms(spark):
              "31-05-22": dt.datetime(2022, 5, 31), "13-13-22": None, "02-30-22": None, "x": None, "": None, "04-30": None, "04-30-22 25:00": None}
     got = spark.createDataFrame([(k,) for k in cases], "s string").select(lenient_timestamp("s")).collect()
     assert [r[0] for r in got] == list(cases.values())
+
+
+def test_each_text_is_matched_once(spark):
+    from pricelab.operators.clean import sales_fact
+    df = spark.createDataFrame([("04-30-22", "1", "2", "Shipped", "s")], "date string, qty string, amount string, status string, sku string")
+    parsed = df.select(lenient_timestamp("date").alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert parsed.count("regexp_") == 1
+    plan = sales_fact(df)._jdf.queryExecution().optimizedPlan().toString()
+    # once in the filter that moved below the parsing, once in the parsing
+    assert plan.lower().count("rlike") == 4 and plan.count("regexp_") == 2
+
+
+def test_date_text_around_the_pattern(spark):
+    import datetime as dt
+    day = dt.datetime(2022, 4, 30)
+    cases = {" 04-30-22\n": day, "04-30-22\u2028": day, "04-30-22 1:02:60": dt.datetime(2022, 4, 30, 1, 3), "04-30-22 1:02:03.1234567": dt.datetime(2022, 4, 30, 1, 2, 3, 123456), "04-30-22x": None,
+             "x04-30-22": None, "4,30,22,,,,,,": None, ",,,2022,4,30,,,": None, "\n04.30.2022": day, "04-30-22\nx": None, "00-10-22": None, "2022-13-01": None, "$1": None}
+    for ansi in ("true", "false"):
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            got = spark.createDataFrame([(k,) for k in cases], "s string").select(lenient_timestamp("s")).collect()
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
+        assert [r[0] for r in got] == list(cases.values())
