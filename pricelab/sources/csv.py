@@ -8,6 +8,7 @@ and read by column name, so files may order their columns differently or lack so
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 from functools import reduce
 
@@ -22,6 +23,8 @@ BAD_RECORD = "_bad_record"
 MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                  "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+#: Header lines read at the same time.
+HEADER_READS = 16
 
 #: Row positions: fifteen digits for the file, thirteen for the block's first byte, ten for the row in the block.
 WIDE = T.DecimalType(38, 0)
@@ -40,8 +43,12 @@ def _place_in_file() -> Column:
 
 
 def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """Column names of each file: its first line, read on its own (one small read for each file)."""
-    return {f: spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(f).columns for f in files}
+    """Column names of each file: its first line, read on its own (one small read for each file, ``HEADER_READS`` at a time)."""
+    def columns(file: str) -> list[str]:
+        return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(file).columns
+
+    with ThreadPoolExecutor(HEADER_READS) as pool:
+        return dict(zip(files, pool.map(columns, files), strict=True))
 
 
 def read_sales_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, header: bool = True,

@@ -76,3 +76,22 @@ def test_scratch_tables_can_be_dropped(spark):
     assert not os.path.exists(path.removeprefix("file:"))
     with pytest.raises(ValueError):
         session.drop_scratch(spark, "/tmp/elsewhere")
+
+
+def test_headers_are_read_side_by_side():
+    import threading
+    from types import SimpleNamespace
+
+    from pricelab.sources.csv import _headers
+    met = threading.Barrier(2)
+
+    class Reader:
+        def option(self, *_):
+            return self
+
+        def csv(self, file):
+            met.wait(20)  # breaks unless two reads are under way
+            return SimpleNamespace(columns=[file])
+
+    files = ["a", "b", "c", "d"]
+    assert _headers(SimpleNamespace(read=Reader()), files) == {f: [f] for f in files}
