@@ -38,6 +38,34 @@ CHUNK = 4 << 20
 _BASE = 0x9FB21C651E98DF25
 
 
+def _directory(hashes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """For each value of the leading bits the place of its first entry in the sorted hashes, and the shift that leaves these bits."""
+    bits = len(hashes).bit_length() + 1
+    shift = np.uint64(64 - bits)
+    return np.minimum(np.searchsorted(hashes >> shift, np.arange(1 << bits, dtype=np.uint64)), len(hashes) - 1), shift
+
+
+def _place(hashes: np.ndarray, begin: np.ndarray, shift: np.uint64, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted hash where it is there, else any place; few steps from the first entry with its leading bits."""
+    at = begin[wanted >> shift]
+    left = np.flatnonzero(hashes[at] < wanted)
+    while len(left):
+        left = left[at[left] < len(hashes) - 1]
+        at[left] += 1
+        left = left[hashes[at[left]] < wanted[left]]
+    return at
+
+
+def _drawn(chances: np.ndarray, draw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """First of a node's in-edges whose cumulative chance is above the draw, else the last: a node has few, next to each other."""
+    at = first.copy()
+    left = np.flatnonzero((at < last) & (chances[at] <= draw))
+    while len(left):
+        at[left] += 1
+        left = left[(at[left] < last[left]) & (chances[at[left]] <= draw[left])]
+    return at
+
+
 class PieceLattice:
     """Pieces as byte strings with their hashes by length, and the two passes."""
 
@@ -66,14 +94,14 @@ class PieceLattice:
         self.sizes = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.at = np.cumsum(self.sizes) - self.sizes
-        self.table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
         # for each length the hashes of all pieces and beginnings of pieces (piece -1), so that dead ends are left early
         for size in range(1, max(len(self.bytes_of[i]) for i in normal) + 1):
             heads = {self.bytes_of[i][:size]: -1 for i in normal if len(self.bytes_of[i]) >= size}
             heads.update({self.bytes_of[i]: i for i in normal if len(self.bytes_of[i]) == size})
             h = self._hash(np.frombuffer(b"".join(heads), dtype=np.uint8).reshape(-1, size))
             order = np.argsort(h)
-            self.table[size] = (h[order], np.array(list(heads.values()))[order])
+            self.table[size] = (h[order], np.array(list(heads.values()))[order], *_directory(h[order]))
         self.newline_alone = not any(b"\n" in self.bytes_of[i] for i in normal)
 
     @staticmethod
@@ -109,9 +137,9 @@ class PieceLattice:
             if not len(live):
                 break
             rolled[live] += value[at[live] + length - 1] * factor[length]
-            hashes, ids = self.table[length]
+            hashes, ids, begin, shift = self.table[length]
             h = mix(rolled[live])
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            k = _place(hashes, begin, shift, h)
             hit = hashes[k] == h
             live, k = live[hit], ids[k[hit]]
             s = at[live[k >= 0]]
@@ -127,7 +155,9 @@ class PieceLattice:
     def forward(self, first: np.ndarray, size: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """In-edges sorted by node (block position + 1, counted over the blocks): their pieces, cumulative chances on top of the node's number, first edge of each node."""
         base = np.cumsum(size + 1) - (size + 1)
-        block = np.searchsorted(first, start, "right") - 1
+        owner = np.zeros(int((first + size).max(initial=0)), dtype=np.int32)
+        owner[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)] = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        block = owner[start]
         source, target = start - first[block] + base[block], end - first[block] + base[block]
         depth = end - first[block]
         order = np.argsort(target, kind="stable")
@@ -152,7 +182,7 @@ class PieceLattice:
             score[at] = x
         with np.errstate(invalid="ignore"):
             chance = np.where(np.isfinite(score), np.exp(score - alpha[target]), 0.0)
-        edge0 = np.searchsorted(target, np.arange(len(alpha) + 1))
+        edge0 = np.concatenate([[0], np.cumsum(np.bincount(target, minlength=len(alpha)))])
         run = np.concatenate([[0.0], np.cumsum(chance)])
         inside = np.minimum(run[1:] - run[edge0[target]], 1.0)
         return np.stack([source, piece]), target + inside, edge0
@@ -177,7 +207,8 @@ class PieceLattice:
         live, steps = np.arange(len(starts)), []
         while len(live):
             u = (mix(draw[live] + np.uint64((len(steps) + 1) * 0xD1342543DE82EF95 % (1 << 64))) >> np.uint64(11)) * 2.0**-53
-            e = np.clip(np.searchsorted(chances, node[live] + u, "right"), edge0[node[live]], edge0[node[live] + 1] - 1)
+            here = node[live]
+            e = _drawn(chances, here + u, edge0[here], edge0[here + 1] - 1)
             steps.append((live, piece[e]))
             node[live] = source[e]
             live = live[node[live] > floor[live]]

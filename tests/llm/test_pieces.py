@@ -60,3 +60,23 @@ def test_digest_agrees_with_the_pieces(spark):
     for r in sampling.digest(docs, PATH).collect():
         assert r.lossless and r.n_pieces == len(pieces[r.doc_id])
         assert r.ids_crc32 == zlib.crc32(np.array(pieces[r.doc_id], dtype="<u4").tobytes())
+
+
+def test_short_look_ups_find_what_a_search_finds(rng):
+    for n in (1, 2, 37, 5000):
+        hashes = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))
+        if n == 37:
+            hashes = np.unique(hashes >> np.uint64(50))  # all in one run of leading bits
+        wanted = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        at = sampling._place(hashes, *sampling._directory(hashes), wanted)
+        expected = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        assert (at[hashes[expected] == wanted] == expected[hashes[expected] == wanted]).all()
+        assert ((hashes[at] == wanted) == np.isin(wanted, hashes)).all()
+    degree = rng.integers(1, 9, 3000)
+    first = np.cumsum(degree) - degree
+    chances = np.concatenate([i + np.sort(rng.random(d)) for i, d in enumerate(degree)])
+    chances[first + degree - 1] = np.arange(3000) + rng.choice([1.0, 0.999], 3000)
+    node = rng.integers(0, 3000, 20_000)
+    draw = node + rng.choice([0.0, 0.9999, 1.0, *rng.random(50)], len(node))
+    expected = np.clip(np.searchsorted(chances, draw, "right"), first[node], (first + degree)[node] - 1)
+    assert (sampling._drawn(chances, draw, first[node], (first + degree)[node] - 1) == expected).all()
