@@ -34,8 +34,8 @@ from pricelab.llm.common import stored, text_chunks
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of each of a worker's two caches of encoded strings; they are emptied when full (speed only).
-CACHE_WORDS = 350_000
+#: Entries of a worker's cache of encoded words; it is emptied when full (speed only).
+CACHE_WORDS = 700_000
 _SLICE = 1 << 18
 _RANK_BITS = 45
 
@@ -43,7 +43,7 @@ _RANK_BITS = 45
 _LETTER = "a-zªµºß-öø-ÿ"
 _NUMBER = "0-9²³¹¼-¾"
 _BLANK = r"\t-\r \x85\xa0"
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+".replace(r"\x85\xa0", r"\x{85}\x{a0}")
 # texts outside Latin-1, with separators that only some libraries take for white space, or with special tokens go the plain way
 _NOT_PLAIN = r"[\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{ff}]|<\|"
 
@@ -67,7 +67,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.ends, self.known, self.words = ends, {}, {}
+        self.ends, self.words = ends, {"": b""}
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -85,19 +85,21 @@ class WordTokenizer:
             else:
                 self.words.update((w, self.plain(w)) for w in part)
 
-    def _blocks(self, blocks: list[str]) -> list[bytes]:
+    def _blocks(self, blocks: pa.Array) -> list[bytes]:
         """Ids of distinct lower-cased Latin-1 strings without white space."""
-        out = list(map(self.known.get, blocks))
-        fresh = [i for i, x in enumerate(out) if x is None]
-        if fresh:
-            split = [_SPLIT.findall(blocks[i]) for i in fresh]
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            self._learn(sorted(set().union(*split).difference(self.words)))
-            for i, words in zip(fresh, split, strict=True):
-                out[i] = self.known[blocks[i]] = b"".join(map(self.words.__getitem__, words))
+        split = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(blocks, _SPLIT, r"\0 ")))
+        coded = split.flatten().dictionary_encode()
+        words = _strings(coded.dictionary)
+        if len(self.words) > CACHE_WORDS:
+            self.words = {"": b""}
+        self._learn([w for w in words if w not in self.words])
+        known = list(map(self.words.__getitem__, words))
+        parts = list(map(known.__getitem__, np.asarray(coded.indices).tolist()))
+        at = np.asarray(split.offsets) - split.offsets[0].as_py()
+        first, several = at[:-1], np.flatnonzero(np.diff(at) > 1)  # a string has a word at least, the empty one the empty word
+        out = list(map(parts.__getitem__, first.tolist()))
+        for i, a, b in zip(several.tolist(), at[several].tolist(), at[several + 1].tolist(), strict=True):
+            out[i] = b"".join(parts[a:b])
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -110,18 +112,22 @@ class WordTokenizer:
         rows = np.flatnonzero(~np.asarray(special))
         blocks = pc.ascii_split_whitespace(pc.utf8_lower(texts.take(pa.array(rows))))
         coded = blocks.flatten().dictionary_encode()
-        ids = self._blocks(coded.dictionary.to_pylist())
-        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        flat, at = np.frombuffer(b"".join(ids), dtype="<u4"), np.asarray(coded.indices)
-        long = size[at]
-        stop = np.cumsum(long)
-        tokens = flat[np.repeat((np.cumsum(size) - size)[at] - stop + long, long) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        cut = np.concatenate([[0], stop])[np.asarray(blocks.offsets) - blocks.offsets[0].as_py()]
+        ids, at = self._blocks(coded.dictionary), np.asarray(coded.indices)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        tokens = b"".join(map(ids.__getitem__, at.tolist()))
+        stop = np.concatenate([[0], np.cumsum(size[at])])
+        cut = stop[np.asarray(blocks.offsets) - blocks.offsets[0].as_py()].tolist()
         for k, i in enumerate(rows):
-            out[i] = tokens[cut[k] : cut[k + 1]].tobytes()
+            out[i] = tokens[cut[k] : cut[k + 1]]
         return out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """Strings without white space as a list; one long string crosses to Python faster than many."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ") if len(column) else []
+
+
 def _slices(text: str) -> Iterator[str]:
     """The text cut at white space into parts of bounded length where it has any."""
     a = 0

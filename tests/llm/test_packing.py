@@ -79,3 +79,11 @@ def test_bin_kinds_use_every_piece_once(rng):
             used[k] = used.get(k, 0) + n * bins
     assert used == counts
     assert sum(b for _, b in kinds) <= 1.02 * sum(k * n for k, n in counts.items()) / 100 + 2
+
+
+def test_a_word_is_kept_once_whatever_stands_around_it():
+    marks = ["", ".", ",", "!", "?", "(", "'", "1", "¶"]
+    texts = [f"{a}cat{b} {b}dog{a}" for a, b in product(marks, marks)]
+    words = packing.WordTokenizer(PATH)
+    assert words.encode(pa.array(texts)) == [words.plain(t) for t in texts]
+    assert sum(len(x) for x in vars(words).values() if isinstance(x, dict)) < len(marks) ** 2
