@@ -58,23 +58,34 @@ def split_detail(detail: DataFrame, key: str = "sku", sources: Mapping[str, str]
 def elasticity_and_attributes(fact: DataFrame, key: str = "sku", sources: Mapping[str, str] = SEGMENT_SOURCES, min_points: int = 3) -> DataFrame:
     """Fitted keys with class and modal attributes, as one chain of two aggregates over one scan of the fact.
 
-    Each row becomes a price item and one item per attribute.  Items are summed per (key, kind, price or value) with
-    map-side partial sums and dealt by all of these; the key's regression and modes are buffers of fixed size that
-    are merged map-side before anything is dealt by the key.  A key with a third of all rows, almost all at prices of
-    their own, is thus spread over all tasks.  Equal to the join of :func:`elasticity.fit_elasticity` and :func:`modal_attributes`.
+    Each row becomes a price item and one item for its attributes together.  Items are summed per (key, price or values) with
+    map-side partial sums and dealt by all of these; the key's regression and its counts of attribute values are
+    merged map-side before anything is dealt by the key.  A key with a third of all rows, almost all at prices of
+    their own, is thus spread over all tasks.  A key's buffer holds one counter per distinct combination of
+    attribute values (a handful); the modes of the fitted keys are picked from it.
+    Equal to the join of :func:`elasticity.fit_elasticity` and :func:`modal_attributes`.
     """
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    items = [F.struct(F.lit(0).alias("a"), F.col("unit_price").alias("p"), text.alias("v"), F.col("qty").alias("w"))]
-    items += [F.struct(F.lit(i).alias("a"), number.alias("p"), F.col(c).cast("string").alias("v"), F.lit(1.0).alias("w")) for i, c in enumerate(sources.values(), 1)]
+    values = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(sources.values())])
+    none = F.lit(None).cast(fact.select(values.alias("v")).schema["v"].dataType)
+    items = [F.struct(F.lit(0).alias("a"), F.col("unit_price").alias("p"), none.alias("v"), F.col("qty").alias("w")),
+             F.struct(F.lit(1).alias("a"), F.lit(None).cast("double").alias("p"), values.alias("v"), F.lit(1.0).alias("w"))]
     sums = (fact.where(F.col(key).isNotNull()).select(key, F.explode(F.array(*items)).alias("i")).select(key, "i.*")
-                .where((F.col("a") == 0) | F.col("v").isNotNull()).groupBy(key, "a", "p", "v").agg(F.sum("w").alias("w")))
+                .groupBy(key, "a", "p", "v").agg(F.sum("w").alias("w")))
     point = (F.col("a") == 0) & F.col("p").isNotNull()
     log_price, log_qty = F.when(point, F.ln("p")), F.when(point, F.ln("w"))
-    modes = [F.min_by("v", F.when((F.col("a") == i) & F.col("v").isNotNull(), F.struct(-F.col("w"), F.col("v")))).cast(fact.schema[c].dataType).alias(name)
-             for i, (name, c) in enumerate(sources.items(), 1)]
     fitted = sums.groupBy(key).agg(F.regr_slope(log_qty, log_price).alias("elasticity"), F.regr_r2(log_qty, log_price).alias("r2"),
-                                   F.count_if(point).alias("n_price_points"), *modes)
-    return classified(fitted.where(F.col("n_price_points") >= min_points))
+                                   F.count_if(point).alias("n_price_points"), F.collect_list(F.when(F.col("a") == 1, F.struct("v", "w"))).alias("counts"))
+    fitted = fitted.where(F.col("n_price_points") >= min_points)
+    modes = [_mode_of("counts", f"v{i}").alias(name) for i, name in enumerate(sources)]
+    return classified(fitted.select(key, "elasticity", "r2", "n_price_points", *modes))
+
+
+def _mode_of(counts: str, field: str) -> F.Column:
+    """The value of a field with the largest sum of counts (ties: smallest value) in an array of (v, w); NULL without one."""
+    known = F.filter(counts, lambda x: x["v"][field].isNotNull())
+    each = F.array_distinct(F.transform(known, lambda x: x["v"][field]))
+    total = lambda v: F.aggregate(F.filter(known, lambda x: x["v"][field] == v), F.lit(0.0), lambda s, x: s + x["w"])
+    return F.array_min(F.transform(each, lambda v: F.struct((-total(v)).alias("less"), v.alias("v"))))["v"]
 
 
 def segment_table(elasticity_df: DataFrame, meta: DataFrame, key: str = "sku",

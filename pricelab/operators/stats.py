@@ -27,8 +27,10 @@ def grouped_stats(df: DataFrame, group_cols: Sequence[str], value_col: str, cuts
     NULL and NaN values are ignored; groups with no value are absent; a NULL group is a group.
     """
     g = list(group_cols)
-    vals = (df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
-              .select(F.to_json(F.struct(*g), {"ignoreNullFields": "false"}).alias("_g"), *g, F.col(value_col).cast("double").alias("_v")))
+    # dealt once for both passes, in parts that Spark can split; the key is derived above, so that both read the same columns, and never null, so that
+    # the join adds no filter to one of them
+    vals = df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col)).select(*g, F.col(value_col).cast("double").alias("_v")).hint("rebalance", *g, "_v")
+    vals = vals.select(F.coalesce(F.to_json(F.struct(*g), {"ignoreNullFields": "false"}), F.lit("")).alias("_g"), *g, "_v")
     margin = min(0.5, 1 / cuts)
     groups = vals.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean"), F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY).alias("_range"))
     groups = groups.select("_g", "_n", "_mean", F.col("_range")[0].alias("_lo"), F.col("_range")[1].alias("_hi"))

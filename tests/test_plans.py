@@ -117,6 +117,12 @@ def test_segment_statistics_have_a_short_plan(spark):
     assert len(exchanges) <= 9, exchanges
 
 
+@pytest.mark.parametrize("name", ["segment_stats_channel", "segment_stats_fulfilment", "segment_stats_b2b", "segment_stats"])
+def test_skus_are_merged_once_for_both_passes(spark, name):
+    ran = _ran(E.queries()[name](spark, SF_SMALL))
+    assert sum("regr_slope(" in n and "partial_regr_slope" not in n for n in ran if "Aggregate" in n.split("(")[0]) == 1
+
+
 def test_eager_jobs_use_no_python(spark):
     """Queries that run jobs while they are built: the plans of those jobs, too."""
     seen = []

@@ -118,3 +118,28 @@ def test_one_chain_equals_fit_and_modes(spark):
     want = {tuple(r) for r in fit.selectExpr("round(elasticity, 9)", "round(r2, 9)", *cols).collect()}
     got = {tuple(r) for r in segments.elasticity_and_attributes(f).selectExpr("round(elasticity, 9)", "round(r2, 9)", *cols).collect()}
     assert got == want and len(got) > 100
+
+
+def test_one_chain_modes_of_ties_and_nulls(spark):
+    from pricelab.operators import elasticity
+    rows = [("tie", 1.0 + i, v, f, b) for i, (v, f, b) in enumerate([("b", "x", True), ("a", "x", False), ("b", None, False), ("a", "y", True)])]
+    rows += [("null", 1.0 + i, None, None, None) for i in range(3)]
+    rows += [("half", 1.0 + i, None if i < 3 else "c", "y" if i % 2 else None, None if i else True) for i in range(4)]
+    rows += [("split", 1.0 + i, "p" if i < 3 else "q", f"f{i % 3}", i < 2) for i in range(5)] + [("few", 1.0, "a", "b", True), (None, 1.0, "a", "b", True)] + [("null", None, "late", None, False)]
+    fact = spark.createDataFrame(rows, "sku string, unit_price double, sales_channel string, fulfilled_by string, b2b boolean").selectExpr("*", "1.0D + unit_price % 3 as qty")
+    cols = ["sku", "round(elasticity, 9)", "round(r2, 9)", "elasticity_range", "sales_channel", "fulfilled_by", "b2b_flag"]
+    fit = elasticity.fit_elasticity(elasticity.price_demand(fact, "sku"), "sku").join(segments.modal_attributes(fact), "sku", "left")
+    want = {tuple(r) for r in fit.selectExpr(*cols).collect()}
+    got = segments.elasticity_and_attributes(fact)
+    assert {tuple(r) for r in got.selectExpr(*cols).collect()} == want and len(want) == 4
+    assert got.schema["b2b_flag"].dataType.typeName() == "boolean"
+
+
+def test_a_fact_row_is_dealt_as_two_items(spark):
+    from tests.test_skew import _shuffled_rows
+    n = 20_000
+    rows = spark.range(n).selectExpr("concat('S', id) AS sku", "1.0D + id AS unit_price", "1.0D AS qty", "'x' AS sales_channel", "'f' AS fulfilled_by", "true AS b2b")
+    out = segments.elasticity_and_attributes(rows, min_points=1)
+    assert out.count() == n
+    out.collect()
+    assert max(_shuffled_rows(out)) <= 2 * n
