@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import hash_share, id_bucket, text_chunks
+from pricelab.llm.common import frugal, give_back, hash_share, id_bucket, text_chunks
 
 UNDETERMINED = "und"
 #: Bound of the fit: expected number of sampled documents for each language.
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> PPMModel | None:
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == F.lit(lang)) & hash_share(F.col("doc_id"), sample_docs / n))
     grams = (docs.where(chosen).select("lang", F.lower("text").alias("text"))
-             .mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
+             .mapInArrow(frugal(_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     if not len(grams):
         return None
     return model_of(grams)
@@ -216,6 +216,7 @@ def verdict(docs: DataFrame, model: PPMModel | None, text: str = "text") -> Colu
             pred[i + use] = names[win[use]]
             score[i + use] = 1 / np.exp2(np.maximum(least[use, None] - bits[use], -1000)).sum(axis=1)
             rate[i + use] = least[use] / np.maximum(np.diff(off)[use], 1)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=np.isnan(rate))], names=["lang_pred", "score", "bits_per_byte"])
 
     # a text without a letter stays in the JVM

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import LOWER, Scratch, hash_share, mix, powers, stored, text_chunks, word_bounds, word_hashes
+from pricelab.llm.common import LOWER, Scratch, frugal, hash_share, mix, powers, stored, text_chunks, word_bounds, word_hashes
 from pricelab.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -99,7 +99,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndar
     """(hashes, sample counts) of shingles frequent in a sample of distinct texts, and the mean length of a list."""
     share = SAMPLE_DOCS / max(1, n_docs)
     sample = docs.where(hash_share(F.col("text"), share)).select(F.xxhash64("text").alias("k"), "text").dropDuplicates(["k"]).select("text")
-    counts = sample.mapInArrow(_sample_rows, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    counts = sample.mapInArrow(frugal(_sample_rows), "h long").groupBy("h").agg(F.count("*").alias("n"))
     counts = stored(counts.where(F.col("n") > 1), "sample-counts")
     total = counts.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first()
     rows = counts.where(F.col("n") >= SAMPLE_MIN).toPandas().sort_values("h")  # bounded by the sample
@@ -152,7 +152,7 @@ def shapes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary:
                     [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists, *map(pa.array, np.ascontiguousarray(np.stack(parity).T))],
                     names=["doc_id", "n_shingles", "sign1", "sign2", "tokens", *_PARITIES])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sign1 long, sign2 long, tokens array<long>, " + ", ".join(f"{p} long" for p in _PARITIES))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), "doc_id long, n_shingles long, sign1 long, sign2 long, tokens array<long>, " + ", ".join(f"{p} long" for p in _PARITIES))
 
 
 def _light_links(reps: DataFrame, boundary: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _light_links(reps: DataFrame, boundary: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(small))], names=["id", "key", "small"])
 
-    rows = reps.where(F.col("n_shingles") <= boundary).select("doc_id", "tokens").mapInArrow(run, "id long, key long, small boolean")
+    rows = reps.where(F.col("n_shingles") <= boundary).select("doc_id", "tokens").mapInArrow(frugal(run), "id long, key long, small boolean")
     least = rows.groupBy("key").agg(F.min(F.when(F.col("small"), F.col("id"))).alias("lo"), F.min(F.when(~F.col("small"), F.col("id"))).alias("hi"), F.max("id").alias("most"))
     least = least.where("lo is not null and hi is not null and most > least(lo, hi)")
     linked = rows.join(least, "key").select(F.col("id").alias("a"), F.when(F.col("small"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
@@ -205,7 +205,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(frugal(run), "a long, b long")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:

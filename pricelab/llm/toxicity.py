@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelab.llm.common import hash_share, id_bucket, text_chunks
+from pricelab.llm.common import give_back, hash_share, id_bucket, text_chunks
 
 #: Bounds of the fit: expected number of sampled documents of each class, their expected bytes, and the longest one that is sampled.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1200
@@ -274,6 +274,7 @@ def score_of(docs: DataFrame, model: SubwordModel, text: str = "text") -> Column
         p = np.zeros(len(lowered))
         for i, j, data, off in text_chunks(lowered):
             p[i:j] = shared.value.scores(data, off)
+        give_back()
         return pa.array(p)
 
     return scores(F.lower(F.col(text)))
