@@ -18,7 +18,7 @@ The boundary is the largest size whose subset rows cost no more than its list ro
 list lengths.  Sets a little below it also enter the lists, as partners of heavy ones.
 
 Lists are not expanded to all pairs.  First every set is checked against one other, the smallest member that
-most of its lists have; after the groups of these links are known, only pairs of a list whose members are
+most of its lists have; members of lists that stay crowded, against a few more.  After the groups of these links are known, only pairs of a list whose members are
 still in different groups are checked.  Any link lies inside a group or is checked, so groups are exact.
 
 Defined results: null, empty and wordless texts have no shingles and group alone; fewer words than a shingle
@@ -54,6 +54,12 @@ MAX_LIGHT = 14
 CHECK_ROWS = 20
 #: Parity bits of a set (a multiple of 64).
 PARITY = 512
+#: A list is crowded where its members have more others of different groups in it, on average.
+CROWD = 64
+#: Most members that a crowded list tries as pivots, one after the other.
+TURNS = 3
+#: Lists of a set that its entries name, for a pair to come out of the first of its lists only.
+FIRSTS = 32
 _PARITIES = [f"p{i}" for i in range(PARITY // 64)]
 
 
@@ -227,6 +233,63 @@ def largest_partner(n: Column, at: Column) -> Column:
     return F.floor((DENOMINATOR + NUMERATOR) * (n - at) / F.lit(float(NUMERATOR))) - n
 
 
+def _parities_fit(x: str, y: str) -> Column:
+    """Whether sets may be linked by their sizes and parity bits: they differ in at least as many shingles as bits."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _PARITIES])
+    return differ <= both - 2 * F.ceil(NUMERATOR * both / F.lit(float(NUMERATOR + DENOMINATOR)))
+
+
+def _open_lists(shared: DataFrame, links: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(f1, f2, id, n, g, most, parity bits): entries of the lists whose members are in different groups g of the links so far."""
+    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    known = scratch.stored(shared.where("most >= least").select("token", "id", "n", "most").join(groups, "id", "left").select("token", "id", "n", "most", F.coalesce("g", "id").alias("g")), "grouped-postings")
+    # lists with the same members are one: a pair meets once for all tokens that only they share
+    member, other = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    low = F.lit((1 << 32) - 1)
+    sums = [F.sum(part).alias(f"s{i}") for i, part in enumerate(part for h in (member, other) for part in (h.bitwiseAND(low), F.shiftright(h, 32)))]
+    split = known.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("size"), *sums).where("g0 <> g1")
+    names = ["size", "s0", "s1", "s2", "s3"]
+    split = scratch.stored(split.select("token", F.xxhash64(*names).alias("f1"), F.xxhash64(F.lit(1), *names).alias("f2")), "open-tokens")
+    open_lists = known.join(split, "token").groupBy("f1", "f2", "id", "n", "g").agg(F.max("most").alias("most"))
+    return scratch.stored(open_lists.join(reps.select(F.col("doc_id").alias("id"), *_PARITIES), "id"), "open-lists")
+
+
+def _near_pivots(open_lists: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the members of crowded lists, those with many pairs of different groups, with one member of the list.
+
+    Each list takes another member in each turn, and the lists of near copies have many members in common, so
+    a set meets a few others of its kind; what links them leaves fewer pairs to the join."""
+    parts = open_lists.groupBy("f1", "f2", "g").agg(F.count("*").alias("c")).withColumn("c", F.col("c").cast("double"))
+    crowded = parts.groupBy("f1", "f2").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("own")).where(F.col("size") * F.col("size") - F.col("own") > 2 * CROWD * F.col("size"))
+    entry = F.struct("id", "n", "g", "most", *_PARITIES)
+    pivots = open_lists.join(crowded, ["f1", "f2"], "left_semi").groupBy("f1", "f2").agg(F.min_by(entry, F.xxhash64("id", "f1", F.lit(turn))).alias("p")).select("f1", "f2", "p.*")
+    # stored, so that the members look it up in a plain join, whose hot lists Spark can split
+    x, y = open_lists.alias("x"), scratch.stored(pivots, "pivots").alias("y")
+    meet = (F.col("x.f1") == F.col("y.f1")) & (F.col("x.f2") == F.col("y.f2")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    return x.join(y, meet & _parities_fit("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
+def _with_earlier(open_lists: DataFrame) -> DataFrame:
+    """``open_lists`` with ``earlier``: which of the set's lists (the FIRSTS of them with the smallest names) come before the row's in the common order.
+
+    A list's place in the order is that of its first token; a set's tokens stand in this order, so an earlier list
+    has a larger ``most``, for all its members alike, and holds a pair that a later one holds.  Ids of several rows
+    have no earlier lists: their pairs come out of every list."""
+    own = open_lists.groupBy("id").agg(F.collect_list(F.struct("f1", "most")).alias("all"))
+    firsts = own.select("id", F.when(F.size("all") == F.size(F.array_distinct("all.f1")), F.slice(F.array_sort("all"), 1, FIRSTS)).alias("firsts"))
+    earlier = F.transform(F.filter("firsts", lambda e: e["most"] > F.col("most")), lambda e: e["f1"])
+    return open_lists.join(firsts, "id").withColumn("earlier", F.coalesce(earlier, F.array().cast("array<long>"))).drop("firsts")
+
+
+def _meetings(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a list that may be linked, out of the first list in the common order that both name."""
+    x, y = entries.alias("x"), entries.alias("y")
+    meet = (F.col("x.f1") == F.col("y.f1")) & (F.col("x.f2") == F.col("y.f2")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    meet = meet & _parities_fit("x", "y") & ~F.arrays_overlap("x.earlier", "y.earlier")
+    return x.join(y, meet).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+
+
 def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect all sets above the boundary, and those near it, as their full links would."""
     prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUMERATOR / F.lit(float(DENOMINATOR))) + 1
@@ -245,23 +308,15 @@ def _heavy_links(reps: DataFrame, docs: DataFrame, boundary: int, scratch: Scrat
     # no distinct here: an aggregate on the join's partitioning would keep Spark from splitting a hot pivot
     tried = scratch.stored(best.select("a", "b"), "tried")
     links = scratch.stored(checked(tried, texts), "links")
-    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    known = scratch.stored(shared.where("most >= least").select("token", "id", "n", "most").join(groups, "id", "left").select("token", "id", "n", "most", F.coalesce("g", "id").alias("g")), "grouped-postings")
-    # lists with the same members are one: a pair meets once for all tokens that only they share
-    member, other = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
-    low = F.lit((1 << 32) - 1)
-    sums = [F.sum(part).alias(f"s{i}") for i, part in enumerate(part for h in (member, other) for part in (h.bitwiseAND(low), F.shiftright(h, 32)))]
-    split = known.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("size"), *sums).where("g0 <> g1")
-    names = ["size", "s0", "s1", "s2", "s3"]
-    split = scratch.stored(split.select("token", F.xxhash64(*names).alias("f1"), F.xxhash64(F.lit(1), *names).alias("f2")), "open-tokens")
-    open_lists = known.join(split, "token").groupBy("f1", "f2", "id", "n", "g").agg(F.max("most").alias("most"))
-    open_lists = scratch.stored(open_lists.join(reps.select(F.col("doc_id").alias("id"), *_PARITIES), "id"), "open-lists")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    meet = (F.col("x.f1") == F.col("y.f1")) & (F.col("x.f2") == F.col("y.f2")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
-    both = F.col("x.n") + F.col("y.n")
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITIES])
-    meet = meet & (differ <= both - 2 * F.ceil(NUMERATOR * both / F.lit(float(NUMERATOR + DENOMINATOR))))
-    pairs = scratch.stored(x.join(y, meet).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "open-pairs")
+    open_lists = _open_lists(shared, links, reps, scratch)
+    for turn in range(TURNS):
+        near = scratch.stored(_near_pivots(open_lists, turn, scratch).join(tried, ["a", "b"], "left_anti"), "near")
+        if not near.head(1):
+            break
+        tried = scratch.stored(tried.union(near), "tried")
+        links = scratch.stored(links.union(checked(near, texts)), "links")
+        open_lists = _open_lists(shared, links, reps, scratch)
+    pairs = scratch.stored(_meetings(scratch.stored(_with_earlier(open_lists), "earlier-lists")).distinct(), "open-pairs")
     # a link has enough common tokens in the prefixes; a passage in common is not enough
     left, right = (prefixes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))

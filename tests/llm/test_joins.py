@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pricelab.llm import ngram_join, vector_dedup
 from pricelab.llm.common import table
@@ -70,6 +71,38 @@ def test_small_sets_and_hot_group(spark, rng):
     assert len(check_groups(spark.createDataFrame(rows, "doc_id long, text string"))) > 1000
 
 
+def test_near_copies_meet_once_and_seldom(spark, rng, monkeypatch):
+    """Near copies whose smallest id is a poor pivot, and texts that share passages, whose lists are many."""
+    base, rows = [f"hot{k}" for k in range(150)], []
+    for i in range(160):
+        text = list(base)
+        for k in rng.choice(150, 3 if i < 3 else int(rng.integers(1, 4)), replace=False):
+            text[int(k)] = f"edit{i}x{k}"
+        rows.append((i, " ".join(text)))
+    passages = [[f"p{j}x{k}" for k in range(30)] for j in range(12)]
+    for i in range(200, 260):
+        own = [passages[int(j)] for j in rng.choice(12, 10, replace=False)]
+        rows.append((i, " ".join(w for p in own for w in p)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met, meetings = [], ngram_join._meetings
+
+    def counted(entries):
+        found = [tuple(r) for r in meetings(entries).collect()]
+        everywhere = meetings(entries.withColumn("earlier", F.array().cast("array<long>"))).collect()
+        assert set(found) == {tuple(r) for r in everywhere}
+        met.append((len(found), len(set(found)), len(everywhere)))
+        return meetings(entries)
+
+    monkeypatch.setattr(ngram_join, "_meetings", counted)
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
+    assert len(check_groups(docs)) > 500
+    monkeypatch.setattr(ngram_join, "TURNS", 3)
+    monkeypatch.setattr(ngram_join, "CROWD", 4)
+    check_groups(docs)
+    (rows, pairs, everywhere), (fewer, fewer_pairs, _) = met
+    assert rows == pairs < everywhere / 2 and fewer == fewer_pairs < pairs / 2
+
+
 def test_overlap_and_prefix_sizes():
     for n in range(1, 60):
         for m in range(1, 60):
